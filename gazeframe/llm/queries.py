@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, shards, topk
+from . import bpe, html, langid, pii, quality, shards, topk
 from .common import read
 
 #: The tokenizer file of the token queries; any byte-level BPE file of the same format will do.
@@ -19,6 +19,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise_documents(read(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), TOKENIZER_PATH)
 
@@ -37,7 +45,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_matches(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_bpe, op6_language_id, op7_sharding, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op9_exact_topk)}
 
 ORACLE_SQL = {
     "op9_exact_topk": """
