@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, pii, quality, shards, topk
+from . import bpe, decontaminate, html, langid, linededup, pii, quality, shards, topk
 from .common import read
 
 #: The tokenizer file of the token queries; any byte-level BPE file of the same format will do.
@@ -40,6 +40,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(read(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.remove_similar_lines(docs).select("doc_id", "n_lines", "n_removed", "removed", "text")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.top_matches(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -49,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op9_exact_topk, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op8_line_dedup, op9_exact_topk, op10_decontamination)}
 
 ORACLE_SQL = {
     "op9_exact_topk": """
