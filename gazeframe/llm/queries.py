@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html, langid, linededup, pii, quality, shards, topk
+from . import bpe, decontaminate, html, langid, linededup, neardup, pii, quality, shards, topk
 from .common import read
 
 #: The tokenizer file of the token queries; any byte-level BPE file of the same format will do.
@@ -19,6 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise_documents(read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op8_line_dedup, op9_exact_topk, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op8_line_dedup, op9_exact_topk, op10_decontamination)}
 
 ORACLE_SQL = {
     "op9_exact_topk": """
