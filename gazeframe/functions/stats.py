@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Panels of the Simpson sum; the error of the tail is below 1e-10.
 PANELS = 400
@@ -19,7 +20,7 @@ def normal_two_sided(z: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - area * 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_rank_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Two-sided exact p of a Mann-Whitney U without ties; used for small samples only."""
 
