@@ -19,15 +19,15 @@ from gazeframe.llm.queries import TOKENIZER_PATH
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, learnt from the stage's labelled documents, doesn't reject."""
     forest = quality.train(docs, read(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs, forest, keep=docs.columns)
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    scored = quality.score_documents(docs, forest, keep=docs.columns, prefix="__")
+    return scored.where(F.col("__predicted") == 1).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their later similar lines; a document that had words and keeps none goes."""
-    cleaned = linededup.remove_similar_lines(docs)
-    kept = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
-    length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    cleaned = linededup.remove_similar_lines(docs, prefix="__")
+    kept = cleaned.where((F.col("__n_removed") == 0) | F.col("text").rlike(r"\S"))
+    length = F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", length).select(*docs.columns)
 
 

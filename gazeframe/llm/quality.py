@@ -163,8 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return fit(x, (y > 0).astype(float), **options)
 
 
-def score_documents(docs: DataFrame, forest: Forest, keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
-    """``docs`` columns in ``keep`` (doc_id by default), then held_out, score and predicted. One pass, no shuffle."""
+def score_documents(docs: DataFrame, forest: Forest, keep: list[str] | None = None, threshold: float = 0.3, prefix: str = "") -> DataFrame:
+    """``docs`` columns in ``keep`` (doc_id by default), then held_out, score and predicted. One pass, no shuffle.
+
+    ``prefix`` stands before the three new names, for tables that have columns of these names.
+    """
     bounded_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
@@ -175,10 +178,11 @@ def score_documents(docs: DataFrame, forest: Forest, keep: list[str] | None = No
         for batch in batches:
             rows = np.array([statistics(s) for s in batch.column(at).to_pylist()], float).reshape(-1, len(FEATURES))
             columns = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(forest.score(rows))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(forest.score(rows))], names=[*keep, f"{prefix}score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    scored = source.mapInArrow(run, StructType([*kept, StructField("score", DoubleType())]))
+    scored = source.mapInArrow(run, StructType([*kept, StructField(f"{prefix}score", DoubleType())]))
     held = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
-    return scored.select(*keep, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = F.col(f"{prefix}score")
+    return scored.select(*keep, held.alias(f"{prefix}held_out"), score, (score >= threshold).cast("int").alias(f"{prefix}predicted"))
