@@ -1,0 +1,164 @@
+"""Camera pose numerics for one frame: projection, pose from points, averages of rigid motions. Small numpy helpers."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def rotation(v: np.ndarray) -> np.ndarray:
+    """Matrix of a rotation vector."""
+    angle = np.linalg.norm(v)
+    if angle < 1e-12:
+        return np.eye(3)
+    x, y, z = v / angle
+    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
+
+
+def distorted(xy: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Normalised image points under radial and tangential distortion (k1, k2, p1, p2, k3, and k4 to k6 of the rational model)."""
+    k = np.zeros(8)
+    k[: min(8, len(d))] = d[:8]
+    x, y = xy.T
+    r2 = x * x + y * y
+    radial = (1 + r2 * (k[0] + r2 * (k[1] + r2 * k[4]))) / (1 + r2 * (k[5] + r2 * (k[6] + r2 * k[7])))
+    return np.stack([x * radial + 2 * k[2] * x * y + k[3] * (r2 + 2 * x * x), y * radial + k[2] * (r2 + 2 * y * y) + 2 * k[3] * x * y], 1)
+
+
+def project(points: np.ndarray, r: np.ndarray, t: np.ndarray, k: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Pixels of world points for a camera with rotation r, translation t."""
+    cam = points @ r.T + t
+    return distorted(cam[:, :2] / cam[:, 2:], d) * [k[0, 0], k[1, 1]] + [k[0, 2], k[1, 2]]
+
+
+def normalised(pixels: np.ndarray, k: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Undistorted normalised coordinates, by fixed-point steps."""
+    want = (pixels - [k[0, 2], k[1, 2]]) / [k[0, 0], k[1, 1]]
+    xy = want.copy()
+    for _ in range(10):
+        xy = xy + want - distorted(xy, d)
+    return xy
+
+
+def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Plane homography of at least four point pairs by the linear method on centred and scaled points."""
+
+    def centred(p):
+        c, s = p.mean(0), np.sqrt(2) / max(1e-12, np.linalg.norm(p - p.mean(0), axis=1).mean())
+        return (p - c) * s, np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
+
+    (a, ta), (b, tb) = centred(src), centred(dst)
+    one, zero = np.ones(len(a)), np.zeros((len(a), 3))
+    h = np.column_stack([a, one])
+    rows = np.vstack([np.hstack([h, zero, -b[:, :1] * h]), np.hstack([zero, h, -b[:, 1:] * h])])
+    m = np.linalg.svd(rows)[2][-1].reshape(3, 3)
+    return np.linalg.inv(tb) @ m @ ta
+
+
+def _flat_frame(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, axes (rows; the last is the normal) and relative thickness of a point set."""
+    c = points.mean(0)
+    _, s, v = np.linalg.svd(points - c, full_matrices=True)
+    if np.linalg.det(v) < 0:
+        v[2] = -v[2]
+    return c, v, float(s[2] / max(s[0], 1e-12)) if len(s) > 2 else 0.0
+
+
+def _starts(points: np.ndarray, xy: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First poses: from the homography of the best plane, and its mirror about the line of sight."""
+    c, axes, thick = _flat_frame(points)
+    out = []
+    if thick < 0.2:
+        h = homography((points - c) @ axes[:2].T, xy)
+        h = h / ((np.linalg.norm(h[:, 0]) + np.linalg.norm(h[:, 1])) / 2)
+        h = h if h[2, 2] > 0 else -h
+        u, _, v = np.linalg.svd(np.column_stack([h[:, 0], h[:, 1], np.cross(h[:, 0], h[:, 1])]))
+        r = u @ np.diag([1, 1, np.linalg.det(u @ v)]) @ v
+        sight = h[:, 2] / np.linalg.norm(h[:, 2])
+        n = r[:, 2] if r[:, 2] @ sight < 0 else -r[:, 2]
+        half = n - sight * (n @ sight)
+        turn = rotation(2 * np.arctan2(np.linalg.norm(half), -(n @ sight)) * np.cross(n, -sight) / max(1e-12, np.linalg.norm(np.cross(n, -sight))))
+        for q in (r, turn @ r):
+            whole = q @ axes
+            out.append((whole, h[:, 2] - whole @ c))
+    if len(points) >= 6 and thick >= 0.02:
+        one, zero = np.column_stack([points, np.ones(len(points))]), np.zeros((len(points), 4))
+        rows = np.vstack([np.hstack([one, zero, -xy[:, :1] * one]), np.hstack([zero, one, -xy[:, 1:] * one])])
+        p = np.linalg.svd(rows)[2][-1].reshape(3, 4)
+        u, s, v = np.linalg.svd(p[:, :3])
+        sign = np.sign(np.linalg.det(u @ v)) or 1.0
+        out.append((sign * u @ v, sign * p[:, 3] / s.mean()))
+    return out
+
+
+def solve_pose(points: np.ndarray, pixels: np.ndarray, k: np.ndarray, d: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(rotation, translation, mean pixel error) that reprojects best: damped Gauss-Newton from each first pose."""
+    if len(points) < 4:
+        return None
+    best = None
+    for r, t in _starts(points, normalised(pixels, k, d)):
+        damp, error = 1e-3, np.inf
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                res = (project(points, r, t, k, d) - pixels).ravel()
+                cols = []
+                for i in range(6):
+                    step = np.zeros(6)
+                    step[i] = 1e-6
+                    cols.append(((project(points, rotation(step[:3]) @ r, t + step[3:], k, d) - pixels).ravel() - res) / 1e-6)
+                j = np.stack(cols, 1)
+                if not np.isfinite(j).all():
+                    break
+                a = j.T @ j
+                move = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), -j.T @ res, rcond=None)[0]
+                new_r, new_t = rotation(move[:3]) @ r, t + move[3:]
+                new = np.square(project(points, new_r, new_t, k, d) - pixels).sum()
+                if not np.isfinite(new) or new > res @ res:
+                    damp *= 10
+                    if damp > 1e9:
+                        break
+                    continue
+                r, t, damp = new_r, new_t, damp / 5
+                if np.linalg.norm(move) < 1e-10:
+                    break
+            error = float(np.linalg.norm(project(points, r, t, k, d) - pixels, axis=1).mean())
+        in_front = ((points @ r.T + t)[:, 2] > 0).all()
+        if np.isfinite(error) and in_front and (best is None or error < best[2]):
+            best = (r, t, error)
+    return best
+
+
+def motion(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+    out = np.eye(4)
+    out[:3, :3], out[:3, 3] = r, t
+    return out
+
+
+def mean_motion(motions: list[np.ndarray]) -> np.ndarray:
+    """Mean of rigid motions: translations averaged, rotations by the nearest rotation to their mean."""
+    m = np.mean(motions, axis=0)
+    u, _, v = np.linalg.svd(m[:3, :3])
+    return motion(u @ np.diag([1, 1, np.linalg.det(u @ v)]) @ v, m[:3, 3])
+
+
+def robust_mean_motion(motions: list[np.ndarray]) -> np.ndarray:
+    """Mean of the motions whose translation lies within twice the median distance from the median translation."""
+    t = np.stack([m[:3, 3] for m in motions])
+    far = np.linalg.norm(t - np.median(t, axis=0), axis=1)
+    kept = [m for m, f in zip(motions, far, strict=True) if f <= 2 * np.median(far) + 1e-9]
+    return mean_motion(kept or motions)
+
+
+def kabsch(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The rigid motion that takes src nearest to dst."""
+    a, b = src.mean(0), dst.mean(0)
+    u, _, v = np.linalg.svd((src - a).T @ (dst - b))
+    r = v.T @ np.diag([1, 1, np.linalg.det(v.T @ u.T)]) @ u.T
+    return motion(r, b - r @ a)
+
+
+def triangulate(cameras: list[np.ndarray], xy: np.ndarray) -> np.ndarray:
+    """The point that several cameras (4x4 world-to-camera) see at normalised coordinates xy."""
+    rows = [row for c, (x, y) in zip(cameras, xy, strict=True) for row in (x * c[2] - c[0], y * c[2] - c[1])]
+    p = np.linalg.svd(np.array(rows))[2][-1]
+    return p[:3] / p[3]
