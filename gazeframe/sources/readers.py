@@ -36,7 +36,7 @@ def recording_dirs(spark: SparkSession, source: str, named: bool = False) -> Dat
     below = F.split(F.expr("substring(path, length(source) + 1)"), "/")
     out = out.where(~F.exists(below, lambda p: p.isin(OUTPUT_PARTS) | p.startswith(".")))
     out = out.where(F.regexp_like("recording", F.lit(RECORDING_NAME))) if named else out
-    return out.select("recording", "path", difficulty_of(F.lit(""), F.col("path")).alias("__d"), difficulty_of(F.col("path"), F.col("source")).alias("difficulty"), "source").drop("__d").orderBy("path")
+    return out.select("recording", "path", difficulty_of(F.col("path"), F.col("source")).alias("difficulty"), "source").orderBy("path")
 
 
 def distinct_sources(folders: DataFrame) -> DataFrame:
@@ -76,7 +76,8 @@ def frame_table(spark: SparkSession, source: str, order: tuple[str, ...] = FINAL
     extra = [get(c, "string") for c in ("final_primary_aoi", "edit_source", "markers_detected", "aoi_transition")]
     reviewed = F.array_contains("__names", "final_primary_aoi").alias("has_final")
     other = F.map_filter("__cells", lambda k, v: F.endswith(k, F.lit("_hit")) & (k != "any_aoi_hit"))
-    hits = F.transform_values(other, lambda k, v: F.lower(v) == "true").alias("hits")
+    areas = F.transform_keys(other, lambda k, v: F.regexp_replace(k, "_hit$", ""))
+    hits = F.transform_values(areas, lambda k, v: F.lower(v) == "true").alias("hits")
     return no_nans(pairs.select("recording", *[get(c, t) for c, t in fields], *extra, reviewed, hits))
 
 
