@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, id_remainder
 
-#: Bound of the training documents of each language.
-MAX_TRAINING_DOCS = 3000
+#: Bound of the training documents of each language; Spark prunes such ranks before the shuffle up to 1,000.
+MAX_TRAINING_DOCS = 1000
 #: Hashed n-gram kinds; the model has this many columns for each language, whatever the corpus is.
 BUCKETS = 1 << 15
 _SHIFT = np.uint32(32 - 15)
