@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``rows`` rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def id_remainder(column, modulus: int):
     """crc32 of an id's decimal text modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(column.cast("string")), F.lit(modulus))
