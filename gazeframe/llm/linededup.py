@@ -4,15 +4,20 @@ A line is the set of its lower-case words. A later line is removed if its set eq
 earlier line that stands first for its set has a Jaccard similarity of at least ``THRESHOLD`` with it. The join:
 
 * words are counted over all lines (in 65,536 hashed kinds, so the counts have a fixed size) and each line's words
-  are ordered by rarity; two similar sets share a word among the first ``n - ceil(t n) + 1`` of that order (prefix);
+  are ordered by rarity; two similar sets share ``SHARED`` words among the first ``n - ceil(t n) + SHARED`` of that
+  order (prefix);
 * lines meet on a shared prefix word if their sizes (length filter) and the places of the word (positional filter)
-  leave room for the overlap that the threshold asks for;
-* what is left is verified on the words themselves.
+  leave room for the overlap that the threshold asks for, and 64 bits set by their words don't differ too much; they
+  are candidates if they meet on ``SHARED`` words;
+* what is left is verified on the words of the lines themselves.
+
+All texts are split into words once for the counts and once for the keys and prefixes; later steps read only those and
+the lines of candidates.
 
 A word that many lines share would pair all of them. Lines of one word are therefore ranked by document, and meet in
-rounds: first with the earliest of the word's lines, then with the next few, and so on over all of them. A line that
-found its earlier match takes no part in further rounds, so a group of near copies costs about one comparison for
-each of them, and no pair of undecided lines is left out.
+two rounds: first each line with one line, the earliest of those that come first for one of its words; then, if it
+found no earlier match, with all lines before it. So a group of near copies costs about one comparison for each of
+them, and no pair of undecided lines is left out.
 
 Defined cases: lines of fewer than ``MIN_WORDS`` different words are always kept and match nothing; null and empty
 texts have no lines to remove and stay as they are; "earlier" is by doc_id (nulls first), then row, then place; of
@@ -21,51 +26,50 @@ repeated rows the first keeps its lines; columns with other names pass through.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import broadcast_up_to, stored
 
 #: Similar lines: 5 |A and B| >= 4 |A or B|; kept as whole numbers, so that no rounding decides.
 THRESHOLD = (4, 5)
 MIN_WORDS = 5
 KINDS = 1 << 16
-#: Ranks at which the rounds of comparisons begin.
-ROUNDS = (1, 2, 5, 17, 129)
-#: Distinct keys that a set of candidate lines may have to be broadcast; larger sets are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Prefix words that candidates share.
+SHARED = 2
+#: Rows that a table may have to be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.lower(line), r"\s")
+    """Words between white space; the common case of spaces alone needs no pattern."""
+    low = F.lower(line)
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    return F.when(other, F.split(low, r"[ \t\r]+")).otherwise(F.split(low, " "))
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(_words(line), lambda w: F.when(w != "", F.xxhash64(w))), lambda h: h.isNotNull()))
-
-
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """row, doc_id, pos, line of every line; ``docs`` has row and doc_id."""
-    return docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Hashes of a line's different words; the empty word between two spaces is none."""
+    return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def word_classes(docs: DataFrame) -> list[int]:
     """For each hashed kind of word, a class from 0 (rare) to 63, by the logarithm of its count over all texts."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(KINDS - 1)).cast("int").alias("kind")).count()
-    classed = counts.select("kind", F.least(F.lit(63), F.floor(F.log2("count") * 2)).cast("int").alias("c"))
+    words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(KINDS - 1)).alias("kind")).count()
     out = [0] * KINDS  # at most KINDS rows reach the driver
-    for kind, c in classed.collect():
+    for kind, c in counts.select("kind", F.least(F.lit(63), F.floor(F.log2("count") * 2)).cast("int")).collect():
         out[kind] = c
     return out
 
 
 def _ordered(hashes: Column, classes: list[int]) -> Column:
-    """Hashes of a line's words, rare ones first: the class stands above the hash's upper bits."""
-    table = F.expr(f"cast(split('{','.join(map(str, classes))}', ',') as array<int>)")
-    return F.sort_array(F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(F.lit(KINDS - 1)).cast("int")).cast("long") * F.lit(1 << 56) + F.shiftrightunsigned(h, 8)))
+    """A line's words, rare ones first: the class stands above the upper bits of the hash."""
+    table = F.expr(f"cast(split('{','.join(str(c << 56) for c in classes)}', ',') as array<bigint>)")
+    return F.sort_array(F.transform(hashes, lambda h: F.get(table, h.bitwiseAND(F.lit(KINDS - 1)).cast("int")).bitwiseXOR(F.shiftrightunsigned(h, 8))))
 
 
 def _overlap_needed(a: Column, b: Column) -> Column:
@@ -75,89 +79,106 @@ def _overlap_needed(a: Column, b: Column) -> Column:
 
 
 def _least_size(n: Column) -> Column:
+    """The smallest set that can be similar to one of n words."""
     up, down = THRESHOLD
     return F.floor((up * n + (down - 1)) / down).cast("int")
 
 
+def line_keys(docs: DataFrame, classes: list[int]) -> DataFrame:
+    """id, doc_id, row, pos, n (different words), bits, key and key2 (of the set) and prefix of every line that takes part."""
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    words = lines.select("doc_id", "row", "pos", _ordered(_hashes(F.col("line")), classes).alias("w"))
+    n = F.size("w")
+    short = F.transform(F.slice("w", F.lit(1), n - _least_size(n) + SHARED), lambda h: F.hash(h))  # only meets; sets are verified
+    one = F.lit(1).cast("bigint")
+    bits = F.aggregate("w", F.lit(0).cast("bigint"), lambda b, h: b.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
+    kept = words.where(n >= MIN_WORDS).select("doc_id", "row", "pos", n.alias("n"), bits.alias("bits"), F.xxhash64("w").alias("key"), F.xxhash64(F.lit(1), F.col("w")).alias("key2"), short.alias("prefix"))
+    return kept.select(F.monotonically_increasing_id().alias("id"), "*")
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A table of the warehouse in buckets of ``column``, so that later joins on it move no rows."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    return spark.table(name)
+
+
 def similar_lines(docs: DataFrame) -> DataFrame:
     """row, pos, kept_doc, kept_row, kept_pos: each line to remove, and an earlier line that it matches."""
-    classes = word_classes(docs)
-    lines = numbered_lines(docs).select("row", "doc_id", "pos", _hashes(F.col("line")).alias("h")).where(F.size("h") >= MIN_WORDS)
-    ordered = lines.select("row", "doc_id", "pos", _ordered(F.col("h"), classes).alias("w"))
-    place = F.struct(F.col("doc_id"), F.col("row"), F.col("pos"))
-    key = F.xxhash64("w").alias("key")
-
-    # The first line of each set, and the later ones.
-    keyed = checkpointed(ordered.select(place.alias("at"), key, F.xxhash64(F.lit(1), F.col("w")).alias("key2")))
-    firsts = keyed.groupBy("key", "key2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    repeated = keyed.join(firsts.where(F.col("n") > 1), ["key", "key2"]).where(F.col("at") != F.col("first")).select("at", F.col("first").alias("kept"))
-
-    # Prefix words of each set; the sets of a word are ranked by document.
-    n = F.size("w")
-    prefix = ordered.select(key, F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), n.alias("n"), F.posexplode(F.slice("w", F.lit(1), n - _least_size(n) + 1)).alias("p", "word"))
-    # A 32-bit hash of the word will do to meet on: verification looks at whole sets anyway.
-    sets = prefix.groupBy(F.hash("word").alias("word"), "key", "n", "p").agg(F.min("doc").alias("doc"))
+    keys = stored(line_keys(docs, word_classes(docs)))
+    at = F.struct("doc_id", "row", "pos")
+
+    # Later lines of a set; what is left stands for its set.
+    sets = keys.groupBy("key", "key2").agg(F.min(at).alias("first"), F.count("*").alias("n_lines")).where(F.col("n_lines") > 1)
+    repeated = stored(keys.select("id", "key", "key2", at.alias("at")).join(sets, ["key", "key2"]).where(F.col("at") != F.col("first")).select("id", "at", F.col("first").alias("kept")))
+    firsts = keys.join(broadcast_up_to(repeated.select("id"), BROADCAST_ROWS), "id", "left_anti")
+
+    # The sets of a word in the order of their lines.
+    met = firsts.select("id", "n", "bits", F.posexplode("prefix").alias("p", "word"))
     by_word = Window.partitionBy("word")
-    shared = sets.withColumn("of", F.count("*").over(by_word)).where(F.col("of") > 1)
-    ranked = checkpointed(shared.withColumn("rank", F.row_number().over(by_word.orderBy("doc", "key", "p"))))
-
-    found, open_ = [], ranked
-    most = ranked.agg(F.max("of")).first()[0] or 0
-    known = None
-    for lo, hi in zip(ROUNDS, (*ROUNDS[1:], None)):
-        if lo >= most:
-            break
-        a = ranked.where((F.col("rank") >= lo) & (F.lit(True) if hi is None else F.col("rank") < hi))
-        a = a.select("word", F.col("key").alias("key_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("rank").alias("rank_a"))
-        small, large = F.least("n", "n_a"), F.greatest("n", "n_a")
-        room = F.least(F.col("n") - F.col("p"), F.col("n_a") - F.col("p_a"))
-        pairs = (
-            open_.join(a, "word")
-            .where((F.col("rank_a") < F.col("rank")) & (F.col("key") != F.col("key_a")) & (small >= _least_size(large)) & (room >= _overlap_needed(F.col("n"), F.col("n_a"))))
-            .select(F.least("key", "key_a").alias("key_a"), F.greatest("key", "key_a").alias("key_b"))
-            .distinct()
-        )
-        if known is not None:
-            pairs = pairs.join(known.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti")
-        pairs = checkpointed(pairs)
-        matches = checkpointed(_verified(pairs, ordered, place, key))
-        found.append(matches)
-        known = pairs if known is None else known.unionByName(pairs)
-        if hi is not None and hi < most:
-            open_ = open_.where(F.col("of") >= hi).join(matches.select(F.col("later_key").alias("key")).distinct(), "key", "left_anti")
-    matched = reduce(DataFrame.unionByName, found).select(F.col("later").alias("at"), F.col("earlier").alias("kept")) if found else None
-    removed = repeated if matched is None else repeated.unionByName(matched)
+    met = met.select("*", F.count("*").over(by_word).alias("of"), F.row_number().over(by_word.orderBy("id", "p")).alias("rank")).where(F.col("of") > 1)
+    name = f"words_{uuid.uuid4().hex}"
+    ranked = bucketed(met, "word", name)
+    a = ranked.select("word", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("bits").alias("bits_a"), F.col("rank").alias("rank_a")).where(F.col("rank") < F.col("of"))
+    meet = lambda b, a: b.join(a, "word").where((F.col("rank_a") < F.col("rank")) & _may_match()).select("id_a", F.col("id").alias("id_b"))
+
+    one = stored(meet(ranked, a.where("rank_a = 1")).groupBy("id_b").agg(F.min("id_a").alias("id_a")))
+    near = stored(_verified(one, keys, docs))
+    done = broadcast_up_to(stored(near.select(F.col("later_id").alias("id")).distinct()), BROADCAST_ROWS)
+    rest = meet(ranked.join(done, "id", "left_anti"), a).groupBy("id_a", "id_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
+    rest = stored(rest.join(one, ["id_a", "id_b"], "left_anti"))
+    found = [near, stored(_verified(rest, keys, docs))]
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # all that follows is stored
+    matched = [m.select(F.col("later").alias("at"), F.col("earlier").alias("kept")) for m in found]
+    removed = reduce(DataFrame.unionByName, matched, repeated.select("at", "kept"))
     best = removed.groupBy("at").agg(F.min("kept").alias("kept"))
     return best.select("at.row", "at.pos", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.row").alias("kept_row"), F.col("kept.pos").alias("kept_pos"))
 
 
-def _verified(pairs: DataFrame, ordered: DataFrame, place: Column, key: Column) -> DataFrame:
-    """earlier, later, later_key for the candidate pairs whose sets are similar; earlier and later are the sets' first lines."""
-    wanted = checkpointed(pairs.select(F.explode(F.array("key_a", "key_b")).alias("key")).distinct())
-    size = wanted.count()
-    wanted = F.broadcast(wanted) if size <= BROADCAST_KEYS else wanted
-    sets = ordered.withColumn("key", key).join(wanted, "key", "left_semi").groupBy("key", "w").agg(F.min(place).alias("first"))
-    a = sets.select(F.col("key").alias("key_a"), F.col("w").alias("w_a"), F.col("first").alias("first_a"))
-    b = sets.select(F.col("key").alias("key_b"), F.col("w").alias("w_b"), F.col("first").alias("first_b"))
-    both = pairs.join(a, "key_a").join(b, "key_b").withColumn("o", F.size(F.array_intersect("w_a", "w_b")))
-    similar = both.where(F.col("o") >= _overlap_needed(F.size("w_a"), F.size("w_b")))
-    first = F.col("first_a") < F.col("first_b")
-    return similar.select(F.least("first_a", "first_b").alias("earlier"), F.greatest("first_a", "first_b").alias("later"), F.when(first, F.col("key_b")).otherwise(F.col("key_a")).alias("later_key"))
+def _may_match() -> Column:
+    """Length, positional and bit filters of two lines that meet on one of their first ``SHARED`` common words; none drops a similar pair.
+
+    Each word sets one bit of 64. A line's bits that the other lacks stand for words that the other lacks, and of those
+    there are no more than its size less the needed overlap.
+    """
+    n, m, need = F.col("n"), F.col("n_a"), _overlap_needed(F.col("n"), F.col("n_a"))
+    room = F.least(n - F.col("p"), m - F.col("p_a"))
+    lacks = lambda one, other: F.bit_count(F.col(one).bitwiseAND(F.bitwise_not(F.col(other))))
+    return (F.col("id") != F.col("id_a")) & (F.least(n, m) >= _least_size(F.greatest(n, m))) & (room + SHARED - 1 >= need) & (lacks("bits", "bits_a") <= n - need) & (lacks("bits_a", "bits") <= m - need)
+
+
+def _verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """earlier, later (doc_id, row, pos), later_id of the candidate pairs whose lines are similar; only the candidates' lines are read again."""
+    ids = stored(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
+    places = stored(keys.select("id", "row", "pos").join(broadcast_up_to(ids, BROADCAST_ROWS), "id"))
+    wanted = stored(places.groupBy("row").agg(F.collect_list(F.struct("pos", "id")).alias("places")))
+    texts = docs.join(broadcast_up_to(wanted, BROADCAST_ROWS), "row").select("doc_id", "row", F.explode("places").alias("e"), F.split("text", "\n").alias("all"))
+    lines = texts.select(F.col("e.id").alias("id"), F.struct("doc_id", "row", F.col("e.pos").alias("pos")).alias("at"), F.get("all", F.col("e.pos")).alias("line"))
+    a = lines.select(F.col("id").alias("id_a"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
+    b = lines.select(F.col("id").alias("id_b"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
+    both = pairs.join(b, "id_b").join(a, "id_a").withColumn("w_a", _hashes(F.col("line_a"))).withColumn("w_b", _hashes(F.col("line_b")))
+    similar = both.where(F.size(F.array_intersect("w_a", "w_b")) >= _overlap_needed(F.size("w_a"), F.size("w_b")))
+    x, y = F.col("at_a"), F.col("at_b")
+    return similar.select(F.least(x, y).alias("earlier"), F.greatest(x, y).alias("later"), F.when(x < y, F.col("id_b")).otherwise(F.col("id_a")).alias("later_id"))
+
 
+def remove_similar_lines(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """``docs`` with its later similar lines taken out of ``text``, and the columns n_lines, n_removed and removed (their places).
 
-def remove_similar_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with its later similar lines taken out of ``text``, and the columns n_lines, n_removed and removed (their places)."""
+    ``prefix`` stands before the three new names, for tables that have columns of these names. ``docs`` is read more
+    than once and must be a stored table, whose rows keep their order.
+    """
     names = docs.columns
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     base = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    removed = similar_lines(base).groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("pos")).alias("__removed"))
-    out = rows.join(removed, "__row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__removed"), i)), "\n")
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
-    n = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(F.lit(0))
+    gone = stored(similar_lines(base).groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("pos")).alias("__gone")))
+    out = rows.join(broadcast_up_to(gone, BROADCAST_ROWS), "__row", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     return out.select(
         *[text.alias("text") if c == "text" else F.col(c) for c in names],
-        n.alias("n_lines"),
-        F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(F.size("__removed")).alias("n_removed"),
-        F.coalesce("__removed", F.array().cast("array<int>")).alias("removed"),
+        F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(F.lit(0)).alias(f"{prefix}n_lines"),
+        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).alias(f"{prefix}n_removed"),
+        F.coalesce("__gone", F.array().cast("array<int>")).alias(f"{prefix}removed"),
     )
