@@ -46,7 +46,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.remove_similar_lines(docs).select("doc_id", "n_lines", "n_removed", "removed", "text")
+    out = linededup.remove_similar_lines(docs)
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"), "text")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,37 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op8_line_dedup, op9_exact_topk, op10_decontamination)}
 
 ORACLE_SQL = {
+    # Prefixes by exact counts; the result doesn't depend on the order of words that the join uses.
+    "op8_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, text, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
+        ), k AS (
+            SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\r]+'), lambda x: x <> ''))) AS s FROM l
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS n FROM k WHERE len(s) >= 5
+        ), sets AS (
+            SELECT row_number() OVER (ORDER BY doc_id, pos) AS id, doc_id, pos, s FROM r WHERE n = 1
+        ), words AS (
+            SELECT id, len(s) AS size, unnest(s) AS w FROM sets
+        ), ranked AS (
+            SELECT id, w, size, row_number() OVER (PARTITION BY id ORDER BY f, w) AS p FROM words JOIN (SELECT w, count(*) AS f FROM words GROUP BY w) USING (w)
+        ), prefix AS (
+            SELECT id, w, size FROM ranked WHERE p <= size - ceil(size * 4 / 5.0) + 1
+        ), pairs AS (
+            SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.w = b.w AND a.id < b.id AND 5 * least(a.size, b.size) >= 4 * greatest(a.size, b.size)
+        ), removed AS (
+            SELECT doc_id, pos FROM r WHERE n > 1
+            UNION
+            SELECT y.doc_id, y.pos FROM pairs JOIN sets x ON x.id = a JOIN sets y ON y.id = b
+            WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (len(x.s) + len(y.s))
+        ), marked AS (
+            SELECT l.*, removed.pos IS NOT NULL AS gone FROM l LEFT JOIN removed ON l.doc_id = removed.doc_id AND l.pos = removed.pos
+        )
+        SELECT doc_id, CAST(CASE WHEN length(any_value(text)) > 0 THEN count(*) ELSE 0 END AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+               coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (gone), '') AS removed_lines,
+               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+        FROM marked GROUP BY doc_id
+    """,
     "op9_exact_topk": """
         WITH fine AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
