@@ -7,6 +7,8 @@ shuffled once, by key and chunk; only the summaries meet by key alone.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,17 @@ def _chunk(order: str, size: int) -> Column:
     return F.floor(F.col(order) / size).cast("long")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set.
+
+    Each running value joins a table with a summary of itself, so a long chain of them doubles its plan at each step.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint()
+
+
 def lagged(df: DataFrame, keys: list[str], order: str, value: Column, name: str, default: Column | None = None, size: int = CHUNK, ahead: bool = False) -> DataFrame:
     """``name``: ``value`` of the row before (after, with ``ahead``) in its key; ``default`` for the first (last)."""
     default = F.lit(None) if default is None else default

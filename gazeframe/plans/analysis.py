@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import NO_AOI, filled_label
 from ..operators import align, sequence, spatial
+from ..operators.ordered import settled
 
 #: Microseconds of a time chunk: 30 minutes of one recording.
 CHUNK_US = 1_800_000_000
@@ -25,8 +26,9 @@ def build_gaze_frames(gaze: DataFrame, frames: DataFrame, fixations: DataFrame,
         frames = kept.select(*frames.columns)
     base = frames.groupBy("recording").agg(F.min("ts_us").alias("base_us"))
     seen = align.asof_join(frames, gaze, ["recording"], "ts_us", ["x", "y"], direction, CHUNK_US)
-    seen = seen.withColumnRenamed("ts_us_right", "gaze_us").withColumn("x_px", F.when(~F.isnan("x"), F.round("x", 2))).withColumn("y_px", F.when(~F.isnan("y"), F.round("y", 2))).drop("x", "y")
+    seen = settled(seen).withColumnRenamed("ts_us_right", "gaze_us").withColumn("x_px", F.when(~F.isnan("x"), F.round("x", 2))).withColumn("y_px", F.when(~F.isnan("y"), F.round("y", 2))).drop("x", "y")
     fixed = align.interval_join(seen, fixations, ["recording"], "ts_us", "fixation_id", "start", "stop", ["mean_x", "mean_y"], CHUNK_US)
+    fixed = settled(fixed)
     if stride > 1:
         quads = quads.withColumn("__off", F.explode(F.sequence(F.lit(0), F.lit(stride - 1)))).withColumn("frame_idx", F.col("frame_idx") + F.col("__off")).drop("__off")
     hits = spatial.surface_hits(fixed.select("recording", "frame_idx", "x_px", "y_px"), quads)
@@ -34,8 +36,9 @@ def build_gaze_frames(gaze: DataFrame, frames: DataFrame, fixations: DataFrame,
     out = fixed.join(primary, ["recording", "frame_idx"], "left").join(base, "recording")
     out = out.withColumn("label", filled_label(F.col("primary_aoi"))).withColumn("is_fixation", F.col("fixation_id").isNotNull())
     out = out.withColumn("fixation_dur_ms", F.bround((F.col("stop") - F.col("start")) / 1000.0, 1)).withColumn("time_s", F.bround((F.col("gaze_us") - F.col("base_us")) / 1e6, 4)).drop("start", "stop", "base_us")
-    out = sequence.transitions(out).drop("prev_label")
+    out = settled(sequence.transitions(settled(out)).drop("prev_label"))
     out = sequence.cumulative_visits(out).drop("prev_label", "entry", "aoi_transition").join(out.select("recording", "frame_idx", "aoi_transition"), ["recording", "frame_idx"])
+    out = settled(out)
     return sequence.time_in_area(out, frame_ms).drop("run_id").withColumn("any_aoi_hit", F.col("label") != NO_AOI)
 
 
