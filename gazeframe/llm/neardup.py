@@ -7,17 +7,17 @@ pair that meets is verified by a bit-parallel alignment in a band: documents are
 distance is at most ``1 - SIMILARITY`` of the longer one.
 
 Documents with the same words form one class at once. Within a bucket (sketch and value) of at most ``SMALL`` classes
-each two are compared. In a larger bucket the classes are compared with its first class, not with each other; edit
-distance is a metric, so
+each two are compared. In a larger bucket the classes are compared with its first class; edit distance is a metric, so
 
 * a class linked with the first is in its group, and needs no comparison with other members of that group;
 * a class at more than twice the budget from the first can't be linked with any class that is linked with it;
 * a class between one and two budgets may be linked with a member at the rim; exactly the pairs that the triangle
   inequality leaves open are compared.
 
-The classes of a large bucket that are not linked with its first are divided by a further sketch, and so on: unrelated
-texts that share a passage part, near copies agree in many sketches and meet again. Groups are the connected components
-of the links.
+The classes that are not in the first one's group stay in the bucket, with a new first class, as long as this halves
+the pairs that are left; then each two of a bucket that are not in one group yet are compared, in blocks of at most
+about ``BLOCK`` classes by as many. So no bucket is left before its pairs are exhausted. Groups are the connected
+components of the links.
 
 Defined cases: null texts and texts without words share one class; texts of fewer than five words have one k-mer, the
 whole text; repeated rows get the same class; class_id is the smallest known doc_id of the group, null only if none of
@@ -31,7 +31,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, broadcast_up_to, hashed_words, mixed, stored
@@ -44,6 +44,8 @@ SIMILARITY = 0.8
 SMALL = 3
 #: Pairs of all remaining buckets together up to which each two of a bucket are compared, whatever its size.
 LAST_PAIRS = 50_000
+#: Classes of a side of a block in which the classes of a large bucket are compared.
+BLOCK = 256
 #: Rows that a table may have to be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _WORD = re.compile(r"\w+")
@@ -184,9 +186,20 @@ def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """bucket, c, j with n and a: how many classes the bucket has, and its first one; buckets of one class are left out."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("a")).where(F.col("n") > 1)
-    return stored(rows.join(sizes, "bucket"))
+    """bucket, c with n and a: how many classes the bucket has, and its first one; buckets of one class are left out."""
+    by = Window.partitionBy("bucket")
+    return stored(rows.select("bucket", "c", F.count("*").over(by).alias("n"), F.min("c").over(by).alias("a")).where(F.col("n") > 1))
+
+
+def _each_two(level: DataFrame) -> DataFrame:
+    """a, b: each two classes of a bucket. A large bucket's classes are dealt to parts, and each two parts form a block."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = level.select("bucket", "c", parts.alias("parts"), F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"))
+    spread = dealt.select("bucket", "c", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    x = spread.where("part <= other").select("bucket", F.col("part").alias("p"), F.col("other").alias("q"), F.col("c").alias("x"))
+    y = spread.where("part >= other").select("bucket", F.col("other").alias("p"), F.col("part").alias("q"), F.col("c").alias("y"))
+    both = x.join(y, ["bucket", "p", "q"]).where((F.col("p") < F.col("q")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def class_groups(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -195,38 +208,38 @@ def class_groups(rows: DataFrame, classes: DataFrame, similarity: float = SIMILA
     Pairs whose ends are in one group already are left out at each level: they can't change a group.
     """
     sketches = classes.select("c", F.posexplode("sk").alias("j", "v"))
-    level = _buckets(sketches.select("c", "j", F.xxhash64("j", "v").alias("bucket")))
+    level = _buckets(sketches.select("c", F.xxhash64("j", "v").alias("bucket")))
     texts = stored(_class_words(rows, stored(level.select("c").distinct())))
-    done, open_, roots = None, None, None
-    for _ in range(SKETCHES):
+    done, open_, roots, before = None, None, None, float("inf")
+    while True:
         total = level.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-        small = level.where(F.col("n") <= (SMALL if total > LAST_PAIRS else 2**31 - 1))
-        large = level.where((F.col("n") > SMALL) & (F.lit(total) > LAST_PAIRS) & (F.col("c") != F.col("a")))
-        each = small.select("bucket", F.col("c").alias("x")).join(small.select("bucket", "c"), "bucket").where(F.col("x") < F.col("c"))
-        pairs = each.select(F.col("x").alias("a"), F.col("c").alias("b")).unionByName(large.select("a", F.col("c").alias("b")))
+        last = total <= LAST_PAIRS or total > before / 2
+        before = total
+        large = level.where((F.col("n") > SMALL) & (F.col("c") != F.col("a")) & F.lit(not last))
+        pairs = _each_two(level if last else level.where(F.col("n") <= SMALL))
         pairs = (pairs if open_ is None else pairs.unionByName(open_)).distinct()
         if done is not None:
-            pairs = _apart(pairs, roots).join(done.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = _apart(pairs, roots)
+        pairs = pairs.unionByName(large.select("a", F.col("c").alias("b"))).distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         aligned = stored(_aligned(pairs, texts, similarity))
         done = aligned if done is None else done.unionByName(aligned)
         linked = F.col("d") <= F.col("budget")
         roots = merged(roots, aligned.where(linked).select("a", "b"))
-        if total <= LAST_PAIRS:
-            break
+        if last:
+            return roots
         # What a large bucket's first class is not in one group with.
-        seen = large.select("bucket", "j", "a", F.col("c").alias("b")).join(done, ["a", "b"])
+        seen = large.select("bucket", "a", F.col("c").alias("b")).join(done, ["a", "b"])
         other = stored(_apart(seen, roots))
         if other.isEmpty():
-            break
+            return roots
         # Pairs that the triangle inequality leaves open: a member at the rim, a class just outside.
         outside = other.where(F.col("d").isNotNull()).select("bucket", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("budget").alias("ty"))
         rim = seen.where(linked & (F.col("d") > 0)).select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("budget").alias("tx"))
         near = outside.join(rim, "bucket").where(F.col("dy") - F.col("dx") <= F.greatest("tx", "ty"))
-        open_ = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        # Unrelated classes stay together only where a further sketch agrees, too.
-        further = other.select("bucket", F.col("j").alias("last"), F.col("b").alias("c")).join(sketches, "c").where(F.col("j") > F.col("last"))
-        level = _buckets(further.select("c", "j", F.xxhash64("bucket", "j", "v").alias("bucket")))
-    return roots
+        open_ = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        level = _buckets(other.select("bucket", F.col("b").alias("c")))
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:

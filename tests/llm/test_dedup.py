@@ -91,6 +91,22 @@ def test_large_bucket_is_one_group(spark, docs_of, words, monkeypatch):
     assert [out[i] for i in range(35)] == groups(texts)
 
 
+def grouped(spark, texts, sketches):
+    """The root of each class; its text and its sketches are given."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    classes = spark.createDataFrame(list(enumerate(sketches)), "c long, sk array<long>")
+    roots = {r["c"]: r["root"] for r in neardup.class_groups(rows, classes).collect()}
+    return [roots.get(i, i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_bucket_headed_by_an_unrelated_text(spark, words, monkeypatch, block):
+    monkeypatch.setattr(neardup, "LAST_PAIRS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    texts = [words(60, 300)] + [edit(words(60, 301 + i % 7), 2, i) for i in range(21)]
+    assert grouped(spark, texts, [[1]] * len(texts)) == groups(texts)  # all meet in one sketch only
+
+
 def removed_lines(texts):
     seen, sets, out = set(), [], defaultdict(list)
     for d, t in enumerate(texts):
