@@ -9,10 +9,10 @@ distance is at most ``1 - SIMILARITY`` of the longer one.
 Documents with the same words form one class at once. Within a bucket (sketch and value) of at most ``SMALL`` classes
 each two are compared. In a larger bucket the classes are compared with its first class; edit distance is a metric, so
 
-* a class linked with the first is in its group, and needs no comparison with other members of that group;
-* a class at more than twice the budget from the first can't be linked with any class that is linked with it;
-* a class between one and two budgets may be linked with a member at the rim; exactly the pairs that the triangle
-  inequality leaves open are compared.
+* two classes of the first one's group, by whatever links, need no comparison with each other;
+* a class x of that group and a class y outside it can't be linked if their distances from the first differ by more
+  than the budget of x and y, or their lengths do. A distance beyond twice the budget is known to be larger than that
+  only. Exactly the pairs that these bounds leave open are compared.
 
 The classes that are not in the first one's group stay in the bucket, with a new first class, as long as this halves
 the pairs that are left; then each two of a bucket that are not in one group yet are compared, in blocks of at most
@@ -168,21 +168,22 @@ def _class_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b, d (null beyond twice the budget), budget of each pair of classes."""
+    """a, b, d (null beyond twice the budget), budget and nb (words of b) of each pair of classes."""
     a = texts.select(F.col("c").alias("a"), F.col("words").alias("wa"))
     b = texts.select(F.col("c").alias("b"), F.col("words").alias("wb"))
 
     def run(batches):
         for batch in batches:
-            d, budget = [], []
+            d, budget, nb = [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = x.split(" "), y.split(" ")
+                nb.append(len(y))
                 budget.append(budget_of(len(x), len(y), similarity))
                 d.append(banded_distance(x, y, 2 * budget[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.int32()), pa.array(budget, pa.int32())], names=["a", "b", "d", "budget"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.int32()), pa.array(budget, pa.int32()), pa.array(nb, pa.int32())], names=["a", "b", "d", "budget", "nb"])
 
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb")
-    return both.mapInArrow(run, "a long, b long, d int, budget int")
+    return both.mapInArrow(run, "a long, b long, d int, budget int, nb int")
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
@@ -234,10 +235,17 @@ def class_groups(rows: DataFrame, classes: DataFrame, similarity: float = SIMILA
         other = stored(_apart(seen, roots))
         if other.isEmpty():
             return roots
-        # Pairs that the triangle inequality leaves open: a member at the rim, a class just outside.
-        outside = other.where(F.col("d").isNotNull()).select("bucket", F.col("b").alias("y"), F.col("d").alias("dy"), F.col("budget").alias("ty"))
-        rim = seen.where(linked & (F.col("d") > 0)).select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"), F.col("budget").alias("tx"))
-        near = outside.join(rim, "bucket").where(F.col("dy") - F.col("dx") <= F.greatest("tx", "ty"))
+        # Pairs that the triangle inequality leaves open: a member of the first one's group, a class outside it.
+        room = lambda n, m: F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
+        outside = other.select("bucket", F.col("b").alias("y"), F.col("d").alias("dy"), F.coalesce("d", 2 * F.col("budget") + 1).alias("ly"), F.col("nb").alias("ny"))
+        rim = seen.join(other.select("bucket", "b"), ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"), F.coalesce("d", 2 * F.col("budget") + 1).alias("lx"), F.col("nb").alias("nx"))
+        rim = stored(rim.where((F.col("dx") > 0) | F.col("dx").isNull()))
+        # No member is farther from the first one than the farthest; most outsiders are settled by it alone.
+        most = rim.groupBy("bucket").agg(F.max(F.coalesce("dx", F.lit(2**31 - 1))).alias("far"), F.max("nx").alias("long"))
+        outside = outside.join(most, "bucket").where(F.col("ly") - F.col("far") <= room(F.col("long"), F.col("ny")))
+        of_two = room(F.col("nx"), F.col("ny"))
+        open_to = lambda least, known: F.coalesce(F.col(least) - F.col(known) <= of_two, F.lit(True))
+        near = outside.join(rim, "bucket").where(open_to("ly", "dx") & open_to("lx", "dy") & (F.abs(F.col("nx") - F.col("ny")) <= of_two))
         open_ = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         level = _buckets(other.select("bucket", F.col("b").alias("c")))
 

@@ -107,6 +107,25 @@ def test_bucket_headed_by_an_unrelated_text(spark, words, monkeypatch, block):
     assert grouped(spark, texts, [[1]] * len(texts)) == groups(texts)  # all meet in one sketch only
 
 
+def test_links_beside_the_first_class(spark, words, monkeypatch):
+    monkeypatch.setattr(neardup, "LAST_PAIRS", 0)
+    other = [[f"{c}{i}" for i in range(100)] for c in "pqr"]
+    # A longer text x is linked with the first one, a; y is linked with x alone, and more than twice a's budget from a.
+    a = [f"a{i}" for i in range(100)]
+    x = a + [f"x{i}" for i in range(25)]
+    texts = [" ".join(t) for t in (a, x, x[25:], *other)]
+    assert groups(texts)[:3] == [0, 0, 0] and neardup.budget_of(100, 100) * 2 < distance(a, x[25:])
+    assert grouped(spark, texts, [[1]] * len(texts)) == groups(texts)
+    # x is in a's group by way of m, in other buckets; y is linked with x alone.
+    part = lambda t, at, c: t[:at] + [f"{c}{i}" for i in range(15)] + t[at + 15 :]
+    m = part(a, 0, "m")
+    x = part(m, 20, "x")
+    y = part(x, 40, "y")
+    texts = [" ".join(t) for t in (a, m, x, y, *other)]
+    assert groups(texts)[:4] == [0] * 4 and distance(a, x) > neardup.budget_of(100, 100)
+    assert grouped(spark, texts, [[1, 10, 30], [2, 10, 11], [1, 12, 11], [1, 13, 31], *[[1, 20 + i, 40 + i] for i in range(3)]]) == groups(texts)
+
+
 def removed_lines(texts):
     seen, sets, out = set(), [], defaultdict(list)
     for d, t in enumerate(texts):
