@@ -14,9 +14,9 @@ earlier line that stands first for its set has a Jaccard similarity of at least
 All texts are split into words once for the counts and once for the keys and prefixes; later steps read only those and
 the lines of candidates.
 
-A word that many lines share would pair all of them. Lines of one word are therefore ranked by document, and meet in
-two rounds: first each line with one line, the earliest of those that come first for one of its words; then, if it
-found no earlier match, with all lines before it. So a group of near copies costs about one comparison for each of
+A word that many lines share would pair all of them. Lines of one word are therefore ranked from the earliest on, and
+meet in two rounds: first each line with one line of those that come first for one of its words; then, if it found no
+earlier match, with all lines before it. So a group of near copies costs about one comparison for each of
 them, and no pair of undecided lines is left out.
 
 Defined cases: lines of fewer than ``MIN_WORDS`` different words are always kept and match nothing; null and empty
@@ -115,9 +115,10 @@ def similar_lines(docs: DataFrame) -> DataFrame:
     firsts = keys.join(broadcast_up_to(repeated.select("id"), BROADCAST_ROWS), "id", "left_anti")
 
     # The sets of a word in the order of their lines.
-    met = firsts.select("id", "n", "bits", F.posexplode("prefix").alias("p", "word"))
+    met = firsts.select("id", "n", "bits", "doc_id", "row", "pos", F.posexplode("prefix").alias("p", "word"))
     by_word = Window.partitionBy("word")
-    met = met.select("*", F.count("*").over(by_word).alias("of"), F.row_number().over(by_word.orderBy("id", "p")).alias("rank")).where(F.col("of") > 1)
+    met = met.select("*", F.count("*").over(by_word).alias("of"), F.row_number().over(by_word.orderBy("doc_id", "row", "pos", "p")).alias("rank")).where(F.col("of") > 1)
+    met = met.drop("doc_id", "row", "pos")  # the ranks tell which of two lines is the earlier one; ids only name them
     name = f"words_{uuid.uuid4().hex}"
     ranked = bucketed(met, "word", name)
     a = ranked.select("word", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("bits").alias("bits_a"), F.col("rank").alias("rank_a")).where(F.col("rank") < F.col("of"))

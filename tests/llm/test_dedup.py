@@ -169,6 +169,21 @@ def test_lines_of_repeated_rows(spark, docs_of):
     assert sorted(out) == [0, 1, 1]
 
 
+def test_lines_of_shuffled_documents(spark, docs_of):
+    r, lines = random.Random(8), []
+    for k in range(40):  # the middle one of three lines is similar to both others, which are not similar
+        w = [f"w{k}x{i}" for i in range(20)]
+        x = [*(f"b{k}x{i}" for i in range(2)), *w[2:]]
+        y = [*x[:2], *(f"c{k}x{i}" for i in range(2)), *x[4:]]
+        lines += [" ".join(t) for t in (w, x, y)]
+    r.shuffle(lines)
+    ids = r.sample(range(1000), len(lines))
+    out = {x["doc_id"]: x["z_n_removed"] for x in linededup.remove_similar_lines(docs_of(lines, ids), prefix="z_").collect()}
+    by_id = [t for _, t in sorted(zip(ids, lines, strict=True))]
+    want = removed_lines(by_id)
+    assert [out[i] for i in sorted(ids)] == [len(want[n]) for n in range(len(lines))]
+
+
 def test_least_distance_is_semi_global():
     r = random.Random(2)
     for _ in range(500):
