@@ -14,9 +14,9 @@ each two are compared. In a larger bucket the classes are compared with its firs
   than the budget of x and y, or their lengths do. A distance beyond twice the budget is known to be larger than that
   only. Exactly the pairs that these bounds leave open are compared.
 
-The classes that are not in the first one's group stay in the bucket, with a new first class, as long as this halves
-the pairs that are left; then each two of a bucket that are not in one group yet are compared, in blocks of at most
-about ``BLOCK`` classes by as many. So no bucket is left before its pairs are exhausted. Groups are the connected
+The classes that are not in the first one's group stay in the bucket, with a new first class, for ``ROUNDS`` rounds and as
+long as a further one halves the pairs that are left; then each two of a bucket that are not in one group yet, and whose lengths and sets of words leave
+room for the budget, are compared, in blocks of at most about ``BLOCK`` classes by as many. So no bucket is left before its pairs are exhausted. Groups are the connected
 components of the links.
 
 Defined cases: null texts and texts without words share one class; texts of fewer than five words have one k-mer, the
@@ -37,13 +37,18 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, broadcast_up_to, hashed_words, mixed, stored
 
 WORDS_PER_SHINGLE = 5
-SKETCHES = 20
+#: So many that two texts at SIMILARITY with their edits spread by chance meet in 99 of 100 cases.
+SKETCHES = 128
 TUPLE = 2
 SIMILARITY = 0.8
 #: Classes of a bucket up to which each two are compared.
 SMALL = 3
 #: Pairs of all remaining buckets together up to which each two of a bucket are compared, whatever its size.
 LAST_PAIRS = 50_000
+#: Rounds with a first class before what is left may be compared each two.
+ROUNDS = 3
+#: 64-bit numbers of the set of words by which unlike classes are told before they are aligned.
+MARKS = 16
 #: Classes of a side of a block in which the classes of a large bucket are compared.
 BLOCK = 256
 #: Rows that a table may have to be broadcast; larger ones are joined by shuffle.
@@ -73,7 +78,11 @@ def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE,
         labelled = mixed(mers + mixed(occurrence))
         keyed = mixed_once(labelled[None, :] ^ _SEEDS[:sketches, None])
         if n > size:
-            take = np.sort(np.argpartition(keyed, size - 1, axis=1)[:, :size], axis=1)
+            take, each = np.empty((sketches, size), np.intp), np.arange(sketches)
+            for i in range(size):
+                take[:, i] = keyed.argmin(axis=1)
+                keyed[each, take[:, i]] = np.uint64(2**64 - 1)
+            take.sort(axis=1)
         else:
             take = np.broadcast_to(np.arange(n), (sketches, n))
         value = np.zeros(sketches, np.uint64)
@@ -156,15 +165,20 @@ def sketched(rows: DataFrame) -> DataFrame:
 
 
 def _class_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, words (joined by spaces) of the wanted classes; c is the class's first row."""
+    """c, words (joined by spaces), nw (their number), marks (a bit for each word) of the wanted classes; c is the class's first row."""
 
     def run(batches):
         for batch in batches:
-            joined = [" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(joined, pa.string())], names=["c", "words"])
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            marks = []
+            for w in words:
+                bits = np.zeros(64 * MARKS, bool)
+                bits[(hashed_words(list(set(w))) % np.uint64(64 * MARKS)).astype(np.intp)] = True
+                marks.append(np.packbits(bits).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["c", "words", "nw", "marks"])
 
     met = rows.select(F.col("row").alias("c"), "text").join(broadcast_up_to(wanted, BROADCAST_ROWS), "c")
-    return met.mapInArrow(run, "c long, words string")
+    return met.mapInArrow(run, "c long, words string, nw int, marks array<long>")
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -192,14 +206,26 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return stored(rows.select("bucket", "c", F.count("*").over(by).alias("n"), F.min("c").over(by).alias("a")).where(F.col("n") > 1))
 
 
-def _each_two(level: DataFrame) -> DataFrame:
-    """a, b: each two classes of a bucket. A large bucket's classes are dealt to parts, and each two parts form a block."""
+def _each_two(level: DataFrame, texts: DataFrame | None = None, roots: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b: each two classes of a bucket. A large bucket's classes are dealt to parts, and each two parts form a block.
+
+    With ``texts`` and ``roots``, without pairs in one group and pairs that can't be within the budget: an edit changes
+    the length by one at most, and takes one word at most from the set of words.
+    """
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = level.select("bucket", "c", parts.alias("parts"), F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"))
-    spread = dealt.select("bucket", "c", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    x = spread.where("part <= other").select("bucket", F.col("part").alias("p"), F.col("other").alias("q"), F.col("c").alias("x"))
-    y = spread.where("part >= other").select("bucket", F.col("other").alias("p"), F.col("part").alias("q"), F.col("c").alias("y"))
-    both = x.join(y, ["bucket", "p", "q"]).where((F.col("p") < F.col("q")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
+    more, may = [], F.lit(True)
+    if texts is not None:
+        dealt = dealt.join(texts.select("c", "nw", "marks"), "c").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        more = ["nw", "marks", "root"]
+        lacks = lambda one, other: sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(MARKS)), F.lit(0))
+        room = F.floor((1 - similarity) * F.greatest("x_nw", "y_nw") + 1e-9)
+        may = (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_nw") - F.col("y_nw")) <= room) & (lacks("x_marks", "y_marks") <= room) & (lacks("y_marks", "x_marks") <= room)
+    spread = dealt.select("bucket", "c", "part", *more, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    of = lambda e: [F.col("c").alias(e), *(F.col(m).alias(f"{e}_{m}") for m in more)]
+    x = spread.where("part <= other").select("bucket", F.col("part").alias("p"), F.col("other").alias("q"), *of("x"))
+    y = spread.where("part >= other").select("bucket", F.col("other").alias("p"), F.col("part").alias("q"), *of("y"))
+    both = x.join(y, ["bucket", "p", "q"]).where(((F.col("p") < F.col("q")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))) & may)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -211,13 +237,14 @@ def class_groups(rows: DataFrame, classes: DataFrame, similarity: float = SIMILA
     sketches = classes.select("c", F.posexplode("sk").alias("j", "v"))
     level = _buckets(sketches.select("c", F.xxhash64("j", "v").alias("bucket")))
     texts = stored(_class_words(rows, stored(level.select("c").distinct())))
-    done, open_, roots, before = None, None, None, float("inf")
+    done, open_, roots, before, turn = None, None, None, float("inf"), 0
     while True:
+        turn += 1
         total = level.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-        last = total <= LAST_PAIRS or total > before / 2
+        last = total <= LAST_PAIRS or (turn > ROUNDS and total > before / 2)
         before = total
         large = level.where((F.col("n") > SMALL) & (F.col("c") != F.col("a")) & F.lit(not last))
-        pairs = _each_two(level if last else level.where(F.col("n") <= SMALL))
+        pairs = _each_two(level, texts, roots, similarity) if last and done is not None else _each_two(level if last else level.where(F.col("n") <= SMALL))
         pairs = (pairs if open_ is None else pairs.unionByName(open_)).distinct()
         if done is not None:
             pairs = _apart(pairs, roots)
@@ -292,9 +319,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """doc_id and class_id of every row of ``docs``: equal for documents in one group of near copies."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stored(sketched(rows))
-    grouped = sketches.groupBy("k1", "k2").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"), F.first("sk").alias("sk"))
-    classes = stored(grouped)
-    roots = class_groups(rows, classes.where(F.size("sk") > 0).select("c", "sk"), similarity)
+    classes = stored(sketches.groupBy("k1", "k2").agg(F.min("row").alias("c"), F.min("doc_id").alias("least")))
+    of_class = sketches.where(F.size("sk") > 0).select(F.col("row").alias("c"), "sk").join(broadcast_up_to(classes.select("c"), BROADCAST_ROWS), "c", "left_semi")
+    roots = class_groups(rows, of_class, similarity)
     rooted = classes.join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").select("k1", "k2", "least", F.coalesce("root", "c").alias("root"))
     leaders = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     of = rooted.join(leaders, "root").select("k1", "k2", "class_id")

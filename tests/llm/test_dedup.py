@@ -48,6 +48,19 @@ def test_sketches_see_order():
     assert len(neardup.order_minhash(["one"])) == neardup.SKETCHES
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_near_copies_meet_in_a_sketch(similarity):
+    r, met = random.Random(4), 0
+    for n in range(500):
+        a = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        for i in r.sample(range(200), round(200 * (1 - similarity))):
+            b[i] = f"new{r.randrange(10**6)}"
+        assert n or distance(a, b) <= neardup.budget_of(200, 200)
+        met += any(x == y for x, y in zip(neardup.order_minhash(a), neardup.order_minhash(b), strict=True))
+    assert met >= 0.97 * 500
+
+
 def groups(texts):
     """Components of all pairs within the budget."""
     w = [neardup.words_of(t) for t in texts]
