@@ -34,6 +34,17 @@ CARD = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
 PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"
 HEX = r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?![A-Za-z0-9])"
 ANY = "|".join((EMAIL, IBAN, IP, DATE_YMD, DATE_DMY, SSN, CARD, PHONE, HEX))
+#: Lengths of account numbers by land.
+_IBAN_LANDS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+#: The usual layouts alone, for the second look: a short number or word beside the value is no part of it.
+IBAN_LAID_OUT = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(lands.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, lands in _IBAN_LANDS.items()) + r")(?![A-Za-z0-9])"
+CARD_LAID_OUT = r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"
+AGAIN = "|".join((EMAIL, IBAN_LAID_OUT, IP, DATE_YMD, DATE_DMY, SSN, CARD_LAID_OUT, PHONE, HEX))
 
 
 def _chars(s: Column) -> Column:
@@ -188,15 +199,49 @@ def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> tuple[Column, Column,
     return found, made, rebuilt
 
 
+def _joined(gaps: Column, values: Column) -> Column:
+    """Gaps and the values between them, in turn; there is one gap more."""
+    return F.array_join(F.flatten(F.zip_with(gaps, F.concat(values, F.array(F.lit(""))), lambda gap, value: F.array(gap, value))), "")
+
+
+def _n_changed(found: Column, made: Column) -> Column:
+    return F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x))
+
+
+def _unchanged_gaps(text: Column, found: Column, made: Column) -> Column:
+    """The stretches of a text between the values that passed their check; values that failed it are part of them."""
+    pieces = F.split(text, ANY, -1)
+    steps = F.zip_with(F.zip_with(found, made, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(pieces, F.lit(2), F.size(found)), lambda v, gap: F.struct(v["a"].alias("a"), v["b"].alias("b"), gap.alias("gap")))
+    start = F.struct(F.array().cast("array<string>").alias("all"), F.get(pieces, F.lit(0)).alias("now"))
+
+    def step(s: Column, v: Column) -> Column:
+        passed = v["a"] != v["b"]
+        return F.struct(F.when(passed, F.concat(s["all"], F.array(s["now"]))).otherwise(s["all"]).alias("all"), F.when(passed, v["gap"]).otherwise(F.concat(s["now"], v["a"], v["gap"])).alias("now"))
+
+    return F.aggregate(steps, start, step, lambda s: F.concat(s["all"], F.array(s["now"])))
+
+
 def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, n_found (values matched) and n_changed (values that passed their checks)."""
+    """doc_id, text with pseudonyms, n_found (values matched) and n_changed (values that passed their checks).
+
+    A card or account that fails its check may have taken in a number or word beside it: the stretches of such a text
+    that are still unchanged are searched again for the usual layouts, and for what the long match had covered.
+    """
     found, made, rebuilt = pseudonymised(F.col("text"), key)
+    none, whole = F.array().cast("array<string>"), lambda v: v.rlike(f"^(?:{IBAN}|{CARD})$")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = base.withColumn("found", found).withColumn("made", F.when(F.size("found") > 0, made).otherwise(F.array().cast("array<string>")))
-    changed = F.size(F.filter(F.zip_with("found", "made", lambda a, b: a != b), lambda x: x))
+    out = base.withColumn("found", found).withColumn("made", F.when(F.size("found") > 0, made).otherwise(none))
+    failed = F.exists(F.zip_with("found", "made", lambda a, b: (a == b) & whole(a)), lambda x: x)
+    out = out.withColumn("gaps", F.when(failed, _unchanged_gaps(F.col("text"), F.col("found"), F.col("made"))).otherwise(none))
+    out = out.withColumn("again", F.transform("gaps", lambda g: F.regexp_extract_all(g, F.lit(AGAIN), F.lit(0))))
+    out = out.withColumn("remade", F.transform("again", lambda f: F.transform(f, lambda v: pseudonym(v, F.lit(key)))))
+    changed = _n_changed(F.col("found"), F.col("made"))
+    more = F.aggregate(F.zip_with("again", "remade", _n_changed), F.lit(0), lambda s, n: s + n)
+    passed = F.filter(F.zip_with("found", "made", lambda a, b: F.when(a != b, b)), lambda v: v.isNotNull())
+    twice = _joined(F.zip_with("gaps", "remade", lambda g, m: _joined(F.split(g, AGAIN, -1), m)), passed)
     return out.select(
         "doc_id",
-        F.when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"),
-        F.greatest(F.size("found"), F.lit(0)).alias("n_found"),
-        F.greatest(changed, F.lit(0)).alias("n_changed"),
+        F.when(F.size("gaps") > 0, twice).when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"),
+        F.greatest(F.size("found"), changed + more, F.lit(0)).alias("n_found"),
+        F.greatest(changed + more, F.lit(0)).alias("n_changed"),
     )

@@ -43,6 +43,16 @@ def test_invalid_values_stay(spark, docs_of):
     assert out == texts and n == [0] * len(texts)
 
 
+def test_numbers_and_words_beside_a_value(spark, docs_of):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"{card} 12/27", "4111111111111111 123", "3782 822463 10005 1234", f"{iban} EUR", f"{iban} BANK", f"pay {card} 123-45-6789 from 10.0.0.1, 12 {card}."]
+    out, n = changed(spark, docs_of, texts)
+    assert n == [1, 1, 1, 1, 1, 4]
+    for a, b, end in zip(out, texts, (" 12/27", " 123", " 1234", " EUR", " BANK", "."), strict=True):
+        assert a.endswith(end) and len(a) >= len(b) - 8 and card not in a and iban not in a and "123-45-6789" not in a
+    assert all(luhn(re.sub(r"\D", "", t[:19] if i == 0 else t[:16] if i == 1 else t[:17])) for i, t in enumerate(out[:3]))
+
+
 def test_each_kind(spark, docs_of):
     texts = ["on 2024-02-29 and 29.02.2024 or 12/31/1999", "from 10.0.0.1.", "Ann.Lee7@mail.example.com", "+1 (017) 555-7713", "123-45-6789", "GB82 WEST 1234 5698 7654 32", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"]
     out, n = changed(spark, docs_of, texts)
