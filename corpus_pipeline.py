@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe.llm import bpe, decontaminate, linededup, neardup, quality
-from gazeframe.llm.common import read, shared_folder
+from gazeframe.llm.common import numbered, read, shared_folder
 from gazeframe.llm.queries import TOKENIZER_PATH
 
 
@@ -33,7 +33,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of repeated rows of it, one."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs, "__row")
     classes = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
     # Within a group the smallest doc_id leads; the row number settles equal or missing ids.
     grouped = rows.select("__row", "doc_id").join(classes.select(F.col("doc_id").alias("__row"), "class_id"), "__row")
@@ -43,7 +43,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs, "__row")
     leaked = decontaminate.leaks(rows.select(F.col("__row").alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
     return rows.join(leaked.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
 

@@ -46,6 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row, stored: file splits, and with them numbers made anew, depend on the cores alive."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """A stored table with a broadcast hint if it has at most ``rows`` rows; else as it is, to be joined by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

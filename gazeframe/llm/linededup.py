@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, stored
+from .common import broadcast_up_to, numbered, stored
 
 #: Similar lines: 5 |A and B| >= 4 |A or B|; kept as whole numbers, so that no rounding decides.
 THRESHOLD = (4, 5)
@@ -167,11 +167,11 @@ def _verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
 def remove_similar_lines(docs: DataFrame, prefix: str = "") -> DataFrame:
     """``docs`` with its later similar lines taken out of ``text``, and the columns n_lines, n_removed and removed (their places).
 
-    ``prefix`` stands before the three new names, for tables that have columns of these names. ``docs`` is read more
-    than once and must be a stored table, whose rows keep their order.
+    ``prefix`` stands before the three new names, for tables that have columns of these names. ``docs`` is read
+    once; its rows are numbered and stored.
     """
     names = docs.columns
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs, "__row")
     base = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     gone = stored(similar_lines(base).groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("pos")).alias("__gone")))
     out = rows.join(broadcast_up_to(gone, BROADCAST_ROWS), "__row", "left")

@@ -21,7 +21,7 @@ components of the links.
 
 Defined cases: null texts and texts without words share one class; texts of fewer than five words have one k-mer, the
 whole text; repeated rows get the same class; class_id is the smallest known doc_id of the group, null only if none of
-its ids is known. ``docs`` is read more than once and must be a stored table, whose rows keep their order.
+its ids is known. ``docs`` is read once; its rows are numbered and stored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_up_to, hashed_words, mixed, stored
+from .common import bounded_batches, broadcast_up_to, hashed_words, mixed, numbered, stored
 
 WORDS_PER_SHINGLE = 5
 #: So many that two texts at SIMILARITY with their edits spread by chance meet in 99 of 100 cases.
@@ -317,7 +317,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id of every row of ``docs``: equal for documents in one group of near copies."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
     sketches = stored(sketched(rows))
     classes = stored(sketches.groupBy("k1", "k2").agg(F.min("row").alias("c"), F.min("doc_id").alias("least")))
     of_class = sketches.where(F.size("sk") > 0).select(F.col("row").alias("c"), "sk").join(broadcast_up_to(classes.select("c"), BROADCAST_ROWS), "c", "left_semi")

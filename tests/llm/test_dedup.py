@@ -197,6 +197,25 @@ def test_lines_of_shuffled_documents(spark, docs_of):
     assert [out[i] for i in sorted(ids)] == [len(want[n]) for n in range(len(lines))]
 
 
+def test_rows_keep_their_numbers_when_cores_change(spark, words, tmp_path, monkeypatch):
+    texts = [words(12, i // 2) + f" own{i}" for i in range(24)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(f"{tmp_path}/d")
+    cores, store = iter([2, 12] * 100), linededup.stored
+
+    def after_a_change(df):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(next(cores)))
+        return store(df)
+
+    monkeypatch.setattr(linededup, "stored", after_a_change)
+    try:
+        out = {x["doc_id"]: x["z_removed"] for x in linededup.remove_similar_lines(spark.read.parquet(f"{tmp_path}/d"), prefix="z_").collect()}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    want = removed_lines(texts)
+    assert out == {i: want[i] for i in range(24)} and any(out.values())
+
+
 def test_least_distance_is_semi_global():
     r = random.Random(2)
     for _ in range(500):
