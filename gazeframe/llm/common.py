@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python worker holds; whole texts pass, so the count bounds its memory.
 BATCH_ROWS = 512
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +29,13 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set, as in local tests."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set and Spark runs in one process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[\d*, ]+\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -39,11 +45,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, an action's shuffle files go as soon as the action has ended."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint. What was shuffled for it goes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing lazy reads any more."""
+    for table in tables:
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            remove_folder(table.sparkSession, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, with all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:

@@ -4,44 +4,57 @@ A line is the set of its lower-case words. A later line is removed if its set eq
 earlier line that stands first for its set has a Jaccard similarity of at least ``THRESHOLD`` with it. The join:
 
 * words are counted over all lines (in 65,536 hashed kinds, so the counts have a fixed size) and each line's words
-  are ordered by rarity; two similar sets share ``SHARED`` words among the first ``n - ceil(t n) + SHARED`` of that
-  order (prefix);
-* lines meet on a shared prefix word if their sizes (length filter) and the places of the word (positional filter)
-  leave room for the overlap that the threshold asks for, and 64 bits set by their words don't differ too much; they
-  are candidates if they meet on ``SHARED`` words;
+  are ordered by rarity;
+* the prefix of a line is its first pairs of neighbours in that order. A word that only one of two lines has breaks at
+  most two pairs of that line and one of the other, so two similar lines of n and m words that share a words have
+  ``SHARED`` pairs in common among the first ``2 (n - a) + (m - a) + SHARED`` of each. Pairs of words are rare where
+  single words are not: the lines that meet on one grow with the text that is alike, not with the corpus;
+* lines that meet must leave room for the overlap by their sizes (length filter) and by the places of the pair
+  (positional filter), and by 256 bits that their words set;
 * what is left is verified on the words of the lines themselves.
 
-All texts are split into words once for the counts and once for the keys and prefixes; later steps read only those and
-the lines of candidates.
+All texts are split into words once for the counts and once for the prefixes; after that only the lines that meet
+another one are read again.
 
-A word that many lines share would pair all of them. Lines of one word are therefore ranked from the earliest on, and
-meet in two rounds: first each line with one line of those that come first for one of its words; then, if it found no
-earlier match, with all lines before it. So a group of near copies costs about one comparison for each of
-them, and no pair of undecided lines is left out.
+A group of near copies would pair all its lines. A line needs one earlier match only, so each line is compared with one
+line that it meets; those without an earlier match with four and then with eight further ones, the earliest of hashed
+subsets of each pair's lines (sums that Spark combines before it shuffles); what still has no match meets all lines
+before it, so no pair of undecided lines is left out. Pairs that a sample shows to be very common are dealt to several
+tasks; the sample only decides that.
 
-Defined cases: lines of fewer than ``MIN_WORDS`` different words are always kept and match nothing; null and empty
-texts have no lines to remove and stay as they are; "earlier" is by doc_id (nulls first), then row, then place; of
-repeated rows the first keeps its lines; columns with other names pass through.
+Rows are told apart by two 64-bit hashes of id and text, so nothing depends on how the input is split into tasks, and
+no copy of the texts is written.
+
+Defined cases: lines without words are always kept and match nothing; short lines are lines like any other (below
+four different words, only equal sets are similar enough); null and empty texts have no lines to remove and stay as
+they are; "earlier" is by doc_id (nulls first), then a hash of the text, then place; of rows that repeat both id and
+text one keeps its lines and the others keep those without words; columns with other names pass through. ``docs``
+must give the same rows whenever it is read.
 """
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, numbered, stored
+from .common import broadcast_up_to, dropped, numbered, stored
 
 #: Similar lines: 5 |A and B| >= 4 |A or B|; kept as whole numbers, so that no rounding decides.
 THRESHOLD = (4, 5)
-MIN_WORDS = 5
 KINDS = 1 << 16
-#: Prefix words that candidates share.
+#: Pairs of the prefixes that similar lines have in common.
 SHARED = 2
-#: Rows that a table may have to be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 300_000
+#: Lines of fewer different words are similar to equal sets only.
+LEAST_UNEQUAL = 4
+#: Hashed subsets of a pair's lines whose earliest lines are tried, round by round.
+SUBSETS = (4, 8)
+#: 64-bit numbers whose bits a line's words set.
+MARKS = 4
+#: A pair that this many of the lines with a hash divisible by SAMPLE have is dealt to SALTS tasks.
+SAMPLE, COMMON, SALTS = 64, 20, 64
+#: Rows of numbers that a table may have to be broadcast (32 bytes each at most); larger ones are joined by shuffle.
+BROADCAST_ROWS = 600_000
+PLACE = ("doc_id", "t1", "t2", "pos")
 
 
 def _words(line: Column) -> Column:
@@ -56,6 +69,16 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and t1, t2: the hashes by which a row is known."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc.alias("doc_id"), text.alias("text"), *_identity(doc, text))
+
+
+def _identity(doc: Column, text: Column, names=("t1", "t2")) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), F.isnull(doc), doc, text).alias(name) for seed, name in enumerate(names)]
+
+
 def word_classes(docs: DataFrame) -> list[int]:
     """For each hashed kind of word, a class from 0 (rare) to 63, by the logarithm of its count over all texts."""
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
@@ -84,102 +107,176 @@ def _least_size(n: Column) -> Column:
     return F.floor((up * n + (down - 1)) / down).cast("int")
 
 
-def line_keys(docs: DataFrame, classes: list[int]) -> DataFrame:
-    """id, doc_id, row, pos, n (different words), bits, key and key2 (of the set) and prefix of every line that takes part."""
-    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = lines.select("doc_id", "row", "pos", _ordered(_hashes(F.col("line")), classes).alias("w"))
+def _prefix_words(n: Column) -> Column:
+    """Words of a prefix: with a >= 4 (n + m) / 9 shared words, 2 (n - a) + (m - a) is (2n - m) / 3 at most."""
+    return F.floor((2 * n - _least_size(n)) / 3).cast("int") + SHARED + 1
+
+
+def line_keys(base: DataFrame, classes: list[int]) -> DataFrame:
+    """id, the line's place, n (different words), key and key2 (of the set) and prefix (32-bit hashes of words) of every line."""
+    lines = base.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    words = lines.select(*PLACE, _ordered(_hashes(F.col("line")), classes).alias("w"))
     n = F.size("w")
-    short = F.transform(F.slice("w", F.lit(1), n - _least_size(n) + SHARED), lambda h: F.hash(h))  # only meets; sets are verified
+    prefix = F.transform(F.slice("w", F.lit(1), _prefix_words(n)), lambda h: F.hash(h))  # lines only meet on it; sets are verified
+    return words.select(F.monotonically_increasing_id().alias("id"), *PLACE, n.alias("n"), F.xxhash64("w").alias("key"), F.xxhash64(F.lit(1), F.col("w")).alias("key2"), prefix.alias("prefix"))
+
+
+def _repeated_sets(lines: DataFrame) -> DataFrame:
+    """id, at, kept: every line but the first of its set, its place and the first one's."""
+    keys = ["key", "key2"]
+    more = stored(lines.where(F.col("n") > 0).groupBy(*keys).count().where(F.col("count") > 1).select(*keys))
+    of = stored(lines.select("id", F.struct(*PLACE, "id").alias("at"), *keys).join(broadcast_up_to(more, BROADCAST_ROWS), keys))
+    firsts = stored(of.groupBy(*keys).agg(F.min("at").alias("first")))
+    out = stored(of.join(firsts, keys).where(F.col("at.id") != F.col("first.id")).select("id", *(F.struct(*(F.col(f"{c}.{x}").alias(x) for x in PLACE)).alias(name) for c, name in (("at", "at"), ("first", "kept")))))
+    dropped(more, of, firsts)
+    return out
+
+
+def _pairs_of_words(lines: DataFrame) -> DataFrame:
+    """key, id, np for each pair of neighbours in a line's prefix; np holds the line's size above the pair's place."""
+    spots = lines.where(F.col("n") >= LEAST_UNEQUAL).select("id", "n", "prefix", F.posexplode("prefix").alias("p", "h"))
+    np = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long"))
+    return spots.where(F.col("p") < F.size("prefix") - 1).select(F.xxhash64("h", F.get("prefix", F.col("p") + 1)).alias("key"), "id", np.alias("np"))
+
+
+def _size(np: Column) -> Column:
+    return F.shiftright(np, 32).cast("int")
+
+
+def _place(np: Column) -> Column:
+    return np.bitwiseAND(F.lit(2**31 - 1)).cast("int")
+
+
+def _meeting(lines: DataFrame) -> DataFrame:
+    """key, id, np, near: the pairs of words that another line of fitting size has as well, with such a line where the order by size shows one."""
+    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sampled = _pairs_of_words(lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("key").count()
+    # The limit bounds the broadcast; a common pair beyond it is only not dealt to several tasks.
+    common = stored(sampled.where(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(4 * parts).select("key", F.lit(True).alias("common")))
+    dealt = _pairs_of_words(lines).join(F.broadcast(common), "key", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    by = Window.partitionBy("key", "salt").orderBy("np")
+    # Of the lines with a pair, those next by size fit if any does.
+    fits = lambda small, large: 5 * _size(small) >= 4 * _size(large)
+    beside = dealt.select("key", "id", "np", "common", F.lag("np").over(by).alias("below"), F.lead("np").over(by).alias("above"), F.lag("id").over(by).alias("near"))
+    met = beside.where(F.coalesce("common", F.lit(False)) | F.coalesce(fits(F.col("below"), F.col("np")), F.lit(False)) | F.coalesce(fits(F.col("np"), F.col("above")), F.lit(False)))
+    out = stored(met.select("key", "id", "np", F.when(fits(F.col("below"), F.col("np")), F.col("near")).alias("near")))
+    dropped(common)
+    return out
+
+
+def _candidates(base: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, place, n, w (64-bit hashes of the words) and marks of the given lines, read again from their texts."""
+    at = lines.select("id", "t1", "t2", "pos").join(broadcast_up_to(ids, BROADCAST_ROWS), "id", "left_semi")
+    wanted = stored(at.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "id")).alias("wanted")))  # lines of one text
+    # A row repeated with its id is read once.
+    copies = stored(lines.where(F.col("pos") == 0).groupBy("t1", "t2").count().where(F.col("count") > 1).select("t1", "t2"))
+    if not copies.isEmpty():
+        few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+        once = base.join(few, ["t1", "t2"], "left_semi").groupBy("doc_id", "t1", "t2").agg(F.any_value("text").alias("text"))
+        base = base.join(few, ["t1", "t2"], "left_anti").unionByName(once)
+    small = wanted.agg(F.coalesce(F.sum(F.size("wanted") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    texts = base.join(F.broadcast(wanted) if small else wanted, ["t1", "t2"]).select("doc_id", "t1", "t2", "wanted", F.split("text", "\n").alias("all"))
+    picked = texts.select("doc_id", "t1", "t2", "all", F.explode("wanted").alias("e"))
+    words = picked.select(F.col("e.id").alias("id"), "doc_id", "t1", "t2", F.col("e.pos").alias("pos"), _hashes(F.get("all", F.col("e.pos"))).alias("w"))
     one = F.lit(1).cast("bigint")
-    bits = F.aggregate("w", F.lit(0).cast("bigint"), lambda b, h: b.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
-    kept = words.where(n >= MIN_WORDS).select("doc_id", "row", "pos", n.alias("n"), bits.alias("bits"), F.xxhash64("w").alias("key"), F.xxhash64(F.lit(1), F.col("w")).alias("key2"), short.alias("prefix"))
-    return kept.select(F.monotonically_increasing_id().alias("id"), "*")
-
-
-def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """A table of the warehouse in buckets of ``column``, so that later joins on it move no rows."""
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(buckets, column).sortBy(column).saveAsTable(name)
-    return spark.table(name)
-
-
-def similar_lines(docs: DataFrame) -> DataFrame:
-    """row, pos, kept_doc, kept_row, kept_pos: each line to remove, and an earlier line that it matches."""
-    keys = stored(line_keys(docs, word_classes(docs)))
-    at = F.struct("doc_id", "row", "pos")
-
-    # Later lines of a set; what is left stands for its set.
-    sets = keys.groupBy("key", "key2").agg(F.min(at).alias("first"), F.count("*").alias("n_lines")).where(F.col("n_lines") > 1)
-    repeated = stored(keys.select("id", "key", "key2", at.alias("at")).join(sets, ["key", "key2"]).where(F.col("at") != F.col("first")).select("id", "at", F.col("first").alias("kept")))
-    firsts = keys.join(broadcast_up_to(repeated.select("id"), BROADCAST_ROWS), "id", "left_anti")
-
-    # The sets of a word in the order of their lines.
-    met = firsts.select("id", "n", "bits", "doc_id", "row", "pos", F.posexplode("prefix").alias("p", "word"))
-    by_word = Window.partitionBy("word")
-    met = met.select("*", F.count("*").over(by_word).alias("of"), F.row_number().over(by_word.orderBy("doc_id", "row", "pos", "p")).alias("rank")).where(F.col("of") > 1)
-    met = met.drop("doc_id", "row", "pos")  # the ranks tell which of two lines is the earlier one; ids only name them
-    name = f"words_{uuid.uuid4().hex}"
-    ranked = bucketed(met, "word", name)
-    a = ranked.select("word", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("bits").alias("bits_a"), F.col("rank").alias("rank_a")).where(F.col("rank") < F.col("of"))
-    meet = lambda b, a: b.join(a, "word").where((F.col("rank_a") < F.col("rank")) & _may_match()).select("id_a", F.col("id").alias("id_b"))
-
-    one = stored(meet(ranked, a.where("rank_a = 1")).groupBy("id_b").agg(F.min("id_a").alias("id_a")))
-    near = stored(_verified(one, keys, docs))
-    done = broadcast_up_to(stored(near.select(F.col("later_id").alias("id")).distinct()), BROADCAST_ROWS)
-    rest = meet(ranked.join(done, "id", "left_anti"), a).groupBy("id_a", "id_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED)
-    rest = stored(rest.join(one, ["id_a", "id_b"], "left_anti"))
-    found = [near, stored(_verified(rest, keys, docs))]
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # all that follows is stored
-    matched = [m.select(F.col("later").alias("at"), F.col("earlier").alias("kept")) for m in found]
-    removed = reduce(DataFrame.unionByName, matched, repeated.select("at", "kept"))
-    best = removed.groupBy("at").agg(F.min("kept").alias("kept"))
-    return best.select("at.row", "at.pos", F.col("kept.doc_id").alias("kept_doc"), F.col("kept.row").alias("kept_row"), F.col("kept.pos").alias("kept_pos"))
-
-
-def _may_match() -> Column:
-    """Length, positional and bit filters of two lines that meet on one of their first ``SHARED`` common words; none drops a similar pair.
-
-    Each word sets one bit of 64. A line's bits that the other lacks stand for words that the other lacks, and of those
-    there are no more than its size less the needed overlap.
-    """
-    n, m, need = F.col("n"), F.col("n_a"), _overlap_needed(F.col("n"), F.col("n_a"))
-    room = F.least(n - F.col("p"), m - F.col("p_a"))
-    lacks = lambda one, other: F.bit_count(F.col(one).bitwiseAND(F.bitwise_not(F.col(other))))
-    return (F.col("id") != F.col("id_a")) & (F.least(n, m) >= _least_size(F.greatest(n, m))) & (room + SHARED - 1 >= need) & (lacks("bits", "bits_a") <= n - need) & (lacks("bits_a", "bits") <= m - need)
-
-
-def _verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """earlier, later (doc_id, row, pos), later_id of the candidate pairs whose lines are similar; only the candidates' lines are read again."""
-    ids = stored(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct())
-    places = stored(keys.select("id", "row", "pos").join(broadcast_up_to(ids, BROADCAST_ROWS), "id"))
-    wanted = stored(places.groupBy("row").agg(F.collect_list(F.struct("pos", "id")).alias("places")))
-    texts = docs.join(broadcast_up_to(wanted, BROADCAST_ROWS), "row").select("doc_id", "row", F.explode("places").alias("e"), F.split("text", "\n").alias("all"))
-    lines = texts.select(F.col("e.id").alias("id"), F.struct("doc_id", "row", F.col("e.pos").alias("pos")).alias("at"), F.get("all", F.col("e.pos")).alias("line"))
-    a = lines.select(F.col("id").alias("id_a"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
-    b = lines.select(F.col("id").alias("id_b"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
-    both = pairs.join(b, "id_b").join(a, "id_a").withColumn("w_a", _hashes(F.col("line_a"))).withColumn("w_b", _hashes(F.col("line_b")))
-    similar = both.where(F.size(F.array_intersect("w_a", "w_b")) >= _overlap_needed(F.size("w_a"), F.size("w_b")))
+    bit = lambda b, h: b.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
+    part = lambda k: F.filter("w", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(MARKS - 1)) == k)
+    marks = [F.aggregate(part(k), F.lit(0).cast("bigint"), bit).alias(f"m{k}") for k in range(MARKS)]
+    out = stored(words.select("id", *PLACE, F.size("w").alias("n"), "w", *marks))
+    dropped(wanted)
+    return out
+
+
+def _may_match(np: Column, np_a: Column) -> Column:
+    """Length and positional filter of two lines that meet on a pair; none drops a similar pair of lines."""
+    n, m, p, q = _size(np), _size(np_a), _place(np), _place(np_a)
+    return (F.least(n, m) >= _least_size(F.greatest(n, m))) & (F.least(p, q) + F.least(n - p, m - q) >= _overlap_needed(n, m))
+
+
+def _marks_allow() -> Column:
+    """A line's bits that the other lacks stand for words that the other lacks; there are no more than its size less the needed overlap."""
+    n, m = _size(F.col("np")), _size(F.col("np_a"))
+    need = _overlap_needed(n, m)
+    lacks = lambda one, other: sum((F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}{k}")))) for k in range(MARKS)), F.lit(0))
+    return (lacks("m", "a") <= n - need) & (lacks("a", "m") <= m - need)
+
+
+def _verified(pairs: DataFrame, cand: DataFrame) -> DataFrame:
+    """later_id, at, kept (places) of the pairs (a, b) whose lines are similar."""
+    of = lambda e: cand.select(F.col("id").alias(e), F.struct(*PLACE).alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    similar = both.where((F.col("at_a") != F.col("at_b")) & (F.size(F.array_intersect("w_a", "w_b")) >= _overlap_needed(F.size("w_a"), F.size("w_b"))))
     x, y = F.col("at_a"), F.col("at_b")
-    return similar.select(F.least(x, y).alias("earlier"), F.greatest(x, y).alias("later"), F.when(x < y, F.col("id_b")).otherwise(F.col("id_a")).alias("later_id"))
+    return stored(similar.select(F.when(x < y, F.col("b")).otherwise(F.col("a")).alias("later_id"), F.greatest(x, y).alias("at"), F.least(x, y).alias("kept")))
+
+
+def similar_lines(base: DataFrame) -> DataFrame:
+    """at, kept (doc_id, t1, t2, pos): the places of each line to remove and of an earlier line that it matches."""
+    lines = stored(line_keys(base, word_classes(base)))
+    repeated = _repeated_sets(lines)
+    firsts = lines.join(broadcast_up_to(repeated.select("id"), BROADCAST_ROWS), "id", "left_anti")
+    met = _meeting(firsts)
+    tried = stored(met.groupBy("id").agg(F.count("*").alias("n_pairs"), F.min("near").alias("near")).where(F.col("n_pairs") >= SHARED))
+    cand = _candidates(base, lines, tried.select("id"))
+    dropped(lines)
+
+    found = [_verified(tried.where(F.col("near").isNotNull()).select(F.col("near").alias("a"), F.col("id").alias("b")), cand)]
+    undecided = lambda ids: stored(ids.select("id").join(broadcast_up_to(found[-1].select(F.col("later_id").alias("id")).distinct(), BROADCAST_ROWS), "id", "left_anti"))
+    rest = undecided(tried)
+    for n in SUBSETS:
+        earliest = met.groupBy("key", F.pmod(F.xxhash64(F.lit(n), F.col("id")), F.lit(n)).alias("subset")).agg(F.min("id").alias("a"), F.min_by("np", "id").alias("np_a"))
+        of_rest = met.select("key", "id", "np").join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
+        meet = of_rest.join(earliest, "key").where((F.col("a") != F.col("id")) & _may_match(F.col("np"), F.col("np_a")))
+        pairs = meet.groupBy(F.col("id").alias("b"), "subset").agg(F.min("a").alias("a")).select("a", "b").distinct()
+        found.append(_verified(pairs, cand))
+        rest = undecided(rest)
+    marked = cand.select("id", F.struct(*PLACE).alias("at"), *(f"m{k}" for k in range(MARKS)))
+    all_met = stored(met.select("key", "id", "np").join(marked, "id"))
+    b = all_met.join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
+    a = all_met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a"), F.col("at").alias("at_a"), *(F.col(f"m{k}").alias(f"a{k}") for k in range(MARKS)))
+    meet = b.join(a, "key").where((F.col("at_a") < F.col("at")) & _may_match(F.col("np"), F.col("np_a")) & _marks_allow())
+    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), cand))
+
+    every = repeated.select("at", "kept").where(F.col("at") != F.col("kept"))
+    for f in found:
+        every = every.unionByName(f.select("at", "kept"))
+    out = stored(every.groupBy("at").agg(F.min("kept").alias("kept")))
+    dropped(met, tried, cand, all_met, repeated, *found)
+    return out
 
 
 def remove_similar_lines(docs: DataFrame, prefix: str = "") -> DataFrame:
     """``docs`` with its later similar lines taken out of ``text``, and the columns n_lines, n_removed and removed (their places).
 
-    ``prefix`` stands before the three new names, for tables that have columns of these names. ``docs`` is read
-    once; its rows are numbered and stored.
+    ``prefix`` stands before the three new names, for tables that have columns of these names.
     """
     names = docs.columns
-    rows = numbered(docs, "__row")
-    base = rows.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = stored(similar_lines(base).groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("pos")).alias("__gone")))
-    out = rows.join(broadcast_up_to(gone, BROADCAST_ROWS), "__row", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    base = identified(docs)
+    t = ("__t1", "__t2")
+    gone = stored(similar_lines(base).groupBy(F.col("at.t1").alias(t[0]), F.col("at.t2").alias(t[1])).agg(F.sort_array(F.collect_list("at.pos")).alias("__gone")))
+    few = gone.agg(F.coalesce(F.sum(F.size("__gone") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    rows = docs.select("*", *_identity(F.col("doc_id").cast("long"), F.col("text").cast("string"), t))
+    out = rows.join(F.broadcast(gone) if few else gone, list(t), "left")
+    text, all_lines = F.col("text").cast("string"), F.split("text", "\n")
+    copies = stored(rows.groupBy(*t).count().where((F.col("count") > 1)).select(*t))
+    copy = F.lit(False)
+    if not copies.isEmpty():
+        # Only the repeated rows are numbered and stored; the first number of each keeps its lines.
+        of = broadcast_up_to(copies, BROADCAST_ROWS)
+        again = numbered(out.join(of, list(t), "left_semi"), "__number")
+        first = again.groupBy(*t).agg(F.min("__number").alias("__first"))
+        marked = again.join(first, list(t)).withColumn("__copy", F.col("__number") != F.col("__first")).drop("__number", "__first")
+        out, copy = out.join(of, list(t), "left_anti").withColumn("__copy", F.lit(False)).unionByName(marked), F.col("__copy")
+    wordless = lambda line: ~line.rlike(r"[^ \t\r]")
+    of_copy = F.array_compact(F.transform(all_lines, lambda x, i: F.when(~wordless(x), i)))
+    removed = F.coalesce(F.when(copy & text.isNotNull(), of_copy).otherwise(F.col("__gone")), F.array().cast("array<int>"))
+    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    left = F.array_join(F.filter(all_lines, wordless), "\n")
+    new = F.when(copy & text.isNotNull(), left).when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     return out.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in names],
-        F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(F.lit(0)).alias(f"{prefix}n_lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).alias(f"{prefix}n_removed"),
-        F.coalesce("__gone", F.array().cast("array<int>")).alias(f"{prefix}removed"),
+        *[new.alias("text") if c == "text" else F.col(c) for c in names],
+        F.when(F.length("text") > 0, F.size(all_lines)).otherwise(F.lit(0)).alias(f"{prefix}n_lines"),
+        F.size(removed).alias(f"{prefix}n_removed"),
+        removed.alias(f"{prefix}removed"),
     )

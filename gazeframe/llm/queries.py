@@ -69,7 +69,7 @@ ORACLE_SQL = {
         ), k AS (
             SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[ \t\r]+'), lambda x: x <> ''))) AS s FROM l
         ), r AS (
-            SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS n FROM k WHERE len(s) >= 5
+            SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS n FROM k WHERE len(s) > 0
         ), sets AS (
             SELECT row_number() OVER (ORDER BY doc_id, pos) AS id, doc_id, pos, s FROM r WHERE n = 1
         ), words AS (

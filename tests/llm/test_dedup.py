@@ -144,7 +144,7 @@ def removed_lines(texts):
     for d, t in enumerate(texts):
         for p, line in enumerate((t or "").split("\n")):
             w = frozenset(x for x in re.split(r"[ \t\r]+", line.lower()) if x)
-            if len(w) < linededup.MIN_WORDS:
+            if not w:
                 continue
             if w in seen or any(5 * len(w & v) >= 4 * len(w | v) for v in sets):
                 out[d].append(p)
@@ -182,6 +182,27 @@ def test_lines_of_repeated_rows(spark, docs_of):
     assert sorted(out) == [0, 1, 1]
 
 
+def test_lines_of_repeated_rows_without_ids_and_with_many_lines(spark, docs_of):
+    text = "one\n\none two three four\none two three four five\n  \nsix"
+    out = [(r["text"], r["z_removed"]) for r in linededup.remove_similar_lines(docs_of([text] * 3 + ["six\nseven"], [None, None, 4, 5]), prefix="z_").collect()]
+    first, copy = ("one\n\none two three four\n  \nsix", [3]), ("\n  ", [0, 2, 3, 5])
+    assert sorted(out) == sorted([first, copy, copy, ("seven", [0])])
+
+
+@pytest.mark.parametrize("common", [linededup.COMMON, 1])
+def test_a_large_group_of_similar_lines(spark, docs_of, words, monkeypatch, common):
+    monkeypatch.setattr(linededup, "COMMON", common)
+    monkeypatch.setattr(linededup, "SAMPLE", 2)
+    r = random.Random(11)
+    base = words(40, 1)
+    texts = [edit(base, r.randrange(0, 16), i) for i in range(150)] + [words(40, 1000 + i) for i in range(20)]
+    texts += [" ".join([words(20, 2), words(20, 3000 + i)]) for i in range(60)]  # half of each line is common to all
+    r.shuffle(texts)
+    out = {x["doc_id"]: x["z_removed"] for x in linededup.remove_similar_lines(docs_of(texts), prefix="z_").collect()}
+    want = removed_lines(texts)
+    assert out == {i: want[i] for i in range(len(texts))} and 50 < sum(map(bool, out.values())) < 150
+
+
 def test_lines_of_shuffled_documents(spark, docs_of):
     r, lines = random.Random(8), []
     for k in range(40):  # the middle one of three lines is similar to both others, which are not similar
