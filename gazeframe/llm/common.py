@@ -8,7 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python worker holds; whole texts pass, so the count bounds its memory.
@@ -88,6 +88,41 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def identity(doc: Column, text: Column, names: tuple[str, str] = ("t1", "t2")) -> list[Column]:
+    """Two 64-bit hashes of id and text, by which a row is known in whatever way the input is split into tasks."""
+    return [F.xxhash64(F.lit(seed), F.isnull(doc), doc, F.isnull(text), text).alias(name) for seed, name in enumerate(names)]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text and their hashes t1, t2."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc.alias("doc_id"), text.alias("text"), *identity(doc, text))
+
+
+#: A key that this many rows of a sample of one in SAMPLE have is dealt to SALTS tasks.
+SAMPLE, COMMON, SALTS = 64, 20, 64
+
+
+def beside(rows: DataFrame, sampled: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """``rows`` with those next to each in the ``order`` of its key: below, above (their order), near (the name of the one below), common.
+
+    ``sampled`` are the rows of one in SAMPLE names. Keys that it shows to be very common are dealt to several tasks,
+    and their rows see the neighbours in their task only; the sample decides nothing else.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = sampled.groupBy(key).count().where(F.col("count") >= COMMON)
+    # The limit bounds the broadcast; a common key beyond it is only not dealt to several tasks.
+    common = stored(counted.orderBy(F.desc("count")).limit(4 * parts).select(key, F.lit(True).alias("common")))
+    dealt = rows.join(F.broadcast(common), key, "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    dealt = dealt.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64(name), F.lit(SALTS))).otherwise(0))
+    by = Window.partitionBy(key, "salt").orderBy(order)
+    return dealt.select(*rows.columns, "common", F.lag(order).over(by).alias("below"), F.lead(order).over(by).alias("above"), F.lag(name).over(by).alias("near"))
+
+
+def one_in_sample(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.pmod(F.xxhash64(name), F.lit(SAMPLE)) == 0)
+
+
 def id_remainder(column, modulus: int):
     """crc32 of an id's decimal text modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(column.cast("string")), F.lit(modulus))

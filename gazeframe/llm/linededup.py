@@ -34,10 +34,10 @@ must give the same rows whenever it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_up_to, dropped, numbered, stored
+from .common import beside, broadcast_up_to, dropped, identified, identity, numbered, one_in_sample, stored
 
 #: Similar lines: 5 |A and B| >= 4 |A or B|; kept as whole numbers, so that no rounding decides.
 THRESHOLD = (4, 5)
@@ -50,8 +50,6 @@ LEAST_UNEQUAL = 4
 SUBSETS = (4, 8)
 #: 64-bit numbers whose bits a line's words set.
 MARKS = 4
-#: A pair that this many of the lines with a hash divisible by SAMPLE have is dealt to SALTS tasks.
-SAMPLE, COMMON, SALTS = 64, 20, 64
 #: Rows of numbers that a table may have to be broadcast (32 bytes each at most); larger ones are joined by shuffle.
 BROADCAST_ROWS = 600_000
 PLACE = ("doc_id", "t1", "t2", "pos")
@@ -69,16 +67,6 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and t1, t2: the hashes by which a row is known."""
-    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(doc.alias("doc_id"), text.alias("text"), *_identity(doc, text))
-
-
-def _identity(doc: Column, text: Column, names=("t1", "t2")) -> list[Column]:
-    return [F.xxhash64(F.lit(seed), F.isnull(doc), doc, text).alias(name) for seed, name in enumerate(names)]
-
-
 def word_classes(docs: DataFrame) -> list[int]:
     """For each hashed kind of word, a class from 0 (rare) to 63, by the logarithm of its count over all texts."""
     words = docs.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
@@ -149,20 +137,11 @@ def _place(np: Column) -> Column:
 
 def _meeting(lines: DataFrame) -> DataFrame:
     """key, id, np, near: the pairs of words that another line of fitting size has as well, with such a line where the order by size shows one."""
-    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sampled = _pairs_of_words(lines.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("key").count()
-    # The limit bounds the broadcast; a common pair beyond it is only not dealt to several tasks.
-    common = stored(sampled.where(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(4 * parts).select("key", F.lit(True).alias("common")))
-    dealt = _pairs_of_words(lines).join(F.broadcast(common), "key", "left")
-    dealt = dealt.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
-    by = Window.partitionBy("key", "salt").orderBy("np")
     # Of the lines with a pair, those next by size fit if any does.
-    fits = lambda small, large: 5 * _size(small) >= 4 * _size(large)
-    beside = dealt.select("key", "id", "np", "common", F.lag("np").over(by).alias("below"), F.lead("np").over(by).alias("above"), F.lag("id").over(by).alias("near"))
-    met = beside.where(F.coalesce("common", F.lit(False)) | F.coalesce(fits(F.col("below"), F.col("np")), F.lit(False)) | F.coalesce(fits(F.col("np"), F.col("above")), F.lit(False)))
-    out = stored(met.select("key", "id", "np", F.when(fits(F.col("below"), F.col("np")), F.col("near")).alias("near")))
-    dropped(common)
-    return out
+    fits = lambda small, large: F.coalesce(5 * _size(F.col(small)) >= 4 * _size(F.col(large)), F.lit(False))
+    rows = beside(_pairs_of_words(lines), _pairs_of_words(one_in_sample(lines, "id")), "key", "id", "np")
+    met = rows.where(F.col("common") | fits("below", "np") | fits("np", "above"))
+    return stored(met.select("key", "id", "np", F.when(fits("below", "np"), F.col("near")).alias("near")))
 
 
 def _candidates(base: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -256,7 +235,7 @@ def remove_similar_lines(docs: DataFrame, prefix: str = "") -> DataFrame:
     t = ("__t1", "__t2")
     gone = stored(similar_lines(base).groupBy(F.col("at.t1").alias(t[0]), F.col("at.t2").alias(t[1])).agg(F.sort_array(F.collect_list("at.pos")).alias("__gone")))
     few = gone.agg(F.coalesce(F.sum(F.size("__gone") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
-    rows = docs.select("*", *_identity(F.col("doc_id").cast("long"), F.col("text").cast("string"), t))
+    rows = docs.select("*", *identity(F.col("doc_id").cast("long"), F.col("text").cast("string"), t))
     out = rows.join(F.broadcast(gone) if few else gone, list(t), "left")
     text, all_lines = F.col("text").cast("string"), F.split("text", "\n")
     copies = stored(rows.groupBy(*t).count().where((F.col("count") > 1)).select(*t))

@@ -4,64 +4,76 @@ A document's words (lower case, without punctuation) give five-word k-mers; each
 so far is distinct. Each of ``SKETCHES`` sketches takes the ``TUPLE`` k-mers with the smallest keyed hashes and keeps
 their text order, so two documents meet in a sketch the more likely, the more similar they are in edit distance. A
 pair that meets is verified by a bit-parallel alignment in a band: documents are near copies if the word edit
-distance is at most ``1 - SIMILARITY`` of the longer one.
+distance is at most ``1 - SIMILARITY`` of the longer one. Groups are the connected components of the links.
 
-Documents with the same words form one class at once. Within a bucket (sketch and value) of at most ``SMALL`` classes
-each two are compared. In a larger bucket the classes are compared with its first class; edit distance is a metric, so
+Documents with the same words form one class at once. The classes of a bucket (sketch and value) are candidates of each
+other; a link between two that are in one group already changes nothing, so
 
-* two classes of the first one's group, by whatever links, need no comparison with each other;
-* a class x of that group and a class y outside it can't be linked if their distances from the first differ by more
-  than the budget of x and y, or their lengths do. A distance beyond twice the budget is known to be larger than that
-  only. Exactly the pairs that these bounds leave open are compared.
+* each class is first aligned with one class that it meets, then with the first ones of four and of eight hashed
+  subsets of each bucket, and after each of these rounds the buckets whose classes are all in one group are done;
+* what is left is compared in full: each two classes of a bucket that are in different groups and whose lengths and
+  sets of words leave room for the budget (a test on numbers of fixed size inside the join) are aligned. Only copies
+  at the rim of a group and texts that merely share a passage come this far.
 
-The classes that are not in the first one's group stay in the bucket, with a new first class, for ``ROUNDS`` rounds and as
-long as a further one halves the pairs that are left; then each two of a bucket that are not in one group yet, and whose lengths and sets of words leave
-room for the budget, are compared, in blocks of at most about ``BLOCK`` classes by as many. So no bucket is left before its pairs are exhausted. Groups are the connected
-components of the links.
+There is no bound on a bucket's classes. Buckets that a sample shows to be very common are dealt to several tasks for
+the first round; Spark splits them in the later joins.
 
 Defined cases: null texts and texts without words share one class; texts of fewer than five words have one k-mer, the
 whole text; repeated rows get the same class; class_id is the smallest known doc_id of the group, null only if none of
-its ids is known. ``docs`` is read once; its rows are numbered and stored.
+its ids is known. Rows are told apart by hashes of id and text, so ``docs`` must give the same rows whenever it is read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, broadcast_up_to, hashed_words, mixed, numbered, stored
+from .common import beside, bounded_batches, broadcast_up_to, dropped, hashed_words, identified, mixed, one_in_sample, stored
 
 WORDS_PER_SHINGLE = 5
 #: So many that two texts at SIMILARITY with their edits spread by chance meet in 99 of 100 cases.
 SKETCHES = 128
 TUPLE = 2
 SIMILARITY = 0.8
-#: Classes of a bucket up to which each two are compared.
-SMALL = 3
-#: Pairs of all remaining buckets together up to which each two of a bucket are compared, whatever its size.
-LAST_PAIRS = 50_000
-#: Rounds with a first class before what is left may be compared each two.
-ROUNDS = 3
+#: Hashed subsets of a bucket whose first classes are tried, round by round.
+SUBSETS = (4, 8)
 #: 64-bit numbers of the set of words by which unlike classes are told before they are aligned.
 MARKS = 16
-#: Classes of a side of a block in which the classes of a large bucket are compared.
-BLOCK = 256
-#: Rows that a table may have to be broadcast; larger ones are joined by shuffle.
+#: k-mers that are keyed at a time, so that a text of any length takes bounded memory.
+KEYED = 1 << 14
+#: Rows of a few numbers that a table may have to be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _WORD = re.compile(r"\w+")
-_SEEDS = mixed(np.arange(1, 257, dtype=np.uint64))
+_FACTORS = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE, k: int = WORDS_PER_SHINGLE) -> list[int]:
+def _two_smallest(labels: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
+    """For each factor the places of the ``size`` labels whose product with it, modulo 2^32, is smallest."""
+    each, values, places = np.arange(len(factors)), [], []
+    for start in range(0, len(labels), KEYED):
+        keyed = labels[None, start : start + KEYED] * factors[:, None]
+        for _ in range(min(size, keyed.shape[1])):
+            at = keyed.argmin(axis=1)
+            values.append(keyed[each, at].astype(np.uint64))
+            places.append(at + start)
+            keyed[each, at] = np.uint32(2**32 - 1)
+    if len(places) == size:
+        return np.stack(places, axis=1)
+    best = np.argsort(np.stack(values, axis=1), axis=1, kind="stable")[:, :size]
+    return np.take_along_axis(np.stack(places, axis=1), best, axis=1)
+
+
+def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE, k: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """A signed 64-bit value for each sketch."""
     h = hashed_words(words)
     n = max(1, len(h) - k + 1)
@@ -75,25 +87,15 @@ def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE,
         new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
         occurrence = np.empty(n, np.uint64)
         occurrence[order] = (np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))).astype(np.uint64)
-        labelled = mixed(mers + mixed(occurrence))
-        keyed = mixed_once(labelled[None, :] ^ _SEEDS[:sketches, None])
+        labels = (mixed(mers + mixed(occurrence)) >> np.uint64(32)).astype(np.uint32)
         if n > size:
-            take, each = np.empty((sketches, size), np.intp), np.arange(sketches)
-            for i in range(size):
-                take[:, i] = keyed.argmin(axis=1)
-                keyed[each, take[:, i]] = np.uint64(2**64 - 1)
-            take.sort(axis=1)
+            take = np.sort(_two_smallest(labels, _FACTORS[:sketches], size), axis=1)
         else:
             take = np.broadcast_to(np.arange(n), (sketches, n))
         value = np.zeros(sketches, np.uint64)
         for at in take.T:
             value = mixed(value) + mers[at]
-    return value.view(np.int64).tolist()
-
-
-def mixed_once(v: np.ndarray) -> np.ndarray:
-    v = v * np.uint64(0x9E3779B97F4A7C15)
-    return v ^ (v >> np.uint64(31))
+    return value.view(np.int64)
 
 
 def banded_distance(a, b, budget: int) -> int | None:
@@ -146,26 +148,34 @@ def budget_of(a: int, b: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * max(a, b) + 1e-9)
 
 
+def _room(n, m, similarity: float):
+    """The budget as a column."""
+    return F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
+
+
 def sketched(rows: DataFrame) -> DataFrame:
-    """row, doc_id, k1, k2 (128-bit key of the words), sk (sketches; empty for texts without words)."""
+    """doc_id, t1, t2, k1, k2 (128-bit key of the words), nw (their number), sk (sketches; empty for texts without words)."""
     bounded_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
-            k1, k2, sk = [], [], []
-            for text in batch.column(2).to_pylist():
+            k1, k2, nw, sk = [], [], [], []
+            for text in batch.column(3).to_pylist():
                 words = words_of(text)
                 digest = hashlib.md5(" ".join(words).encode("utf-8", "replace")).digest()
                 k1.append(int.from_bytes(digest[:8], "big", signed=True))
                 k2.append(int.from_bytes(digest[8:], "big", signed=True))
-                sk.append(order_minhash(words) if words else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sk, pa.list_(pa.int64()))], names=["row", "doc_id", "k1", "k2", "sk"])
+                nw.append(len(words))
+                sk.append(order_minhash(words) if words else np.empty(0, np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sk]))).astype(np.int32)
+            sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sk) if sk else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(nw, pa.int32()), sketches], names=["doc_id", "t1", "t2", "k1", "k2", "nw", "sk"])
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, k1 long, k2 long, sk array<long>")
+    return rows.select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, nw int, sk array<long>")
 
 
-def _class_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, words (joined by spaces), nw (their number), marks (a bit for each word) of the wanted classes; c is the class's first row."""
+def class_words(texts: DataFrame) -> DataFrame:
+    """c, words (joined by spaces), nw (their number), marks (a bit for each word) of c, text."""
 
     def run(batches):
         for batch in batches:
@@ -177,104 +187,79 @@ def _class_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 marks.append(np.packbits(bits).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["c", "words", "nw", "marks"])
 
-    met = rows.select(F.col("row").alias("c"), "text").join(broadcast_up_to(wanted, BROADCAST_ROWS), "c")
-    return met.mapInArrow(run, "c long, words string, nw int, marks array<long>")
+    return texts.select("c", "text").mapInArrow(run, "c long, words string, nw int, marks array<long>")
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b, d (null beyond twice the budget), budget and nb (words of b) of each pair of classes."""
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes that are near copies."""
     a = texts.select(F.col("c").alias("a"), F.col("words").alias("wa"))
     b = texts.select(F.col("c").alias("b"), F.col("words").alias("wb"))
 
     def run(batches):
         for batch in batches:
-            d, budget, nb = [], [], []
+            near = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = x.split(" "), y.split(" ")
-                nb.append(len(y))
-                budget.append(budget_of(len(x), len(y), similarity))
-                d.append(banded_distance(x, y, 2 * budget[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.int32()), pa.array(budget, pa.int32()), pa.array(nb, pa.int32())], names=["a", "b", "d", "budget", "nb"])
+                near.append(banded_distance(x, y, budget_of(len(x), len(y), similarity)) is not None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb")
-    return both.mapInArrow(run, "a long, b long, d int, budget int, nb int")
+    return stored(both.mapInArrow(run, "a long, b long, near boolean").where("near").select("a", "b"))
+
 
+def _meeting(classes: DataFrame, similarity: float) -> DataFrame:
+    """bucket, c, nw, near: the buckets in which a class meets another one of fitting length, with such a class where the order by length shows one."""
+    rows = lambda of: of.select("c", "nw", F.posexplode("sk").alias("j", "v")).select(F.xxhash64("j", "v").alias("bucket"), "c", "nw")
+    fits = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= _room(F.col(x), F.col(y), similarity), F.lit(False))
+    met = beside(rows(classes), rows(one_in_sample(classes, "c")), "bucket", "c", "nw")
+    met = met.where(F.col("common") | fits("below", "nw") | fits("nw", "above"))
+    return stored(met.select("bucket", "c", "nw", F.when(fits("below", "nw"), F.col("near")).alias("near")))
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """bucket, c with n and a: how many classes the bucket has, and its first one; buckets of one class are left out."""
-    by = Window.partitionBy("bucket")
-    return stored(rows.select("bucket", "c", F.count("*").over(by).alias("n"), F.min("c").over(by).alias("a")).where(F.col("n") > 1))
 
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, c, nw, root in the buckets whose classes aren't all in one group."""
+    rooted = met.select("bucket", "c", "nw").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    several = stored(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
+    out = stored(rooted.join(broadcast_up_to(several, BROADCAST_ROWS), "bucket", "left_semi"))
+    dropped(several)
+    return out
 
-def _each_two(level: DataFrame, texts: DataFrame | None = None, roots: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: each two classes of a bucket. A large bucket's classes are dealt to parts, and each two parts form a block.
 
-    With ``texts`` and ``roots``, without pairs in one group and pairs that can't be within the budget: an edit changes
-    the length by one at most, and takes one word at most from the set of words.
+def _apart_in_full(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each two classes of a bucket in different groups that may be near copies.
+
+    An edit changes the length by one at most, and takes one word at most from the set of words.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = level.select("bucket", "c", parts.alias("parts"), F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"))
-    more, may = [], F.lit(True)
-    if texts is not None:
-        dealt = dealt.join(texts.select("c", "nw", "marks"), "c").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        more = ["nw", "marks", "root"]
-        lacks = lambda one, other: sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(MARKS)), F.lit(0))
-        room = F.floor((1 - similarity) * F.greatest("x_nw", "y_nw") + 1e-9)
-        may = (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_nw") - F.col("y_nw")) <= room) & (lacks("x_marks", "y_marks") <= room) & (lacks("y_marks", "x_marks") <= room)
-    spread = dealt.select("bucket", "c", "part", *more, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    of = lambda e: [F.col("c").alias(e), *(F.col(m).alias(f"{e}_{m}") for m in more)]
-    x = spread.where("part <= other").select("bucket", F.col("part").alias("p"), F.col("other").alias("q"), *of("x"))
-    y = spread.where("part >= other").select("bucket", F.col("other").alias("p"), F.col("part").alias("q"), *of("y"))
-    both = x.join(y, ["bucket", "p", "q"]).where(((F.col("p") < F.col("q")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))) & may)
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def class_groups(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """c, root of every class (c, sk) that has a verified link: root is the smallest class it is connected with.
-
-    Pairs whose ends are in one group already are left out at each level: they can't change a group.
+    marked = met.join(texts.select("c", "marks"), "c")
+    b = marked.select("bucket", F.col("c").alias("b"), F.col("root").alias("root_b"), F.col("nw").alias("nb"), F.col("marks").alias("mb"))
+    lacks = lambda one, other: sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(MARKS)), F.lit(0))
+    room = _room(F.col("nw"), F.col("nb"), similarity)
+    may = (F.col("root") != F.col("root_b")) & (F.abs(F.col("nw") - F.col("nb")) <= room) & (lacks("marks", "mb") <= room) & (lacks("mb", "marks") <= room)
+    return marked.join(b, "bucket").where((F.col("c") < F.col("b")) & may).select(F.col("c").alias("a"), "b").distinct()
+
+
+def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """c, root of every class (c, nw, sk) that has a verified link: root is the smallest class it is connected with.
+
+    ``texts_of`` gives c and text of the classes asked for (c).
     """
-    sketches = classes.select("c", F.posexplode("sk").alias("j", "v"))
-    level = _buckets(sketches.select("c", F.xxhash64("j", "v").alias("bucket")))
-    texts = stored(_class_words(rows, stored(level.select("c").distinct())))
-    done, open_, roots, before, turn = None, None, None, float("inf"), 0
-    while True:
-        turn += 1
-        total = level.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-        last = total <= LAST_PAIRS or (turn > ROUNDS and total > before / 2)
-        before = total
-        large = level.where((F.col("n") > SMALL) & (F.col("c") != F.col("a")) & F.lit(not last))
-        pairs = _each_two(level, texts, roots, similarity) if last and done is not None else _each_two(level if last else level.where(F.col("n") <= SMALL))
-        pairs = (pairs if open_ is None else pairs.unionByName(open_)).distinct()
-        if done is not None:
-            pairs = _apart(pairs, roots)
-        pairs = pairs.unionByName(large.select("a", F.col("c").alias("b"))).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        aligned = stored(_aligned(pairs, texts, similarity))
-        done = aligned if done is None else done.unionByName(aligned)
-        linked = F.col("d") <= F.col("budget")
-        roots = merged(roots, aligned.where(linked).select("a", "b"))
-        if last:
-            return roots
-        # What a large bucket's first class is not in one group with.
-        seen = large.select("bucket", "a", F.col("c").alias("b")).join(done, ["a", "b"])
-        other = stored(_apart(seen, roots))
-        if other.isEmpty():
-            return roots
-        # Pairs that the triangle inequality leaves open: a member of the first one's group, a class outside it.
-        room = lambda n, m: F.floor((1 - similarity) * F.greatest(n, m) + 1e-9)
-        outside = other.select("bucket", F.col("b").alias("y"), F.col("d").alias("dy"), F.coalesce("d", 2 * F.col("budget") + 1).alias("ly"), F.col("nb").alias("ny"))
-        rim = seen.join(other.select("bucket", "b"), ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("x"), F.col("d").alias("dx"), F.coalesce("d", 2 * F.col("budget") + 1).alias("lx"), F.col("nb").alias("nx"))
-        rim = stored(rim.where((F.col("dx") > 0) | F.col("dx").isNull()))
-        # No member is farther from the first one than the farthest; most outsiders are settled by it alone.
-        most = rim.groupBy("bucket").agg(F.max(F.coalesce("dx", F.lit(2**31 - 1))).alias("far"), F.max("nx").alias("long"))
-        outside = outside.join(most, "bucket").where(F.col("ly") - F.col("far") <= room(F.col("long"), F.col("ny")))
-        of_two = room(F.col("nx"), F.col("ny"))
-        open_to = lambda least, known: F.coalesce(F.col(least) - F.col(known) <= of_two, F.lit(True))
-        near = outside.join(rim, "bucket").where(open_to("ly", "dx") & open_to("lx", "dy") & (F.abs(F.col("nx") - F.col("ny")) <= of_two))
-        open_ = stored(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        level = _buckets(other.select("bucket", F.col("b").alias("c")))
+    met = _meeting(classes, similarity)
+    first = stored(met.groupBy("c").agg(F.min("near").alias("a")))
+    texts = stored(class_words(texts_of(first.select("c"))))
+    links = _linked(first.where(F.col("a").isNotNull()).select("a", F.col("c").alias("b")), texts, similarity)
+    roots = components(links)
+    for n in SUBSETS:
+        left = _open(met, roots)
+        dropped(met)
+        met = left
+        firsts = met.groupBy("bucket", F.pmod(F.xxhash64(F.lit(n), "c"), F.lit(n)).alias("subset")).agg(F.min("c").alias("a"), F.min_by("root", "c").alias("root_a"), F.min_by("nw", "c").alias("na"))
+        meet = met.join(firsts, "bucket").where((F.col("root") != F.col("root_a")) & (F.abs(F.col("nw") - F.col("na")) <= _room(F.col("nw"), F.col("na"), similarity)))
+        pairs = meet.groupBy(F.col("c").alias("b"), "subset").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        roots = merged(roots, _linked(pairs, texts, similarity))
+    left = _open(met, roots)
+    roots = merged(roots, _linked(_apart_in_full(left, texts, similarity), texts, similarity))
+    dropped(met, first, texts, left)
+    return roots
 
 
 def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -292,14 +277,6 @@ def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(kept.unionByName(new.join(roots, "c", "left_anti")))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows whose a and b are not in one group."""
-    roots = broadcast_up_to(roots, BROADCAST_ROWS)
-    of = lambda c: roots.select(F.col("c").alias(c), F.col("root").alias(f"root_{c}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
-
-
 def components(links: DataFrame) -> DataFrame:
     """c, root: the smallest class that each linked class is connected with (classes without links are left out)."""
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -317,12 +294,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id of every row of ``docs``: equal for documents in one group of near copies."""
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "row")
-    sketches = stored(sketched(rows))
-    classes = stored(sketches.groupBy("k1", "k2").agg(F.min("row").alias("c"), F.min("doc_id").alias("least")))
-    of_class = sketches.where(F.size("sk") > 0).select(F.col("row").alias("c"), "sk").join(broadcast_up_to(classes.select("c"), BROADCAST_ROWS), "c", "left_semi")
-    roots = class_groups(rows, of_class, similarity)
-    rooted = classes.join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").select("k1", "k2", "least", F.coalesce("root", "c").alias("root"))
+    base = identified(docs)
+    sketches = stored(sketched(base))
+    classes = sketches.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.min(F.struct("t1", "t2")).alias("at"), F.any_value("nw").alias("nw"), F.any_value("sk").alias("sk"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "*"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """The text of the row that stands for each class; of repeated rows, of one."""
+        at = stored(classes.select("c", "at.t1", "at.t2").join(broadcast_up_to(wanted, BROADCAST_ROWS), "c", "left_semi"))
+        return base.join(broadcast_up_to(at, BROADCAST_ROWS), ["t1", "t2"]).groupBy("c").agg(F.any_value("text").alias("text"))
+
+    roots = class_groups(classes.where(F.size("sk") > 0).select("c", "nw", "sk"), texts_of, similarity)
+    rooted = classes.select("c", "k1", "k2", "least").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").select("k1", "k2", "least", F.coalesce("root", "c").alias("root"))
     leaders = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    of = rooted.join(leaders, "root").select("k1", "k2", "class_id")
-    return sketches.select("doc_id", "k1", "k2").join(of, ["k1", "k2"]).select("doc_id", "class_id")
+    of = stored(rooted.join(leaders, "root").select("k1", "k2", "class_id"))
+    out = stored(sketches.select("doc_id", "k1", "k2").join(broadcast_up_to(of, BROADCAST_ROWS), ["k1", "k2"]).select("doc_id", "class_id"))
+    dropped(sketches, classes, of, roots)
+    return out

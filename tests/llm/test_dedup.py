@@ -43,8 +43,8 @@ def test_banded_distance_is_the_edit_distance():
 
 def test_sketches_see_order():
     w = [f"w{i}" for i in range(300)]
-    a, b = neardup.order_minhash(w), neardup.order_minhash(w[150:] + w[:150])
-    assert a == neardup.order_minhash(list(w)) and sum(x == y for x, y in zip(a, b, strict=True)) < len(a)
+    a, b = neardup.order_minhash(w).tolist(), neardup.order_minhash(w[150:] + w[:150]).tolist()
+    assert a == neardup.order_minhash(list(w)).tolist() and sum(x == y for x, y in zip(a, b, strict=True)) < len(a)
     assert len(neardup.order_minhash(["one"])) == neardup.SKETCHES
 
 
@@ -96,8 +96,7 @@ def test_near_duplicates_odd_tables(spark, docs_of, words):
     assert neardup.near_duplicates(docs_of([])).count() == 0
 
 
-def test_large_bucket_is_one_group(spark, docs_of, words, monkeypatch):
-    monkeypatch.setattr(neardup, "LAST_PAIRS", 3)
+def test_large_bucket_is_one_group(spark, docs_of, words):
     a = words(80, 1)
     texts = [edit(a, 2, i) for i in range(30)] + [words(80, 100 + i) for i in range(5)]
     out = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs_of(texts)).collect()}
@@ -106,22 +105,28 @@ def test_large_bucket_is_one_group(spark, docs_of, words, monkeypatch):
 
 def grouped(spark, texts, sketches):
     """The root of each class; its text and its sketches are given."""
-    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    classes = spark.createDataFrame(list(enumerate(sketches)), "c long, sk array<long>")
-    roots = {r["c"]: r["root"] for r in neardup.class_groups(rows, classes).collect()}
+    table = spark.createDataFrame(list(enumerate(texts)), "c long, text string")
+    classes = spark.createDataFrame([(c, len(neardup.words_of(texts[c])), sk) for c, sk in enumerate(sketches)], "c long, nw int, sk array<long>")
+    roots = {r["c"]: r["root"] for r in neardup.class_groups(classes, lambda wanted: table.join(wanted, "c", "left_semi")).collect()}
     return [roots.get(i, i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_bucket_headed_by_an_unrelated_text(spark, words, monkeypatch, block):
-    monkeypatch.setattr(neardup, "LAST_PAIRS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize("common, rows", [(20, 300_000), (1, 0)])
+def test_many_groups_in_one_bucket(spark, words, monkeypatch, common, rows):
+    monkeypatch.setattr("gazeframe.llm.common.COMMON", common)
+    monkeypatch.setattr("gazeframe.llm.common.SAMPLE", 1)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", rows)
     texts = [words(60, 300)] + [edit(words(60, 301 + i % 7), 2, i) for i in range(21)]
+    # Texts around one passage, near copies among them, some of them farther from each other than from a third one.
+    passage = words(60, 400)
+    for i in range(12):
+        own = words(40, 500 + i)
+        texts += [f"{passage} {own}", f"{passage} {edit(own, 12, i)}", f"{passage} {edit(edit(own, 12, i), 12, 90 + i)}"]
+    random.Random(5).shuffle(texts)
     assert grouped(spark, texts, [[1]] * len(texts)) == groups(texts)  # all meet in one sketch only
 
 
-def test_links_beside_the_first_class(spark, words, monkeypatch):
-    monkeypatch.setattr(neardup, "LAST_PAIRS", 0)
+def test_links_beside_the_first_class(spark, words):
     other = [[f"{c}{i}" for i in range(100)] for c in "pqr"]
     # A longer text x is linked with the first one, a; y is linked with x alone, and more than twice a's budget from a.
     a = [f"a{i}" for i in range(100)]
@@ -189,10 +194,10 @@ def test_lines_of_repeated_rows_without_ids_and_with_many_lines(spark, docs_of):
     assert sorted(out) == sorted([first, copy, copy, ("seven", [0])])
 
 
-@pytest.mark.parametrize("common", [linededup.COMMON, 1])
+@pytest.mark.parametrize("common", [20, 1])
 def test_a_large_group_of_similar_lines(spark, docs_of, words, monkeypatch, common):
-    monkeypatch.setattr(linededup, "COMMON", common)
-    monkeypatch.setattr(linededup, "SAMPLE", 2)
+    monkeypatch.setattr("gazeframe.llm.common.COMMON", common)
+    monkeypatch.setattr("gazeframe.llm.common.SAMPLE", 2)
     r = random.Random(11)
     base = words(40, 1)
     texts = [edit(base, r.randrange(0, 16), i) for i in range(150)] + [words(40, 1000 + i) for i in range(20)]
