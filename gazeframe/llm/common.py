@@ -104,7 +104,7 @@ SAMPLE, COMMON, SALTS = 64, 20, 64
 
 
 def beside(rows: DataFrame, sampled: DataFrame, key: str, name: str, order: str) -> DataFrame:
-    """``rows`` with those next to each in the ``order`` of its key: below, above (their order), near (the name of the one below), common.
+    """``rows`` with those next to each in the ``order`` of its key: below, above (their order), near (the name of the one below), common, only (just one other row has the key).
 
     ``sampled`` are the rows of one in SAMPLE names. Keys that it shows to be very common are dealt to several tasks,
     and their rows see the neighbours in their task only; the sample decides nothing else.
@@ -116,7 +116,9 @@ def beside(rows: DataFrame, sampled: DataFrame, key: str, name: str, order: str)
     dealt = rows.join(F.broadcast(common), key, "left").withColumn("common", F.coalesce("common", F.lit(False)))
     dealt = dealt.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64(name), F.lit(SALTS))).otherwise(0))
     by = Window.partitionBy(key, "salt").orderBy(order)
-    return dealt.select(*rows.columns, "common", F.lag(order).over(by).alias("below"), F.lead(order).over(by).alias("above"), F.lag(name).over(by).alias("near"))
+    below, above = F.lag(order).over(by), F.lead(order).over(by)
+    alone = F.lag(order, 2).over(by).isNull() & F.lead(order, 2).over(by).isNull() & (below.isNull() | above.isNull())
+    return dealt.select(*rows.columns, "common", below.alias("below"), above.alias("above"), F.lag(name).over(by).alias("near"), (alone & ~F.col("common")).alias("only"))
 
 
 def one_in_sample(df: DataFrame, name: str) -> DataFrame:

@@ -140,7 +140,9 @@ def _meeting(lines: DataFrame) -> DataFrame:
     # Of the lines with a pair, those next by size fit if any does.
     fits = lambda small, large: F.coalesce(5 * _size(F.col(small)) >= 4 * _size(F.col(large)), F.lit(False))
     rows = beside(_pairs_of_words(lines), _pairs_of_words(one_in_sample(lines, "id")), "key", "id", "np")
-    met = rows.where(F.col("common") | fits("below", "np") | fits("np", "above"))
+    # If just one other line has the pair, the positional filter decides at once.
+    alone = ~F.col("only") | _may_match(F.col("np"), F.coalesce("below", "above"))
+    met = rows.where((F.col("common") | fits("below", "np") | fits("np", "above")) & alone)
     return stored(met.select("key", "id", "np", F.when(fits("below", "np"), F.col("near")).alias("near")))
 
 
@@ -173,21 +175,34 @@ def _may_match(np: Column, np_a: Column) -> Column:
     return (F.least(n, m) >= _least_size(F.greatest(n, m))) & (F.least(p, q) + F.least(n - p, m - q) >= _overlap_needed(n, m))
 
 
-def _marks_allow() -> Column:
-    """A line's bits that the other lacks stand for words that the other lacks; there are no more than its size less the needed overlap."""
-    n, m = _size(F.col("np")), _size(F.col("np_a"))
+def _marks_allow(n: Column, m: Column) -> Column:
+    """A line's bits (m0, ...) that the other (a0, ...) lacks stand for words that the other lacks; there are no more than its size less the needed overlap."""
     need = _overlap_needed(n, m)
     lacks = lambda one, other: sum((F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}{k}")))) for k in range(MARKS)), F.lit(0))
     return (lacks("m", "a") <= n - need) & (lacks("a", "m") <= m - need)
 
 
-def _verified(pairs: DataFrame, cand: DataFrame) -> DataFrame:
-    """later_id, at, kept (places) of the pairs (a, b) whose lines are similar."""
-    of = lambda e: cand.select(F.col("id").alias(e), F.struct(*PLACE).alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
+def _as_other(cand: DataFrame, *columns: Column) -> DataFrame:
+    """A table's marks under the names of the other line."""
+    return cand.select(F.col("id").alias("a"), *columns, *(F.col(f"m{k}").alias(f"a{k}") for k in range(MARKS)))
+
+
+def _verified(pairs: DataFrame, cand: DataFrame, marked: bool = False) -> DataFrame:
+    """later_id, at, kept (places) of the pairs (a, b) whose lines are similar; unless ``marked``, the marks rule out most others before words are read."""
+    if not marked:
+        narrow = cand.select(F.col("id").alias("b"), "n", *(f"m{k}" for k in range(MARKS)))
+        met = stored(pairs).join(narrow, "b").join(_as_other(cand, F.col("n").alias("n_a")), "a")
+        pairs = met.where(_marks_allow(F.col("n"), F.col("n_a"))).select("a", "b")
+    pairs = stored(pairs)
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    words = stored(cand.select("id", F.struct(*PLACE).alias("at"), "w").join(broadcast_up_to(ids, BROADCAST_ROWS), "id"))
+    of = lambda e: words.select(F.col("id").alias(e), F.col("at").alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))
+    both = broadcast_up_to(pairs, BROADCAST_ROWS).join(of("b"), "b").join(of("a"), "a")
     similar = both.where((F.col("at_a") != F.col("at_b")) & (F.size(F.array_intersect("w_a", "w_b")) >= _overlap_needed(F.size("w_a"), F.size("w_b"))))
     x, y = F.col("at_a"), F.col("at_b")
-    return stored(similar.select(F.when(x < y, F.col("b")).otherwise(F.col("a")).alias("later_id"), F.greatest(x, y).alias("at"), F.least(x, y).alias("kept")))
+    out = stored(similar.select(F.when(x < y, F.col("b")).otherwise(F.col("a")).alias("later_id"), F.greatest(x, y).alias("at"), F.least(x, y).alias("kept")))
+    dropped(pairs, ids, words)
+    return out
 
 
 def similar_lines(base: DataFrame) -> DataFrame:
@@ -210,18 +225,22 @@ def similar_lines(base: DataFrame) -> DataFrame:
         pairs = meet.groupBy(F.col("id").alias("b"), "subset").agg(F.min("a").alias("a")).select("a", "b").distinct()
         found.append(_verified(pairs, cand))
         rest = undecided(rest)
-    marked = cand.select("id", F.struct(*PLACE).alias("at"), *(f"m{k}" for k in range(MARKS)))
-    all_met = stored(met.select("key", "id", "np").join(marked, "id"))
-    b = all_met.join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
-    a = all_met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a"), F.col("at").alias("at_a"), *(F.col(f"m{k}").alias(f"a{k}") for k in range(MARKS)))
-    meet = b.join(a, "key").where((F.col("at_a") < F.col("at")) & _may_match(F.col("np"), F.col("np_a")) & _marks_allow())
-    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), cand))
+    # What is left meets all earlier lines of its pairs of words.
+    of_rest = stored(met.select("key", "id", "np").join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi"))
+    keys = stored(of_rest.select("key").distinct())
+    of_keys = stored(met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a")).join(broadcast_up_to(keys, BROADCAST_ROWS), "key", "left_semi"))
+    at = F.struct(*PLACE)
+    b = of_rest.join(cand.select("id", at.alias("at"), *(f"m{k}" for k in range(MARKS))), "id")
+    a = of_keys.join(_as_other(cand, at.alias("at_a")), "a")
+    n, m = _size(F.col("np")), _size(F.col("np_a"))
+    meet = b.join(a, "key").where((F.col("at_a") < F.col("at")) & _may_match(F.col("np"), F.col("np_a")) & _marks_allow(n, m))
+    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), cand, marked=True))
 
     every = repeated.select("at", "kept").where(F.col("at") != F.col("kept"))
     for f in found:
         every = every.unionByName(f.select("at", "kept"))
     out = stored(every.groupBy("at").agg(F.min("kept").alias("kept")))
-    dropped(met, tried, cand, all_met, repeated, *found)
+    dropped(met, tried, cand, of_rest, keys, of_keys, repeated, *found)
     return out
 
 
