@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch that a Python worker holds; whole texts pass, so the count bounds its memory.
 BATCH_ROWS = 512
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP, _WHOLE_STAGE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.codegen.wholeStage"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,21 +46,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Within it, an action's shuffle files go as soon as the action has ended."""
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the actions within."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(key, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint. What was shuffled for it goes."""
+def stored(df: DataFrame, long_condition: bool = False) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; smaller than a checkpoint. What was shuffled for it goes.
+
+    ``long_condition``: the plan's time goes into a join condition too long for the JVM to compile as part of one
+    method for the whole stage; Spark then makes a method of each part.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with shuffles_dropped(spark):
+    with setting(spark, _CLEANUP, "true"), setting(spark, _WHOLE_STAGE, "false" if long_condition else spark.conf.get(_WHOLE_STAGE)):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,11 +6,13 @@ bit-parallel search measures the edit distance there. Both sides are compared as
 single spaces.
 
 The test items are broadcast in blocks of bounded size, one pass over the documents for each block; the documents
-are never shuffled and their whole texts are searched.
+are never shuffled and their whole texts are searched. With more than one block, each pass is stored and its block
+let go before the next one is gathered, so that driver and executors hold one block whatever their number is.
 
-Defined cases: null and empty documents match nothing; null items and items of fewer than ``MIN_WORDS`` words are
-too short to tell a passage and are left out; repeated items of different ids each match; repeated documents each
-match; an item found in several places of a document counts once, with its least distance.
+Defined cases: null and empty documents match nothing, and so do null items and items without words; items of fewer
+than ``MIN_WORDS`` words must occur word for word; repeated items of different ids each match; an item without an id is
+reported with a null id; repeated documents each match; an item found in several places of a document counts once,
+with its least distance; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, stored
 
-#: Edits allowed for each character of an item.
+#: Edits allowed for each character of an item, and words from which on any are allowed.
 ERROR_RATE = 0.06
 MIN_WORDS = 5
 #: Bounds of a broadcast block of test items.
@@ -44,9 +46,11 @@ def pieces(length: int, errors: int) -> list[tuple[int, int]]:
 class Pattern:
     """One test item prepared for the bit-parallel search."""
 
-    def __init__(self, item_id: int, text: str, error_rate: float):
-        self.id, self.size = item_id, len(text)
-        self.errors = int(error_rate * len(text))
+    def __init__(self, item_id: int | None, text: str, error_rate: float, min_words: int = 0):
+        if short := len(text.split()) < min_words:
+            text = f" {text} "  # whole words
+        self.id, self.text, self.size = item_id, text, len(text)
+        self.errors = 0 if short else int(error_rate * len(text))
         self.masks: dict[str, int] = {}
         for i, c in enumerate(text):
             self.masks[c] = self.masks.get(c, 0) | 1 << i
@@ -82,14 +86,14 @@ def _runs(starts: list[int], gap: int) -> list[tuple[int, int]]:
 class Matcher:
     """All items of a block: an automaton of their pieces, and their patterns."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_words: int = 0):
         import ahocorasick
 
-        self.patterns = [Pattern(i, t, error_rate) for i, t in items]
+        self.patterns = [Pattern(i, t, error_rate, min_words) for i, t in items]
         where: dict[str, list[tuple[int, int]]] = {}
-        for n, ((_, text), p) in enumerate(zip(items, self.patterns, strict=True)):
-            for first, last in pieces(len(text), p.errors):
-                where.setdefault(text[first:last], []).append((n, last))
+        for n, p in enumerate(self.patterns):
+            for first, last in pieces(p.size, p.errors):
+                where.setdefault(p.text[first:last], []).append((n, last))
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
             self.automaton.add_word(piece, at)
@@ -97,10 +101,11 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
-    def matches(self, text: str) -> list[tuple[int, int]]:
+    def matches(self, text: str) -> list[tuple[int | None, int]]:
         """(item id, distance) of the items that occur within their error budget."""
         if self.empty or not text:
             return []
+        text = f" {text} "
         starts: dict[int, list[int]] = {}
         for end, at in self.automaton.iter(text):
             for n, offset in at:
@@ -111,12 +116,12 @@ class Matcher:
             best = min(p.least_distance(text[max(0, first - p.errors) : last + p.size + p.errors]) for first, last in _runs(sorted(where), p.errors))
             if best <= p.errors:
                 found.append((p.id, best))
-        return sorted(found)
+        return sorted(found, key=str)
 
 
 def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The usable items in blocks that hold BLOCK_ITEMS items and BLOCK_CHARS characters on average, by hash."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
@@ -127,13 +132,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     bounded_batches(spark)
-    out = None
-    for block in item_blocks(benchmark):
-        rows = [(r["item_id"], t) for r in block.toLocalIterator() if len((t := normalised(r["text"])).split()) >= min_words]
-        shared = spark.sparkContext.broadcast(sorted(set(rows)))
 
-        def run(batches, shared=shared):
-            matcher = Matcher(shared.value, error_rate)
+    def searched(shared) -> DataFrame:
+        def run(batches):
+            matcher = Matcher(shared.value, error_rate, min_words)
             for batch in batches:
                 ids, items, distances = [], [], []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -143,6 +145,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
                         distances.append(distance)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(distances, pa.int32())], names=["doc_id", "item_id", "distance"])
 
-        hits = docs.mapInArrow(run, "doc_id long, item_id long, distance int")
+        return docs.mapInArrow(run, "doc_id long, item_id long, distance int")
+
+    out, blocks = None, item_blocks(benchmark)
+    for block in blocks:
+        rows = {(r["item_id"], t) for r in block.toLocalIterator() if (t := normalised(r["text"]))}
+        shared = spark.sparkContext.broadcast(sorted(rows, key=str))
+        hits = searched(shared)
+        if len(blocks) > 1:
+            hits = stored(hits)
+            shared.destroy()
         out = hits if out is None else out.unionByName(hits)
     return out

@@ -12,7 +12,7 @@ other; a link between two that are in one group already changes nothing, so
 * each class is first aligned with one class that it meets, then with the first ones of four and of eight hashed
   subsets of each bucket, and after each of these rounds the buckets whose classes are all in one group are done;
 * what is left is compared in full: each two classes of a bucket that are in different groups and whose lengths and
-  sets of words leave room for the budget (a test on numbers of fixed size inside the join) are aligned. Only copies
+  pairs of neighbouring words leave room for the budget (a test on bits inside the join) are aligned. Only copies
   at the rim of a group and texts that merely share a passage come this far.
 
 There is no bound on a bucket's classes. Buckets that a sample shows to be very common are dealt to several tasks for
@@ -43,8 +43,11 @@ TUPLE = 2
 SIMILARITY = 0.8
 #: Hashed subsets of a bucket whose first classes are tried, round by round.
 SUBSETS = (4, 8)
-#: 64-bit numbers of the set of words by which unlike classes are told before they are aligned.
+#: 64-bit numbers whose bits are set by a text's words, and as many by its pairs of neighbouring words, each with its
+#: number of occurrence; by them unlike classes are told before they are aligned.
 MARKS = 16
+_WORD_MARKS, _PAIR_MARKS = [f"w{i}" for i in range(MARKS)], [f"p{i}" for i in range(MARKS)]
+_MARKS = _WORD_MARKS + _PAIR_MARKS
 #: k-mers that are keyed at a time, so that a text of any length takes bounded memory.
 KEYED = 1 << 14
 #: Rows of a few numbers that a table may have to be broadcast; larger ones are joined by shuffle.
@@ -73,6 +76,16 @@ def _two_smallest(labels: np.ndarray, factors: np.ndarray, size: int) -> np.ndar
     return np.take_along_axis(np.stack(places, axis=1), best, axis=1)
 
 
+def with_occurrence(values: np.ndarray) -> np.ndarray:
+    """Each value mixed with the number of its occurrence so far, so that repeated ones are distinct."""
+    order = np.argsort(values, kind="stable")
+    ranked, at = values[order], np.arange(len(values))
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    occurrence = np.empty(len(values), np.uint64)
+    occurrence[order] = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return mixed(values + mixed(occurrence))
+
+
 def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE, k: int = WORDS_PER_SHINGLE) -> np.ndarray:
     """A signed 64-bit value for each sketch."""
     h = hashed_words(words)
@@ -81,13 +94,7 @@ def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE,
     with np.errstate(over="ignore"):
         for i in range(min(k, len(h))):
             mers = mixed(mers) + h[i : i + n]
-        # The occurrence number makes repeated k-mers distinct.
-        order = np.argsort(mers, kind="stable")
-        ranked = mers[order]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        occurrence = np.empty(n, np.uint64)
-        occurrence[order] = (np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))).astype(np.uint64)
-        labels = (mixed(mers + mixed(occurrence)) >> np.uint64(32)).astype(np.uint32)
+        labels = (with_occurrence(mers) >> np.uint64(32)).astype(np.uint32)
         if n > size:
             take = np.sort(_two_smallest(labels, _FACTORS[:sketches], size), axis=1)
         else:
@@ -175,25 +182,47 @@ def sketched(rows: DataFrame) -> DataFrame:
 
 
 def class_words(texts: DataFrame) -> DataFrame:
-    """c, words (joined by spaces), nw (their number), marks (a bit for each word) of c, text."""
+    """c, words (joined by spaces), nw (their number) and marks of c, text."""
 
     def run(batches):
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            marks = []
-            for w in words:
-                bits = np.zeros(64 * MARKS, bool)
-                bits[(hashed_words(list(set(w))) % np.uint64(64 * MARKS)).astype(np.intp)] = True
-                marks.append(np.packbits(bits).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["c", "words", "nw", "marks"])
-
-    return texts.select("c", "text").mapInArrow(run, "c long, words string, nw int, marks array<long>")
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes that are near copies."""
-    a = texts.select(F.col("c").alias("a"), F.col("words").alias("wa"))
-    b = texts.select(F.col("c").alias("b"), F.col("words").alias("wb"))
+            bits = np.zeros((len(words), 2, 64 * MARKS), bool)
+            for i, w in enumerate(words):
+                h = hashed_words(w)
+                with np.errstate(over="ignore"):
+                    bits[i, 0, (with_occurrence(h) % np.uint64(64 * MARKS)).astype(np.intp)] = True
+                    if len(h) > 1:
+                        bits[i, 1, (with_occurrence(mixed(h[:-1]) + h[1:]) % np.uint64(64 * MARKS)).astype(np.intp)] = True
+            marks = np.packbits(bits.reshape(len(words), -1), axis=1).view(np.int64).reshape(len(words), len(_MARKS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], names=["c", "words", "nw", *_MARKS])
+
+    return texts.select("c", "text").mapInArrow(run, f"c long, words string, nw int, {', '.join(f'{m} long' for m in _MARKS)}")
+
+
+def _as_other(table: DataFrame, *columns) -> DataFrame:
+    """A table's marks under the names of the other class."""
+    return table.select(*columns, *(F.col(m).alias(f"o{m}") for m in _MARKS))
+
+
+def _may_link(n, m, similarity: float):
+    """Whether lengths and marks leave room: an edit changes the length by one, takes one word and breaks two pairs of neighbours, at most."""
+    lacks = lambda names, one, other: sum((F.bit_count(F.col(one + k).bitwiseAND(F.bitwise_not(F.col(other + k)))) for k in names), F.lit(0))
+    room = _room(n, m, similarity)
+    words = (lacks(_WORD_MARKS, "", "o") <= room) & (lacks(_WORD_MARKS, "o", "") <= room)
+    return (F.abs(n - m) <= room) & words & (lacks(_PAIR_MARKS, "", "o") <= 2 * room) & (lacks(_PAIR_MARKS, "o", "") <= 2 * room)
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, marked: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes that are near copies; unless ``marked``, the marks rule out most others before words are read."""
+    if not marked:
+        met = stored(pairs).join(texts.select(F.col("c").alias("b"), F.col("nw").alias("nb"), *_MARKS), "b").join(_as_other(texts, F.col("c").alias("a"), F.col("nw").alias("na")), "a")
+        pairs = met.where(_may_link(F.col("na"), F.col("nb"), similarity)).select("a", "b")
+    pairs = stored(pairs)
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
+    words = stored(texts.select("c", "words").join(broadcast_up_to(ids, BROADCAST_ROWS), "c", "left_semi"))
+    a = words.select(F.col("c").alias("a"), F.col("words").alias("wa"))
+    b = words.select(F.col("c").alias("b"), F.col("words").alias("wb"))
 
     def run(batches):
         for batch in batches:
@@ -204,7 +233,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb")
-    return stored(both.mapInArrow(run, "a long, b long, near boolean").where("near").select("a", "b"))
+    out = stored(both.mapInArrow(run, "a long, b long, near boolean").where("near").select("a", "b"))
+    dropped(pairs, ids, words)
+    return out
 
 
 def _meeting(classes: DataFrame, similarity: float) -> DataFrame:
@@ -226,16 +257,11 @@ def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _apart_in_full(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b: each two classes of a bucket in different groups that may be near copies.
-
-    An edit changes the length by one at most, and takes one word at most from the set of words.
-    """
-    marked = met.join(texts.select("c", "marks"), "c")
-    b = marked.select("bucket", F.col("c").alias("b"), F.col("root").alias("root_b"), F.col("nw").alias("nb"), F.col("marks").alias("mb"))
-    lacks = lambda one, other: sum((F.bit_count(F.get(one, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(other, F.lit(i))))) for i in range(MARKS)), F.lit(0))
-    room = _room(F.col("nw"), F.col("nb"), similarity)
-    may = (F.col("root") != F.col("root_b")) & (F.abs(F.col("nw") - F.col("nb")) <= room) & (lacks("marks", "mb") <= room) & (lacks("mb", "marks") <= room)
-    return marked.join(b, "bucket").where((F.col("c") < F.col("b")) & may).select(F.col("c").alias("a"), "b").distinct()
+    """a, b: each two classes of a bucket in different groups that may be near copies."""
+    marked = met.join(texts.select("c", *_MARKS), "c")
+    b = _as_other(marked, "bucket", F.col("c").alias("b"), F.col("root").alias("root_b"), F.col("nw").alias("nb"))
+    may = (F.col("c") < F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("nw"), F.col("nb"), similarity)
+    return stored(marked.join(b, "bucket").where(may).select(F.col("c").alias("a"), "b").distinct(), long_condition=True)
 
 
 def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
@@ -257,7 +283,7 @@ def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         pairs = meet.groupBy(F.col("c").alias("b"), "subset").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         roots = merged(roots, _linked(pairs, texts, similarity))
     left = _open(met, roots)
-    roots = merged(roots, _linked(_apart_in_full(left, texts, similarity), texts, similarity))
+    roots = merged(roots, _linked(_apart_in_full(left, texts, similarity), texts, similarity, marked=True))
     dropped(met, first, texts, left)
     return roots
 

@@ -6,11 +6,15 @@ every position keeps its kind of character, cards and accounts keep valid check
 addresses and dates. The permutation depends on the key and the value alone, so equal values stay linked across
 documents, and different values of one format never meet.
 
-A text is split around its matches and joined again, so everything else stays byte for byte. No rows are shuffled.
+No value spans two lines and each holds a digit or an at sign, so only such lines are searched, once: a text is split
+around its matches and joined again, and everything else stays byte for byte. No rows are shuffled. No pattern repeats
+a group without a bound, so a text of any length is searched on a stack of fixed depth.
 
 Defined cases: null stays null and empty stays empty; values that fail their check (a card number with a wrong
 digit, 31 February) are no personal data and stay; dates run from 1900-01-01 for 73,000 days, others stay; of a
-day-month ambiguity the day comes first where that is a date; repeated rows change alike.
+day-month ambiguity the day comes first where that is a date; repeated rows change alike; a mail name of one character
+and other values of one symbol are shifted by a number that depends on key and format alone (still a permutation); a
+host has at most 126 labels of 63 characters, as names on the net do; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: The demonstration key of the query; real runs pass their own.
-DEFAULT_KEY = "pseudonym-key-1"
+#: The setting of the session that holds the key; without it the demonstration key is used.
+KEY_SETTING, DEMO_KEY = "spark.gazeframe.pseudonym.key", "pseudonym-key-1"
+#: Stands around matches while a text is split; texts that hold it themselves are searched twice instead.
+_MARK = "\ue000"
 _DATE_A, _DATE_B = 250, 292  # a x b = 73,000 days
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-EMAIL = r"(?<![\w.+-])[\w+-][\w.+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![\w.+-])[\w+-][\w.+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE_YMD = r"(?<![\w.])\d{4}([-/.])\d{1,2}\1\d{1,2}(?!\w|\.\d)"
@@ -51,41 +57,50 @@ def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once; an expression that stands in a lambda is worked out for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _stream(key: Column, part: Column, r: Column) -> Column:
     return F.sha2(F.concat_ws("|", key, r.cast("string"), F.array_join(F.transform(part, lambda v: v.cast("string")), ",")), 512)
 
 
 def _added(part: Column, radix: Column, stream: Column) -> Column:
     """Each symbol plus four hex digits of the stream, modulo the symbol's radix; the stream repeats after 32 symbols."""
-    return F.transform(part, lambda v, i: F.pmod(v + F.conv(F.substring(stream, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.get(radix, i)))
+    digits = lambda st, i: F.conv(F.substring(st, (i % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+    return _let(stream, lambda st: F.transform(part, lambda v, i: F.pmod(v + digits(st, i), F.get(radix, i))))
 
 
 def feistel(symbols: Column, radix: Column, key: Column) -> Column:
     """A keyed permutation of symbol arrays in which symbol i stays below radix i; halves take turns."""
-    half = F.floor((F.size(symbols) + 1) / 2).cast("int")
-    cut = lambda a: (F.slice(a, F.lit(1), half), F.slice(a, half + 1, F.size(a)))
-    (a, b), (ra, rb) = cut(symbols), cut(radix)
-    start = F.struct(a.alias("a"), b.alias("b"))
 
     def turn(s: Column, r: Column) -> Column:
-        left = F.when(r % 2 == 0, _added(s["a"], ra, _stream(key, s["b"], r))).otherwise(s["a"])
-        right = F.when(r % 2 == 1, _added(s["b"], rb, _stream(key, s["a"], r))).otherwise(s["b"])
-        return F.struct(left.alias("a"), right.alias("b"))
+        left = F.when(r % 2 == 0, _added(s["a"], s["ra"], _stream(s["key"], s["b"], r))).otherwise(s["a"])
+        right = F.when(r % 2 == 1, _added(s["b"], s["rb"], _stream(s["key"], s["a"], r))).otherwise(s["b"])
+        return F.struct(left.alias("a"), right.alias("b"), s["ra"].alias("ra"), s["rb"].alias("rb"), s["key"].alias("key"))
+
+    def turns(x: Column) -> Column:
+        half = F.floor((F.size(x["s"]) + 1) / 2).cast("int")
+        cut = [f(x[n]).alias(name) for n, names in (("s", ("a", "b")), ("r", ("ra", "rb"))) for name, f in zip(names, (lambda v: F.slice(v, F.lit(1), half), lambda v: F.slice(v, half + 1, F.size(v))), strict=True)]
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(*cut, x["key"].alias("key")), turn, lambda s: F.concat(s["a"], s["b"]))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+    return _let(F.struct(symbols.alias("s"), radix.alias("r"), key.alias("key")), turns)
 
 
 def permuted(value: Column, alphabets: tuple[str, ...], key: Column) -> Column:
     """``value`` with every character of one of the alphabets permuted inside that alphabet; others stay in place."""
-    chars = _chars(value)
 
     def pick(of, otherwise):
         return lambda c: _choose([(F.instr(F.lit(a), c) > 0, of(a, c)) for a in alphabets], otherwise(c))
 
-    symbols = F.transform(chars, pick(lambda a, c: F.instr(F.lit(a), c) - 1, lambda c: F.lit(0)))
-    radix = F.transform(chars, pick(lambda a, c: F.lit(len(a)), lambda c: F.lit(1)))
-    made = feistel(symbols, radix, F.concat_ws("|", key, F.array_join(F.transform(chars, pick(lambda a, c: F.lit(a[0]), lambda c: c)), "")))
-    return F.array_join(F.zip_with(chars, made, lambda c, v: _choose([(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), v + 1, F.lit(1))) for a in alphabets], c)), "")
+    def of_chars(chars: Column) -> Column:
+        symbols = F.transform(chars, pick(lambda a, c: F.instr(F.lit(a), c) - 1, lambda c: F.lit(0)))
+        radix = F.transform(chars, pick(lambda a, c: F.lit(len(a)), lambda c: F.lit(1)))
+        made = feistel(symbols, radix, F.concat_ws("|", key, F.array_join(F.transform(chars, pick(lambda a, c: F.lit(a[0]), lambda c: c)), "")))
+        return F.array_join(F.zip_with(chars, made, lambda c, v: _choose([(F.instr(F.lit(a), c) > 0, F.substring(F.lit(a), v + 1, F.lit(1))) for a in alphabets], c)), "")
+
+    return _let(_chars(value), of_chars)
 
 
 def _choose(cases, otherwise) -> Column:
@@ -110,16 +125,19 @@ def _mod97(alnum: Column) -> Column:
 
 def _refill(shape: Column, digits: Column) -> Column:
     """The digits put into the digit places of a value, in order."""
-    chars = _chars(shape)
-    rank = lambda i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda c: c.rlike("[0-9A-Z]")))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substring(digits, rank(i), F.lit(1))).otherwise(c)), "")
+
+    def step(s: Column, c: Column) -> Column:
+        place = c.rlike("[0-9A-Z]")
+        return F.struct(F.concat(s["out"], F.when(place, F.substring(digits, s["n"], F.lit(1))).otherwise(c)).alias("out"), (s["n"] + place.cast("int")).alias("n"))
+
+    return F.aggregate(_chars(shape), F.struct(F.lit("").alias("out"), F.lit(1).alias("n")), step, lambda s: s["out"])
 
 
 def _card(value: Column, key: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     body = permuted(F.left(digits, F.length(digits) - 1), (_DIGITS,), F.concat(key, F.lit("|card")))
-    check = F.pmod(10 - _luhn(body, 0) % 10, F.lit(10)).cast("string")
-    return F.when(_luhn(digits, 1) % 10 == 0, _refill(value, F.concat(body, check))).otherwise(value)
+    whole = _let(body, lambda d: F.concat(d, F.pmod(10 - _luhn(d, 0) % 10, F.lit(10)).cast("string")))
+    return F.when(_luhn(digits, 1) % 10 == 0, _let(whole, lambda d: _refill(value, d))).otherwise(value)
 
 
 def _iban(value: Column, key: Column) -> Column:
@@ -127,8 +145,9 @@ def _iban(value: Column, key: Column) -> Column:
     land, account = F.left(plain, F.lit(2)), F.substring(plain, F.lit(5), F.length(plain))
     valid = (_mod97(F.concat(account, F.left(plain, F.lit(4)))) == 1) & F.length(plain).between(15, 34)
     new = permuted(account, (_DIGITS, _UPPER), F.concat(key, F.lit("|iban"), land))
-    check = F.lpad((98 - _mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, _refill(value, F.concat(land, check, new))).otherwise(value)
+    check = lambda a: F.lpad((98 - _mod97(F.concat(a, land, F.lit("00")))).cast("string"), 2, "0")
+    whole = _let(new, lambda a: F.concat(land, check(a), a))
+    return F.when(valid, _let(whole, lambda d: _refill(value, d))).otherwise(value)
 
 
 def _ip(value: Column, key: Column) -> Column:
@@ -143,9 +162,9 @@ def _ssn(value: Column, key: Column) -> Column:
     area, group, serial = (F.split_part(value, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2, 3))
     symbols = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
     new = feistel(symbols, F.array(F.lit(898), F.lit(99), F.lit(9999)), F.concat(key, F.lit("|ssn")))
-    back = F.get(new, F.lit(0))
-    place = F.when(back >= 665, back + 2).otherwise(back + 1)
-    return F.when(valid, F.format_string("%03d-%02d-%04d", place, F.get(new, F.lit(1)) + 1, F.get(new, F.lit(2)) + 1)).otherwise(value)
+    place = lambda n: F.when(F.get(n, F.lit(0)) >= 665, F.get(n, F.lit(0)) + 2).otherwise(F.get(n, F.lit(0)) + 1)
+    shaped = _let(new, lambda n: F.format_string("%03d-%02d-%04d", place(n), F.get(n, F.lit(1)) + 1, F.get(n, F.lit(2)) + 1))
+    return F.when(valid, shaped).otherwise(value)
 
 
 def _date(value: Column, key: Column, year_first: bool) -> Column:
@@ -157,10 +176,13 @@ def _date(value: Column, key: Column, year_first: bool) -> Column:
     month_first = F.lit(False) if year_first else first.isNull()
     day = F.datediff(date, F.lit("1900-01-01").cast("date"))
     new = feistel(F.array(F.floor(day / _DATE_B).cast("int"), day % _DATE_B), F.array(F.lit(_DATE_A), F.lit(_DATE_B)), F.concat(key, F.lit("|date")))
-    moved = F.date_add(F.lit("1900-01-01").cast("date"), F.get(new, F.lit(0)) * _DATE_B + F.get(new, F.lit(1)))
-    y, m, d = (F.format_string(p, f(moved)) for p, f in (("%04d", F.year), ("%02d", F.month), ("%02d", F.day)))
-    shaped = F.concat_ws("", y, sep, m, sep, d) if year_first else F.when(month_first, F.concat_ws("", m, sep, d, sep, y)).otherwise(F.concat_ws("", d, sep, m, sep, y))
-    return F.when(day.between(0, _DATE_A * _DATE_B - 1), shaped).otherwise(value)
+    moved = _let(new, lambda n: F.date_add(F.lit("1900-01-01").cast("date"), F.get(n, F.lit(0)) * _DATE_B + F.get(n, F.lit(1))))
+
+    def shaped(t: Column) -> Column:
+        y, m, d = (F.format_string(p, f(t)) for p, f in (("%04d", F.year), ("%02d", F.month), ("%02d", F.day)))
+        return F.concat_ws("", y, sep, m, sep, d) if year_first else F.when(month_first, F.concat_ws("", m, sep, d, sep, y)).otherwise(F.concat_ws("", d, sep, m, sep, y))
+
+    return F.when(day.between(0, _DATE_A * _DATE_B - 1), _let(moved, shaped)).otherwise(value)
 
 
 def _email(value: Column, key: Column) -> Column:
@@ -190,13 +212,15 @@ def pseudonym(value: Column, key: Column) -> Column:
     )
 
 
-def pseudonymised(text: Column, key: str = DEFAULT_KEY) -> tuple[Column, Column, Column]:
-    """Columns: the values found in a text, their pseudonyms (from a column ``found``), the text rebuilt (from ``found``, ``made``)."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    made = F.transform(F.col("found"), lambda v: pseudonym(v, F.lit(key)))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(F.col("made"), F.array(F.lit(""))), lambda gap, value: F.array(gap, value))
-    rebuilt = F.array_join(F.flatten(pieces), "")
-    return found, made, rebuilt
+def pieces_of(text: Column, pattern: str) -> Column:
+    """A text cut around the matches of a pattern that needs a digit or an at sign and stays in one line: gap, value, gap, ..., gap."""
+    marked = F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, pattern, f"{_MARK}$0{_MARK}")).otherwise(line))
+    twice = F.flatten(F.zip_with(F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(""))), lambda gap, value: F.array(gap, value)))
+    return F.when(F.contains(text, F.lit(_MARK)), F.slice(twice, F.lit(1), F.size(twice) - 1)).otherwise(F.split(F.array_join(marked, "\n"), _MARK))
+
+
+def _every_second(pieces: Column, first: int) -> Column:
+    return F.filter(pieces, lambda x, i: i % 2 == first)
 
 
 def _joined(gaps: Column, values: Column) -> Column:
@@ -208,9 +232,8 @@ def _n_changed(found: Column, made: Column) -> Column:
     return F.size(F.filter(F.zip_with(found, made, lambda a, b: a != b), lambda x: x))
 
 
-def _unchanged_gaps(text: Column, found: Column, made: Column) -> Column:
+def _unchanged_gaps(pieces: Column, found: Column, made: Column) -> Column:
     """The stretches of a text between the values that passed their check; values that failed it are part of them."""
-    pieces = F.split(text, ANY, -1)
     steps = F.zip_with(F.zip_with(found, made, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(pieces, F.lit(2), F.size(found)), lambda v, gap: F.struct(v["a"].alias("a"), v["b"].alias("b"), gap.alias("gap")))
     start = F.struct(F.array().cast("array<string>").alias("all"), F.get(pieces, F.lit(0)).alias("now"))
 
@@ -221,27 +244,29 @@ def _unchanged_gaps(text: Column, found: Column, made: Column) -> Column:
     return F.aggregate(steps, start, step, lambda s: F.concat(s["all"], F.array(s["now"])))
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with pseudonyms, n_found (values matched) and n_changed (values that passed their checks).
 
     A card or account that fails its check may have taken in a number or word beside it: the stretches of such a text
     that are still unchanged are searched again for the usual layouts, and for what the long match had covered.
     """
-    found, made, rebuilt = pseudonymised(F.col("text"), key)
+    secret = F.lit(key or docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY))
     none, whole = F.array().cast("array<string>"), lambda v: v.rlike(f"^(?:{IBAN}|{CARD})$")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = base.withColumn("found", found).withColumn("made", F.when(F.size("found") > 0, made).otherwise(none))
+    out = base.withColumn("pieces", pieces_of(F.col("text"), ANY))
+    out = out.withColumn("found", F.when(F.size("pieces") > 1, _every_second(F.col("pieces"), 1)).otherwise(none)).withColumn("around", F.when(F.size("pieces") > 1, _every_second(F.col("pieces"), 0)).otherwise(none))
+    out = out.withColumn("made", F.transform("found", lambda v: pseudonym(v, secret)))
     failed = F.exists(F.zip_with("found", "made", lambda a, b: (a == b) & whole(a)), lambda x: x)
-    out = out.withColumn("gaps", F.when(failed, _unchanged_gaps(F.col("text"), F.col("found"), F.col("made"))).otherwise(none))
-    out = out.withColumn("again", F.transform("gaps", lambda g: F.regexp_extract_all(g, F.lit(AGAIN), F.lit(0))))
-    out = out.withColumn("remade", F.transform("again", lambda f: F.transform(f, lambda v: pseudonym(v, F.lit(key)))))
+    out = out.withColumn("gaps", F.when(failed, _unchanged_gaps(F.col("around"), F.col("found"), F.col("made"))).otherwise(none))
+    out = out.withColumn("inner", F.transform("gaps", lambda g: pieces_of(g, AGAIN)))
+    out = out.withColumn("again", F.transform("inner", lambda p: _every_second(p, 1))).withColumn("remade", F.transform("again", lambda f: F.transform(f, lambda v: pseudonym(v, secret))))
     changed = _n_changed(F.col("found"), F.col("made"))
     more = F.aggregate(F.zip_with("again", "remade", _n_changed), F.lit(0), lambda s, n: s + n)
     passed = F.filter(F.zip_with("found", "made", lambda a, b: F.when(a != b, b)), lambda v: v.isNotNull())
-    twice = _joined(F.zip_with("gaps", "remade", lambda g, m: _joined(F.split(g, AGAIN, -1), m)), passed)
+    twice = _joined(F.zip_with("inner", "remade", lambda p, m: _joined(_every_second(p, 0), m)), passed)
     return out.select(
         "doc_id",
-        F.when(F.size("gaps") > 0, twice).when(F.size("found") > 0, rebuilt).otherwise(F.col("text")).alias("text"),
+        F.when(F.size("gaps") > 0, twice).when(F.size("found") > 0, _joined(F.col("around"), F.col("made"))).otherwise(F.col("text")).alias("text"),
         F.greatest(F.size("found"), changed + more, F.lit(0)).alias("n_found"),
         F.greatest(changed + more, F.lit(0)).alias("n_changed"),
     )

@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, html, langid, linededup, neardup, pii, quality, shards, topk
 from .common import read
 
-#: The tokenizer file of the token queries; any byte-level BPE file of the same format will do.
-TOKENIZER_PATH = os.environ.get("GAZEFRAME_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def _tokenizer_path() -> str:
+    """The tokenizer file of the token queries: the setting, or what the public tokenizers' own list names."""
+    if named := os.environ.get("GAZEFRAME_TOKENIZER"):
+        return named
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return "/opt/tokenizers/byte_bpe_50k.json"
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+TOKENIZER_PATH = _tokenizer_path()
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +74,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_minhash_near_dedup, op3_pii, op4_html_extraction, op5_bpe, op6_language_id, op7_sharding, op8_line_dedup, op9_exact_topk, op10_decontamination)}
 
 ORACLE_SQL = {
+    # The checksum by its table of 256 steps, byte for byte.
+    "op7_sharding": """
+        WITH RECURSIVE step AS (
+            SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) t(i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM step WHERE n < 8
+        ), crcs AS (
+            SELECT list(c ORDER BY i) AS t FROM step WHERE n = 8
+        ), b AS (
+            SELECT doc_id, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+        ), o AS (
+            SELECT doc_id, CAST(len(bytes) + 16 AS BIGINT) AS size, ('0x' || md5(text)[1:15])::BIGINT AS digest,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, crcs
+        ), s AS (
+            SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS start, CAST(sum(size) OVER () AS BIGINT) AS total, row_number() OVER w AS n FROM o
+            WINDOW w AS (ORDER BY digest, size, text_crc32, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)
+        ), p AS (
+            SELECT *, CAST(least(39, (2 * start + size)::HUGEINT * 40 // (2 * total)) AS INTEGER) AS shard FROM s
+        )
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+    """,
     # Prefixes by exact counts; the result doesn't depend on the order of words that the join uses.
     "op8_line_dedup": r"""
         WITH l AS (

@@ -1,16 +1,16 @@
 """Contiguous shards of near-equal bytes from a global prefix sum, in DataFrame operations alone.
 
-Rows are put in one global order (hash of the text, then id), so that equal texts are neighbours. The order is dealt
+Rows are put in one global order (digest of the text, size, id), so that equal texts are neighbours. The order is dealt
 over range partitions, which also splits a text that many rows share. Each partition's totals are summed, the totals'
 prefix sums are broadcast (one row for each partition), and a row's place in the whole is its partition's start plus
 its running sum inside. Cutting at equal byte targets gives the shards; the row index gives the slots.
 
-A group of equal texts that a cut would split, and that holds no more than ``whole_group`` of a shard's target, moves
-whole to the shard in which it begins. Each cut touches one group at most, so no more than ``shards - 1`` groups are
-looked at. Larger groups are split, which keeps the law of near-equal bytes.
+The law is that of bytes alone, always in the same way: a row belongs to the shard in whose equal share of all bytes its
+middle lies. Equal texts lie together in the order, so each of the shards - 1 cuts splits one group of them at most.
 
 Defined cases: a null text has no bytes and the checksum of the empty text; null ids come first in their group;
-repeated rows each have a slot; an empty table gives no rows.
+repeated rows each have a slot; an empty table gives no rows; with fewer rows than shards some shards are empty; other
+columns, whatever their names, are not read; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import checkpointed
 ROW_BYTES = 16
 
 
-def byte_shards(docs: DataFrame, shards: int = 40, whole_group: float = 0.01, parts: int | None = None) -> DataFrame:
+def byte_shards(docs: DataFrame, shards: int = 40, parts: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``; the texts themselves aren't shuffled."""
     spark = docs.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -33,9 +33,9 @@ def byte_shards(docs: DataFrame, shards: int = 40, whole_group: float = 0.01, pa
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash"),
+        F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long").alias("digest"),
     )
-    order = ["text_hash", "size", "text_crc32", "doc_id"]
+    order = ["digest", "size", "text_crc32", "doc_id"]
     dealt = checkpointed(rows.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")))
 
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
@@ -47,22 +47,12 @@ def byte_shards(docs: DataFrame, shards: int = 40, whole_group: float = 0.01, pa
         dealt.withColumn("bytes_to", F.sum("size").over(inside))
         .withColumn("index_in", F.count("*").over(inside))
         .join(F.broadcast(starts), "part")
-        .select(
-            *order,
-            (F.col("bytes_before") + F.col("bytes_to") - F.col("size")).alias("start"),
-            (F.col("rows_before") + F.col("index_in") - 1).alias("index"),
-            "all_bytes",
-        )
-        .withColumn("cut", _cut(F.col("start"), F.col("size"), F.col("all_bytes"), shards))
+        .select("doc_id", "size", "text_crc32", (F.col("bytes_before") + F.col("bytes_to") - F.col("size")).alias("start"), (F.col("rows_before") + F.col("index_in") - 1).alias("index"), "all_bytes")
+        .withColumn("shard", _cut(F.col("start"), F.col("size"), F.col("all_bytes"), shards))
     )
-    group = ["text_hash", "size", "text_crc32"]
-    touched = placed.groupBy(*group).agg(F.min("cut").alias("first"), F.max("cut").alias("last"), F.sum("size").alias("group_bytes"), F.first("all_bytes").alias("total"))
-    # Groups are runs of the order, so each of the shards - 1 cuts splits one of them at most.
-    moved = touched.where((F.col("first") < F.col("last")) & (F.col("group_bytes") <= whole_group * F.col("total") / shards)).select(*group, "first")
-    sharded = placed.join(F.broadcast(moved), group, "left").withColumn("shard", F.coalesce("first", "cut"))
-    firsts = sharded.groupBy("shard").agg(F.min("index").alias("first_index"))  # a row for each shard
-    return sharded.join(F.broadcast(firsts), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("index") - F.col("first_index")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    firsts = placed.groupBy("shard").agg(F.min("index").alias("first_index"))  # a row for each shard
+    return placed.join(F.broadcast(firsts), "shard").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("index") - F.col("first_index")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

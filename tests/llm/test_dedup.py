@@ -257,7 +257,7 @@ def test_pieces_cover_an_item():
 
 
 def test_leaks(spark, docs_of, words, monkeypatch):
-    items = [words(20, i) for i in range(12)]
+    items = [words(20, i) for i in range(12)] + [words(2, 500), words(1, 501)[:3]]  # the last one stands inside of words as well
     r = random.Random(3)
     texts, want = [], set()
     for d in range(60):
@@ -269,15 +269,18 @@ def test_leaks(spark, docs_of, words, monkeypatch):
                 leaked[r.randrange(len(leaked))] = r.choice("abcxyz ")
             t = t + " " + "".join(leaked) + " " + words(30, 2000 + d)
         texts.append(t)
-    texts += [None, "", items[0].upper() + "!", items[0] + " " + words(10, 1) + " " + items[1], "x " * 20_000 + items[2]]
+    texts += [f"{words(9, 5)} {items[12]}, {words(9, 6)}", items[13], items[12] + "s", None, "", items[0].upper() + "!", items[0] + " " + words(10, 1) + " " + items[1], "x " * 20_000 + items[2]]
     for d, t in enumerate(texts):
         for i, item in enumerate(items):
             p, n = decontaminate.normalised(item), decontaminate.normalised(t)
+            if i >= 12:
+                want |= {(d, i, 0)} if f" {p} " in f" {n} " else set()
+                continue
             k = int(decontaminate.ERROR_RATE * len(p))
             best = decontaminate.Pattern(i, p, decontaminate.ERROR_RATE).least_distance(n) if n else k + 1
             if best <= k:
-                want.add((d, i, best))
-    bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)] + [(50, None, 1), (51, "", 1), (52, "two words", 1), (None, items[0], 1)], "item_id long, text string, doc_id int")
+                want |= {(d, i, best)} if i else {(d, i, best), (d, None, best)}
+    bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(items)] + [(50, None, 1), (51, "", 1), (52, "?!", 1), (None, items[0], 1)], "item_id long, text string, doc_id int")
     got = {tuple(x) for x in decontaminate.leaks(docs_of(texts), bench).collect()}
     assert got == want and len(want) > 10
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)  # several passes

@@ -1,13 +1,50 @@
+import random
+
 import pytest
 
-from gazeframe.llm.html import WEIGHTS, extract_pages, main_text
+from gazeframe.llm.html import best_run, extract_pages, learned_weights, main_text
 
 ARTICLE = "<h1>A title of the page</h1><p>First words &amp; more of the long text\n  here.<br><p>Second part of the article goes on for a while.</p>"
 WANT = "A title of the page\nFirst words & more of the long text here.\nSecond part of the article goes on for a while."
 
 
 def test_weights_have_their_signs():
-    assert WEIGHTS["word"] > 0 and all(w < 0 for k, w in WEIGHTS.items() if k[0] == "<")
+    weights = learned_weights()
+    assert weights["tag p"] > 0 > weights["tag nav"] and weights["mark content"] > 0 > weights["mark sidebar"]
+    assert all(w < 0 for k, w in weights.items() if k[:1] == "<")
+
+
+def test_the_scan_finds_the_largest_sum():
+    r = random.Random(1)
+    for _ in range(2000):
+        scores = [r.choice([-3, -2, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(r.randrange(0, 25))]
+        spans = [(sum(scores[i:j]), i, j) for i in range(len(scores) + 1) for j in range(i, len(scores) + 1)]
+        i, j = best_run(scores)
+        assert sum(scores[i:j]) == max(s for s, _, _ in spans)
+
+
+TWO = "<p>The committee met on Tuesday and discussed the new bridge.</p><p>Members agreed that the work should begin before the autumn.</p>"
+TWO_WANT = "The committee met on Tuesday and discussed the new bridge.\nMembers agreed that the work should begin before the autumn."
+
+
+@pytest.mark.parametrize(
+    ("page", "more"),
+    [
+        ("<div class='content has-sidebar'>{}</div>", ""),
+        ("<div class='layout-no-nav'>{}</div>", ""),
+        ("<div class='social-share-enabled'>{}</div>", ""),
+        ("<body class='page with-header'><nav><a href=1>Home</a></nav><section>{}</section><div class='site-footer'>Words of the footer</div></body>", ""),
+        ("<article>{}<p class='notice'>A last word on the matter.</p></article>", "\nA last word on the matter."),
+        ("<article>{}<h2 class='section-header'>Next steps</h2></article>", "\nNext steps"),
+        ("<article>{}<p><a href='x'>Read the full report of the committee here</a></p></article>", "\nRead the full report of the committee here"),
+        ("<article>{}<p title=don't>Some text that stays.</p></article>", "\nSome text that stays."),
+        ("{}<div>Copyright 2024 Example</div>", ""),
+        ("<nav>Menu<article>{}</article>", ""),
+        ("<div class='box newsletter'><p>Sign up here for more words each week and never miss one.</p></div>{}<div class='reader-comments'><p>I think so too and say it at length.</p><p>So do I.</p></div>", ""),
+    ],
+)
+def test_marks_are_weighed(page, more):
+    assert main_text(page.format(TWO)) == TWO_WANT + more
 
 
 @pytest.mark.parametrize(

@@ -1,6 +1,7 @@
 """Pseudonyms, shards, top-k, and that the native ones hold no Python."""
 
 import datetime
+import hashlib
 import random
 import re
 import zlib
@@ -82,6 +83,58 @@ def test_long_text(spark, docs_of):
     assert n == [1] and len(out[0]) >= len(text) - 8
 
 
+@pytest.mark.parametrize("piece", ["a.", "4 ", "4-", "A1 ", "AB12 ", "DE44 1234 ", "1.", "1-", "+1 234 ", "(123) ", "ab1", "0f", "x@", "a@b.", "x@a.bc ", "2024-01-", "x+", "123-45-"])
+def test_long_repeats(spark, docs_of, piece):
+    text = "x@" + piece * 100_000
+    out, _ = changed(spark, docs_of, [text])
+    assert len(out[0]) >= len(text) // 2
+
+
+def test_lines_marks_and_odd_rows(spark, docs_of):
+    texts = ["a 10.0.0.1\nb 10.0.0.1\n\nno data", f"held {pii._MARK} and 10.0.0.1 twice 10.0.0.1", "10.0.0.1", "4111 1111 1111\n1111", "x y\n"]
+    out, n = changed(spark, docs_of, texts)
+    new = out[2]
+    assert n == [2, 2, 1, 0, 0] and new != "10.0.0.1"
+    assert out == [texts[0].replace("10.0.0.1", new), texts[1].replace("10.0.0.1", new), new, texts[3], texts[4]]
+    assert pii.pseudonymise_documents(docs_of([])).count() == 0
+    same = [r["text"] for r in pii.pseudonymise_documents(docs_of(["10.0.0.1"] * 3, [1, 1, None])).collect()]
+    assert same == [new] * 3
+
+
+def test_the_key_comes_from_the_session(spark, docs_of):
+    docs = docs_of(["from 10.0.0.1"])
+    plain = pii.pseudonymise_documents(docs).first()["text"]
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.pseudonymise_documents(docs).first()["text"] == pii.pseudonymise_documents(docs, "another").first()["text"] != plain
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def permuted(symbols, radix, key):
+    """The network written out: turns of a keyed sum over one half, from a digest of the other."""
+    half = (len(symbols) + 1) // 2
+    parts, radices = [symbols[:half], symbols[half:]], [radix[:half], radix[half:]]
+    for turn in range(pii.ROUNDS):
+        a, b = turn % 2, 1 - turn % 2
+        stream = hashlib.sha512(f"{key}|{turn}|{','.join(map(str, parts[b]))}".encode()).hexdigest()
+        parts[a] = [(v + int(stream[i % 32 * 4 : i % 32 * 4 + 4], 16)) % m for i, (v, m) in enumerate(zip(parts[a], radices[a], strict=True))]
+    return parts[0] + parts[1]
+
+
+def test_pseudonyms_by_hand(spark, docs_of):
+    key = pii.DEMO_KEY
+    ip = permuted([192, 168, 7, 9], [256] * 4, f"{key}|ip")
+    card = "411111111111111"
+    body = "".join(map(str, permuted([int(c) for c in card], [10] * 15, f"{key}|card|{'0' * 15}")))
+    area, group, serial = permuted([122, 44, 6788], [898, 99, 9999], f"{key}|ssn")
+    day = (datetime.date(2024, 2, 29) - datetime.date(1900, 1, 1)).days
+    a, b = permuted([day // 292, day % 292], [250, 292], f"{key}|date")
+    date = datetime.date(1900, 1, 1) + datetime.timedelta(a * 292 + b)
+    out, _ = changed(spark, docs_of, ["192.168.7.9", with_check(card), "123-45-6789", "2024-02-29", "29.02.2024"])
+    assert out == [".".join(map(str, ip)), with_check(body), f"{area + (2 if area >= 665 else 1):03d}-{group + 1:02d}-{serial + 1:04d}", date.isoformat(), date.strftime("%d.%m.%Y")]
+
+
 def sharded(spark, docs_of, texts, ids=None, **kw):
     return [r.asDict() for r in shards.byte_shards(docs_of(texts, ids), **kw).collect()]
 
@@ -104,13 +157,19 @@ def test_shards_are_even_and_slots_gapless(spark, docs_of, words):
     assert sorted(map(str, sharded(spark, docs_of, texts, parts=3))) == sorted(map(str, out))
 
 
-def test_small_groups_stay_whole(spark, docs_of, words):
-    texts = [words(40, i % 400) for i in range(800)]
-    out = sharded(spark, docs_of, texts, shards=8, whole_group=0.05, parts=5)
-    where = {}
-    for x in out:
-        where.setdefault(texts[x["doc_id"]], set()).add(x["shard"])
-    assert all(len(s) == 1 for s in where.values())
+def test_shards_are_the_cuts_of_one_sequence(spark, docs_of, words):
+    texts = [words(1 + i % 90, i % 400) for i in range(800)] + ["hot text"] * 400 + [None, "", words(30_000, 1)]
+    r = random.Random(4)
+    ids = [r.randrange(10**6) for _ in texts]
+    line = sorted((int(hashlib.md5((t or "").encode()).hexdigest()[:15], 16), len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), i) for t, i in zip(texts, ids, strict=True))
+    total, start, want, slots = sum(x[1] for x in line), 0, [], {}
+    for _, size, crc, i in line:
+        shard = min(7, (2 * start + size) * 8 // (2 * total))
+        want.append((i, size, crc, shard, slots.get(shard, 0)))
+        slots[shard] = slots.get(shard, 0) + 1
+        start += size
+    got = [(x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"]) for x in sharded(spark, docs_of, texts, ids, shards=8, parts=5)]
+    assert sorted(got) == sorted(want)
 
 
 def test_shards_of_odd_tables(spark, docs_of):
