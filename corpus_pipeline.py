@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeframe.llm import bpe, decontaminate, linededup, neardup, quality
-from gazeframe.llm.common import numbered, read, shared_folder
+from gazeframe.llm.common import numbered, read, remove_folder, shared_folder
 from gazeframe.llm.queries import TOKENIZER_PATH
 
 
@@ -66,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are a table in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are a table in the shared folder, deleted once the next is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
