@@ -21,13 +21,16 @@ def _chunk(order: str, size: int) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set.
+    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs in one process.
 
     Each running value joins a table with a summary of itself, so a long chain of them doubles its plan at each step.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
 
 

@@ -46,8 +46,8 @@ def wide_frames(frames: DataFrame, areas: list[str]) -> DataFrame:
 
 
 def write_frames(frames: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by recording, rows in frame order for row-group skipping; only the written recordings are replaced."""
-    frames.repartition("recording").sortWithinPartitions("recording", "frame_idx").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("recording").parquet(path)
+    """Parquet by recording, rows in frame order for row-group skipping; only the written recordings are replaced. Long recordings are dealt to several tasks."""
+    frames.repartitionByRange("recording", "frame_idx").sortWithinPartitions("recording", "frame_idx").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("recording").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
@@ -57,7 +57,7 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
 
 def write_recording_csv(df: DataFrame, path: str) -> None:
     """One folder of CSV files for each recording."""
-    df.repartition("recording").sortWithinPartitions("recording", F.col("frame_idx").cast("int")).write.mode("overwrite").option("header", True).partitionBy("recording").csv(path)
+    df.repartitionByRange("recording", F.col("frame_idx").cast("int")).sortWithinPartitions("recording", F.col("frame_idx").cast("int")).write.mode("overwrite").option("header", True).partitionBy("recording").csv(path)
 
 
 def as_json(df: DataFrame, key: str = "recording") -> DataFrame:
