@@ -22,16 +22,14 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches
 
-#: Distinct chunks a worker remembers; beyond that the memory starts anew (results stay the same).
-CACHE_WORDS = 500_000
+#: Distinct chunks, and characters of them, that a worker remembers; beyond that the memory starts anew (results stay the same).
+CACHE_WORDS, CACHE_CHARS = 500_000, 16_000_000
 #: A run without white space, with one leading space, or the white space between such runs.
 CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Fixed pattern of the byte-level pre-tokenizer.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = int(np.iinfo(np.int64).max)
 NO_MERGE = (NEVER, -1)
-#: Words up to so many bytes are merged by plain rescans, longer ones with a heap.
-SHORT = 0
 
 
 def _byte_letters() -> dict[str, int]:
@@ -52,6 +50,9 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        if (cut.get("type"), cut.get("add_prefix_space", False), cut.get("use_regex", True)) != ("ByteLevel", False, True) or spec.get("normalizer"):
+            raise ValueError("only byte-level files without a normalizer or a prefix space, cut by the usual pattern, are read")
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         model = spec["model"]
@@ -103,6 +104,7 @@ class Codec:
     def _forget(self) -> None:
         self.words: dict[str, str] = {}
         self.chunks: dict[str, str] = {}
+        self.held = 0
 
     # Speculation
 
@@ -153,22 +155,6 @@ class Codec:
         """The merges themselves, lowest rank first and leftmost first, over a linked list with a heap."""
         part: list[int | None] = [self.v.tokens[word[i : i + 1]] for i in range(len(word))]
         n, merges = len(part), self.v.merges
-        if n <= SHORT:
-            while len(part) > 1:
-                pairs = list(zip(part, part[1:]))
-                rank, made, best = min((*merges.get(p, NO_MERGE), p) for p in set(pairs))
-                if rank == NEVER:
-                    break
-                out, i = [], 0
-                while i < len(part):
-                    if i < len(pairs) and pairs[i] == best:
-                        out.append(made)
-                        i += 2
-                    else:
-                        out.append(part[i])
-                        i += 1
-                part = out
-            return part
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         heap = [(m[0], i, part[i], part[i + 1]) for i in range(n - 1) if (m := merges.get((part[i], part[i + 1])))]
         heapq.heapify(heap)
@@ -229,13 +215,14 @@ class Codec:
         if fresh := list({w for parts in split for w in parts if w not in words}):
             ids = self.encode_words([w.encode("utf-8", "replace") for w in fresh])
             words.update(zip(fresh, (",".join(map(str, x)) for x in ids), strict=True))
+        self.held += sum(map(len, new))
         for c, parts in zip(new, split, strict=True):
             known[c] = words[parts[0]] if len(parts) == 1 else ",".join([words[w] for w in parts]) if parts else str(specials[c])
 
     def encode_batch(self, texts: list[str | None]) -> list[str]:
         """For each text its decimal ids joined by commas."""
         split = [self.parts(t) if t else [] for t in texts]
-        if len(self.chunks) > CACHE_WORDS:
+        if len(self.chunks) > CACHE_WORDS or self.held > CACHE_CHARS:
             self._forget()
         self.learn(set().union(*split))
         known = self.chunks

@@ -88,8 +88,11 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
     """
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.coalesce(id_remainder(F.col("doc_id"), 4) != 2, F.lit(True)))
-    ids = known.select(F.col("doc_id").alias("id"), "lang", F.xxhash64("doc_id").alias("h"))
-    ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= max_docs)
+    ids = known.select(F.col("doc_id").alias("id"), "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
+    # A threshold from the language's count leaves about twice as many as are wanted, so that ranks need few rows of it.
+    counts = ids.groupBy("lang").agg(F.count("*").alias("of"))
+    few = ids.join(counts, "lang").where(F.col("h") < F.lit(float(1 << 31)) * (2 * max_docs + 100) / F.col("of"))
+    ids = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= max_docs)
     # At most max_docs ids for each language.
     chosen = known.select("doc_id", "lang", "text").join(F.broadcast(ids.select(F.col("id").alias("doc_id"), "lang").distinct()), ["doc_id", "lang"])
 

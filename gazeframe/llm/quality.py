@@ -156,6 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     known = known.where(F.col("y").isNotNull() & (id_remainder_ != 0)).orderBy(F.xxhash64("doc_id", "y"), "doc_id").limit(max_rows)
     # At most max_rows pairs of numbers: small enough to broadcast whatever the corpus is.
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text for each, however often an id is repeated
     rows = _stats_frame(chosen.select("y", "text"), "y", "double").toPandas()
     if not len(rows):
         return Forest(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)), 1, 0.0)

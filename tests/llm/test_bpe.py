@@ -59,3 +59,19 @@ def test_documents(spark, docs_of, library):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode_documents(docs_of([]), TOKENIZER_PATH).count() == 0
+
+
+def test_other_formats_are_refused(tmp_path):
+    import json
+
+    (tmp_path / "t.json").write_text(json.dumps({"pre_tokenizer": {"type": "Whitespace"}, "model": {"vocab": {}, "merges": []}}))
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(tmp_path / "t.json"))
+
+
+def test_a_small_memory_gives_the_same(monkeypatch):
+    texts = ["long " + "x" * 5000, "some words here", "x" * 3000 + " y", "some words here"]
+    want = [bpe.Codec(bpe.Vocabulary(TOKENIZER_PATH)).encode(t).tolist() for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 10)
+    codec = bpe.Codec(bpe.Vocabulary(TOKENIZER_PATH))
+    assert [codec.encode(t).tolist() for t in texts] == want
