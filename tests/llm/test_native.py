@@ -204,7 +204,7 @@ def test_large_components_use_longs():
     assert topk.block_top(np.array([9]), q, np.array([1, 2]), np.array([[2**30, 0], [2**29, 5]]), 1)[2].tolist() == [2**60]
 
 
-@pytest.mark.parametrize("make", [lambda d: pii.pseudonymise_documents(d), lambda d: shards.byte_shards(d), lambda d: linededup.line_keys(d.selectExpr("1L AS row", "doc_id", "text"), [0] * linededup.KINDS)])
+@pytest.mark.parametrize("make", [lambda d: pii.pseudonymise_documents(d), lambda d: shards.byte_shards(d), lambda d: linededup.line_keys(linededup.identified(d), [0] * linededup.KINDS)])
 def test_native_plans_hold_no_python(docs_of, make):
     plan = make(docs_of(["a b c d e f"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
