@@ -184,10 +184,11 @@ def task_range_join(s, d):
     return metrics.task_frames(f.select("recording", "frame_idx"), ad.tasks(f, overlap=2)).select("recording", "frame_idx", "task_name")
 
 
-@query("SELECT recording, frame_idx, label FROM f")
+@query("SELECT recording, frame_idx, CASE WHEN k % 5 = 0 THEN 'new' WHEN k % 7 <> 0 THEN label WHEN k % 3 = 0 THEN 'old' END AS label FROM f")
 def timeline_scatter(s, d):
-    f = ad.frames(s, d)
-    rows = f.select("recording", "frame_idx", "label", F.lit(1).alias("seq")).unionByName(f.select("recording", "frame_idx", F.lit("old").alias("label"), F.lit(0).alias("seq")))
+    f, k = ad.frames(s, d), F.col("k")
+    layer = lambda rows, label, seq: f.where(rows).select("recording", "frame_idx", label.alias("label"), F.lit(seq).alias("seq"))
+    rows = layer(k % 3 == 0, F.lit("old"), 0).unionByName(layer(k % 7 != 0, F.col("label"), 1)).unionByName(layer(k % 5 == 0, F.lit("new"), 2))
     return review.timeline(rows, ad.recordings(f))
 
 
