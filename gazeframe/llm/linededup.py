@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, cand: DataFrame, marked: bool = False) -> DataFr
         narrow = cand.select(F.col("id").alias("b"), "n", *(f"m{k}" for k in range(MARKS)))
         met = stored(pairs).join(narrow, "b").join(_as_other(cand, F.col("n").alias("n_a")), "a")
         pairs = met.where(_marks_allow(F.col("n"), F.col("n_a"))).select("a", "b")
-    pairs = stored(pairs)
+    pairs = stored(pairs, long_condition=marked)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     words = stored(cand.select("id", F.struct(*PLACE).alias("at"), "w").join(broadcast_up_to(ids, BROADCAST_ROWS), "id"))
     of = lambda e: words.select(F.col("id").alias(e), F.col("at").alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))

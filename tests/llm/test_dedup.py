@@ -229,9 +229,9 @@ def test_rows_keep_their_numbers_when_cores_change(spark, words, tmp_path, monke
     spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(f"{tmp_path}/d")
     cores, store = iter([2, 12] * 100), linededup.stored
 
-    def after_a_change(df):
+    def after_a_change(df, **how):
         spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(next(cores)))
-        return store(df)
+        return store(df, **how)
 
     monkeypatch.setattr(linededup, "stored", after_a_change)
     try:
