@@ -19,6 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from .common import bounded_batches, stored
 CHUNK, OVERLAP, LONGER = 32_768, 256, 8
 #: Characters before a cut end that the pattern must have seen to know that a piece ends where it does.
 SEEN = 2
+#: Bytes up to which looking through all neighbours is quicker than a heap; a rank that no pair has.
+SHORT, NEVER = 64, 1 << 62
 
 
 class Ranks:
@@ -73,6 +77,8 @@ class Codec:
         of, n = self.of, len(piece)
         if (whole := of.get(piece)) is not None:
             return [whole]
+        if n <= SHORT:
+            return self._merge_short(piece)
         after, before, heap = [*range(1, n + 1), n], [*range(-1, n)], []
         for i in range(n - 1):
             if (rank := of.get(piece[i : i + 2])) is not None:
@@ -91,6 +97,19 @@ class Codec:
                 heapq.heappush(heap, (rank, before[i], end))
         return [of[piece[i : after[i]]] for i in range(n) if alive[i]]
 
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """The same for a short piece: the least rank of all neighbours, over and over."""
+        get, ends = self.of.get, [*range(len(piece) + 1)]
+        ranks = [get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while ranks and (least := min(ranks)) != NEVER:
+            i = ranks.index(least)
+            del ends[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(piece[ends[i] : ends[i + 2]], NEVER)
+            if i:
+                ranks[i - 1] = get(piece[ends[i - 1] : ends[i + 1]], NEVER)
+        return [self.of[piece[a:b]] for a, b in pairwise(ends)]
+
     def learn(self, stretches: set[str]) -> None:
         """Encode new stretches between white space and remember their ids, as numbers and as decimal text."""
         words = self.words
@@ -101,7 +120,7 @@ class Codec:
                     if (got := words.get(piece)) is None:
                         got = words[piece] = self.merge(piece.encode("utf-8", "replace"))
                     ids += got
-                self.known[stretch] = np.array(ids, np.int32).tobytes(), ",".join(map(str, ids))
+                self.known[stretch] = array("i", ids).tobytes(), ",".join(map(str, ids))
                 self.held += len(stretch)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:

@@ -208,6 +208,14 @@ def test_ids_equal_the_library(codec, library):
     assert [s for _, s in found] == [",".join(map(str, ids)) for ids, _ in found]
 
 
+def test_heap_and_list_merge_alike(codec, monkeypatch):
+    r = random.Random(7)
+    pieces = ["".join(r.choices("abcdefst日", k=r.randrange(1, 30))).encode() for _ in range(1000)]
+    want = [codec.merge(p) for p in pieces]
+    monkeypatch.setattr(chunkbpe, "SHORT", 0)
+    assert [codec.merge(p) for p in pieces] == want
+
+
 def test_a_long_piece_takes_little_longer_than_its_length(codec):
     piece = ("qwertyuiop" * 20_000).encode()
     began = time.time()
