@@ -17,14 +17,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None, *ctes: str, name: str | None = None):
-    """Register a query; ``sql`` follows the views and ``ctes``."""
+def query(sql: str | None, *ctes: str, name: str | None = None, recursive: bool = False):
+    """Register a query; ``sql`` follows the views and ``ctes``, which may be ``recursive``."""
 
     def add(fn):
         key = name or fn.__name__
         QUERIES[key] = fn
         if sql is not None:
-            ORACLE_SQL[key] = "WITH " + ", ".join([ad.VIEWS, *ctes]) + "\n" + sql
+            ORACLE_SQL[key] = ("WITH RECURSIVE " if recursive else "WITH ") + ", ".join([ad.VIEWS, *ctes]) + "\n" + sql
         return fn
 
     return add
