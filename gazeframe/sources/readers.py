@@ -21,8 +21,22 @@ FINAL_FIRST, RAW_FIRST, FINAL_ONLY = (FINAL, RAW), (RAW, FINAL), (FINAL,)
 RECORDING_NAME = r"^\d{4}-(\d{2}-){4}\d{2}$"
 
 
-def _path() -> Column:
-    return F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"^[a-z]+:/+", "/")
+def _path(uri: str = "_metadata.file_path") -> Column:
+    return F.regexp_replace(F.url_decode(F.col(uri)), r"^[a-z]+:/+", "/")
+
+
+def _any(spark: SparkSession, pattern: str) -> bool:
+    """Whether a file matches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def _text(spark: SparkSession, pattern: str, path: Column | None = None, **how) -> DataFrame:
+    """value and __path of the lines (or whole texts) of the files that match, none of which need be there."""
+    if not _any(spark, pattern):
+        return spark.createDataFrame([], "value string, __path string")
+    return spark.read.text(pattern, **how).select("value", (_path() if path is None else path).alias("__path"))
 
 
 def recording_dirs(spark: SparkSession, source: str, named: bool = False) -> DataFrame:
@@ -64,7 +78,7 @@ def frame_table(spark: SparkSession, source: str, order: tuple[str, ...] = FINAL
 
     Files differ in their columns, so values are read by name: a file's header decides what its columns mean.
     """
-    raw = spark.read.text(f"{source}/*/{{{','.join(order)}}}/{name}", wholetext=False).select(F.col("value"), _path().alias("__path"))
+    raw = _text(spark, f"{source}/*/{{{','.join(order)}}}/{name}")
     lines = _first_place(raw.where(F.length(F.trim("value")) > 0), order, name)
     lines = lines.withColumn("value", F.regexp_replace("value", "^\\uFEFF", ""))
     is_header = F.regexp_like("value", F.lit("(^|,)frame_idx(,|$)"))
@@ -84,13 +98,16 @@ def frame_table(spark: SparkSession, source: str, order: tuple[str, ...] = FINAL
 def fixation_table(spark: SparkSession, source: str, order: tuple[str, ...] = RAW_FIRST) -> DataFrame:
     """Fixation summaries, the raw file first."""
     schema = "fixation_id int, start_frame int, end_frame int, start_time_s double, end_time_s double, duration_s double, dominant_aoi string, centroid_x double, centroid_y double"
-    df = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(f"{source}/*/{{{','.join(order)}}}/fixation_summary.csv")
+    pattern = f"{source}/*/{{{','.join(order)}}}/fixation_summary.csv"
+    if not _any(spark, pattern):
+        return spark.createDataFrame([], f"{schema}, recording string")
+    df = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(pattern)
     return no_nans(_first_place(df.withColumn("__path", _path()), order, "fixation_summary.csv"))
 
 
 def _whole_json(spark: SparkSession, source: str, name: str, order: tuple[str, ...], schema: str) -> DataFrame:
-    text = spark.read.text(f"{source}/*/{{{','.join(order)}}}/{name}", wholetext=True)
-    first = _first_place(text.select(F.regexp_replace("value", "^\\uFEFF", "").alias("value"), _path().alias("__path")), order, name)
+    text = _text(spark, f"{source}/*/{{{','.join(order)}}}/{name}", wholetext=True)
+    first = _first_place(text.withColumn("value", F.regexp_replace("value", "^\\uFEFF", "")), order, name)
     return first.select("recording", F.from_json("value", schema).alias("j"))
 
 
