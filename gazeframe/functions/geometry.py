@@ -26,38 +26,23 @@ def valid_quad(q: list[Column], least_area: float = LEAST_AREA) -> Column:
     return F.coalesce(finite & convex & (quad_area(q) > least_area), F.lit(False))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def to_unit_square(q: list[Column], x: Column, y: Column) -> Column:
     """struct(u, v) of an image point under the homography that takes the quad's corners to (0,0), (1,0), (1,1), (0,1).
 
     The square-to-quad map has a closed form; its adjugate is the inverse up to scale. Null where the scale vanishes.
+    Plain arithmetic: Spark compiles it and works out each repeated part once.
     """
-
-    def slopes(p: Column) -> Column:
-        sx, sy = p["x0"] - p["x1"] + p["x2"] - p["x3"], p["y0"] - p["y1"] + p["y2"] - p["y3"]
-        dx1, dy1, dx2, dy2 = p["x1"] - p["x2"], p["y1"] - p["y2"], p["x3"] - p["x2"], p["y3"] - p["y2"]
-        det = dx1 * dy2 - dx2 * dy1
-        return F.struct(p.alias("p"), F.try_divide(sx * dy2 - dx2 * sy, det).alias("g"), F.try_divide(dx1 * sy - sx * dy1, det).alias("h"))
-
-    def matrix(s: Column) -> Column:
-        p, g, h = s["p"], s["g"], s["h"]
-        rows = {"a": p["x1"] - p["x0"] + g * p["x1"], "b": p["x3"] - p["x0"] + h * p["x3"], "c": p["x0"], "d": p["y1"] - p["y0"] + g * p["y1"], "e": p["y3"] - p["y0"] + h * p["y3"], "f": p["y0"], "g": g, "h": h, "x": p["x"], "y": p["y"]}
-        return F.struct(*[c.alias(n) for n, c in rows.items()])
-
-    def scaled(m: Column) -> Column:
-        a, b, c, d, e, f, g, h, px, py = (m[n] for n in "abcdefghxy")
-        u = (e - f * h) * px + (c * h - b) * py + (b * f - c * e)
-        v = (f * g - d) * px + (a - c * g) * py + (c * d - a * f)
-        w = (d * h - e * g) * px + (b * g - a * h) * py + (a * e - b * d)
-        return F.struct(u.alias("u"), v.alias("v"), w.alias("w"))
-
-    named = F.struct(*[c.alias(n) for c, n in zip([*q, x, y], ["x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3", "x", "y"], strict=True)])
-    point = _let(_let(_let(named, slopes), matrix), scaled)
-    return _let(point, lambda t: F.when(F.abs(t["w"]) >= 1e-9, F.struct((t["u"] / t["w"]).alias("u"), (t["v"] / t["w"]).alias("v"))))
+    x0, y0, x1, y1, x2, y2, x3, y3 = q
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    dx1, dy1, dx2, dy2 = x1 - x2, y1 - y2, x3 - x2, y3 - y2
+    det = dx1 * dy2 - dx2 * dy1
+    g, h = F.try_divide(sx * dy2 - dx2 * sy, det), F.try_divide(dx1 * sy - sx * dy1, det)
+    a, b, c = x1 - x0 + g * x1, x3 - x0 + h * x3, x0
+    d, e, f = y1 - y0 + g * y1, y3 - y0 + h * y3, y0
+    u = (e - f * h) * x + (c * h - b) * y + (b * f - c * e)
+    v = (f * g - d) * x + (a - c * g) * y + (c * d - a * f)
+    w = (d * h - e * g) * x + (b * g - a * h) * y + (a * e - b * d)
+    return F.when(F.abs(w) >= 1e-9, F.struct((u / w).alias("u"), (v / w).alias("v")))
 
 
 def inside_unit(u: Column, v: Column, margin: float = HIT_MARGIN) -> Column:

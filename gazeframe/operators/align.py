@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running
+from .ordered import around, running
 
 #: Microseconds of a chunk of one recording's time line.
 TIME_CHUNK = 600_000_000
@@ -18,15 +18,25 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], on: str, value
     earlier one of two equally close. Rows of both sides are ordered once by key and time; no range join is made.
     """
     if direction == "nearest":
-        back = asof_join(left, right, keys, on, values, "backward", chunk)
-        both = _asof(back, right, keys, on, values, "__f_", ahead=True, chunk=chunk)
-        earlier = F.col(f"{on}_right").isNotNull() & (F.col(f"__f_{on}").isNull() | (F.col(on) - F.col(f"{on}_right") <= F.col(f"__f_{on}") - F.col(on)))
-        picked = [F.when(earlier, F.col(c)).otherwise(F.col(f"__f_{c if c != f'{on}_right' else on}")).alias(c) for c in [*values, f"{on}_right"]]
-        return both.select(*left.columns, *picked)
+        return _nearest(left, right, keys, on, values, chunk)
     out = _asof(left, right, keys, on, values, "__m_", ahead=direction == "forward", chunk=chunk)
     return out.select(*left.columns, *[F.col(f"__m_{v}").alias(v) for v in values], F.col(f"__m_{on}").alias(f"{on}_right"))
 
 
+def _nearest(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str], chunk: int) -> DataFrame:
+    """Both sides put together and ordered once; each left row takes the closer of the matches before and after it."""
+    rest = [c for c in left.columns if c not in keys and c != on]
+    sides = [F.struct(F.col(on), *[F.col(f"__{side}.{v}").alias(v) for v in values]).alias(f"__{side}") for side in ("b", "f")]
+    one = right.where(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.max(F.struct(*values)).alias("__b"), F.min(F.struct(*values)).alias("__f"))
+    u = left.select(*keys, on, F.struct(*rest, F.lit(True).alias("__left")).alias("__l")).unionByName(one.select(*keys, on, *sides), allowMissingColumns=True)
+    u = around(u, keys, on, F.col("__b"), F.col("__f"), ("__before", "__after"), F.col("__l").isNotNull(), chunk).where(F.col("__l").isNotNull())
+    back, fore = F.col(f"__before.{on}"), F.col(f"__after.{on}")
+    earlier = back.isNotNull() & (fore.isNull() | (F.col(on) - back <= fore - F.col(on)))
+    hit = F.when(earlier, F.col("__before")).otherwise(F.col("__after"))
+    own = [F.col(c) if c in keys or c == on else F.col(f"__l.{c}").alias(c) for c in left.columns]
+    return u.withColumn("__hit", hit).select(*own, *[F.col(f"__hit.{v}").alias(v) for v in values], F.col(f"__hit.{on}").alias(f"{on}_right"))
+
+
 def _asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, values: list[str], prefix: str, ahead: bool, chunk: int) -> DataFrame:
     rest = [c for c in left.columns if c not in keys and c != on]
     match = F.struct(F.col(on), *map(F.col, values)).alias("__m")

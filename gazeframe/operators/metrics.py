@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import NO_AOI, quality_band, safe_div, task_index
 from .align import range_join
+from .ordered import settled
 from .sequence import transition_count
 
 DEFAULT_FPS = 30.0
@@ -115,7 +116,7 @@ def task_frames(frames: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def task_metrics(frames: DataFrame, tasks: DataFrame) -> DataFrame:
     """One row for each task with frames; the frame rate is the whole recording's."""
-    inside = task_frames(frames, tasks)
+    inside = settled(task_frames(frames, tasks))  # read by four aggregates
     by = ["recording", "task_name", "start_frame", "end_frame"]
     fps = timing(frames, ["recording"]).select("recording", "fps")
     times = timing(inside, by).select(*by, "n_frames", "n_timed", ((F.col("last_us") - F.col("first_us")) / 1e6).alias("span_s"))
@@ -138,6 +139,14 @@ def task_metrics(frames: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
+def learning_by_frames(frames: DataFrame, tasks: DataFrame) -> DataFrame:
+    """By task: mean, deviation (0 for one), median and n of (end - start) over the recording's own frame rate, of valid tasks."""
+    fps = timing(frames, ["recording"]).select("recording", "fps")
+    valid = tasks.where(F.col("start_frame").isNotNull() & (F.col("end_frame") > F.col("start_frame"))).join(fps, "recording")
+    own = valid.select(task_index(F.col("task_name")).alias("task_index"), ((F.col("end_frame") - F.col("start_frame")) / F.col("fps")).alias("duration_s"))
+    return own.groupBy("task_index").agg(F.avg("duration_s").alias("mean"), F.coalesce(F.stddev_samp("duration_s"), F.lit(0.0)).alias("std"), F.median("duration_s").alias("median"), F.count("*").alias("n"))
+
+
 def learning_summary(metrics: DataFrame) -> DataFrame:
     """By difficulty and task, null groups kept: participants, duration statistics, means, SEM and CI95."""
     means = ["none_ratio", "aoi_transition_count", "aoi_entropy_bits", "screen_to_board_ratio", "task_focus_ratio"]

@@ -8,6 +8,7 @@ shuffled once, by key and chunk; only the summaries meet by key alone.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,17 +22,64 @@ def _chunk(order: str, size: int) -> Column:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs in one process.
+    """Cut the lineage with a Parquet table in the folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs in one process.
 
-    Each running value joins a table with a summary of itself, so a long chain of them doubles its plan at each step.
+    Each running value joins a table with a summary of itself, so a long chain of them doubles its plan at each step,
+    and what several branches read is worked out by each. Later steps read only the columns that they need.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, keys: list[str], order: str, position: str, first: str, size: int = CHUNK) -> DataFrame:
+    """``position``: the row's place in its key, from 0; ``first``: the key's least ``order``. One join gives both."""
+    cut = df.withColumn("__chunk", _chunk(order, size))
+    over_chunks = Window.partitionBy(*keys)
+    before = over_chunks.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*keys, "__chunk").agg(F.count("*").alias("__n"), F.min(order).alias("__least"))
+    parts = parts.select(*keys, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.min("__least").over(over_chunks).alias(first))
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order)
+    return cut.join(parts, [*keys, "__chunk"]).withColumn(position, F.col("__start") + F.row_number().over(inside) - 1).drop("__chunk", "__start")
+
+
+def trailing(df: DataFrame, keys: list[str], order: str, value: Column, name: str, count: int, size: int = CHUNK) -> DataFrame:
+    """``name``: an array of ``value`` of up to ``count`` rows before, in order. A chunk hands its last ``count`` values on."""
+    cut = df.withColumn("__chunk", _chunk(order, size)).withColumn("__v", F.struct(value.alias("v")))
+    inside = Window.partitionBy(*keys, "__chunk")
+    last = cut.withColumn("__r", F.row_number().over(inside.orderBy(F.desc(order)))).where(F.col("__r") <= count)
+    tails = last.groupBy(*keys, "__chunk").agg(F.sort_array(F.collect_list(F.struct(-F.col("__r"), "__v"))).alias("__tail"))
+    # Each chunk has a row at least, so as many chunks as values are enough.
+    chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(-count, -1)
+    tails = tails.select(*keys, "__chunk", F.flatten(F.collect_list("__tail.__v").over(chunks)).alias("__carried"))
+    here = F.collect_list("__v").over(inside.orderBy(order).rowsBetween(-count, -1))
+    out = cut.join(tails, [*keys, "__chunk"]).withColumn("__all", F.concat("__carried", here))
+    return out.withColumn(name, F.transform(F.slice("__all", F.greatest(F.size("__all") - count + 1, F.lit(1)), F.lit(count)), lambda x: x["v"])).drop("__chunk", "__v", "__carried", "__all")
+
+
+def around(df: DataFrame, keys: list[str], order: str, before: Column, after: Column, names: tuple[str, str], tie: Column, size: int = CHUNK) -> DataFrame:
+    """The last non-null ``before`` up to the row and the first non-null ``after`` from it on; one join gives both.
+
+    Of rows at one place those without ``tie`` count as before and as after those with it.
+    """
+    cut = df.withColumn("__chunk", _chunk(order, size)).withColumn("__b", before).withColumn("__a", after)
+    parts = cut.groupBy(*keys, "__chunk").agg(F.max_by("__b", F.when(F.col("__b").isNotNull(), F.col(order))).alias("__last"), F.min_by("__a", F.when(F.col("__a").isNotNull(), F.col(order))).alias("__next"))
+    chunks = Window.partitionBy(*keys).orderBy("__chunk")
+    earlier = F.last("__last", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.first("__next", ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing))
+    parts = parts.select(*keys, "__chunk", earlier.alias("__earlier"), later.alias("__later"))
+    inside = Window.partitionBy(*keys, "__chunk")
+    upto = F.last("__b", ignorenulls=True).over(inside.orderBy(F.col(order), tie.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    since = F.last("__a", ignorenulls=True).over(inside.orderBy(F.col(order).desc(), tie.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = cut.join(parts, [*keys, "__chunk"]).withColumn(names[0], F.coalesce(upto, "__earlier")).withColumn(names[1], F.coalesce(since, "__later"))
+    return out.drop("__chunk", "__b", "__a", "__earlier", "__later")
 
 
 def lagged(df: DataFrame, keys: list[str], order: str, value: Column, name: str, default: Column | None = None, size: int = CHUNK, ahead: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import NO_AOI, pair_label, safe_div
-from .ordered import lagged, running
+from .ordered import lagged, running, trailing
 
 KEY = ["recording"]
 
@@ -84,9 +84,8 @@ def carry_forward(frames: DataFrame, value: str, name: str) -> DataFrame:
 def scanpath(frames: DataFrame, last: int = 5) -> DataFrame:
     """One row for each fixation in order of its first frame, with the ids of the last ``last`` distinct fixations."""
     entries = frames.where(F.col("fixation_id").isNotNull()).groupBy("recording", "fixation_id").agg(F.min("frame_idx").alias("start_frame"))
-    for i in range(1, last):
-        entries = lagged(entries, KEY, "start_frame", F.col(f"__f{i - 1}" if i > 1 else "fixation_id"), f"__f{i}")
-    ids = F.filter(F.array(*[F.col(f"__f{i}") for i in range(last - 1, 0, -1)], F.col("fixation_id")), lambda x: x.isNotNull())
+    entries = trailing(entries, KEY, "start_frame", F.col("fixation_id"), "__before", last - 1)
+    ids = F.array_append("__before", F.col("fixation_id"))
     return entries.select("recording", "fixation_id", "start_frame", F.array_join(ids.cast("array<string>"), ";").alias("scanpath"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import NULL_LABELS, normal_label
+from ..operators.ordered import placed, settled
 
 DAY_US = 86_400_000_000
 #: Time chunk of this data: events of a user are hours apart.
@@ -29,16 +30,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, "nan")
     )
     seen = F.col("value") >= 5
-    by_time = Window.partitionBy("recording").orderBy("ts_us")
-    f = e.withColumn("frame_idx", (F.row_number().over(by_time) - 1).cast("int")).withColumn("raw_label", raw)
+    # A recording of any length is numbered in chunks of time.
+    e = placed(e, ["recording"], "ts_us", "frame_idx", "first_us", CHUNK_US)
+    f = e.withColumn("frame_idx", F.col("frame_idx").cast("int")).withColumn("raw_label", raw)
     f = f.withColumn("block", F.floor(F.col("frame_idx") / 5).cast("int")).withColumn("is_fixation", F.col("k") >= 30)
     f = f.withColumn("u", F.col("k") / 99.0).withColumn("v", F.col("value") - F.floor("value"))
-    block, whole = Window.partitionBy("recording", "block"), Window.partitionBy("recording")
+    block = Window.partitionBy("recording", "block")
     return f.select(
         "recording",
         F.when(F.col("recording") % 2 == 0, "A").otherwise("B").alias("condition"),
         F.when(F.col("recording") % 3 == 0, "Easy").when(F.col("recording") % 3 == 1, "Medium").otherwise("Hard").alias("difficulty"),
-        "event_id", "frame_idx", "ts_us", ((F.col("ts_us") - F.min("ts_us").over(whole)) / 1e6).alias("time_s"), "k", "value", "raw_label", normal_label(F.col("raw_label")).alias("label"), "u", "v",
+        "event_id", "frame_idx", "ts_us", ((F.col("ts_us") - F.col("first_us")) / 1e6).alias("time_s"), "k", "value", "raw_label", normal_label(F.col("raw_label")).alias("label"), "u", "v",
         F.when(seen, F.col("u") * 1600.0).alias("x_px"), F.when(seen, F.col("v") * 1200.0).alias("y_px"), "is_fixation",
         F.when(F.col("is_fixation"), F.col("block")).alias("fixation_id"),
         F.when(F.col("is_fixation"), (F.max("ts_us").over(block) - F.min("ts_us").over(block)) / 1000.0).alias("fixation_dur_ms"),
@@ -47,6 +49,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_frames(spark: SparkSession, sf_dir: str, durations: bool = False) -> DataFrame:
+    """``frames``, written once for queries that read them in several branches; fixation_dur_ms, which takes one more shuffle, only with ``durations``."""
+    f = frames(spark, sf_dir)
+    return settled(f if durations else f.drop("fixation_dur_ms"))
+
+
 def recordings(f: DataFrame) -> DataFrame:
     return f.groupBy("recording", "condition", "difficulty").agg(F.count("*").alias("n_frames"))
 

@@ -123,7 +123,7 @@ def aoi_order(s, d):
 
 
 def _asof(s, d, direction):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     out = align.asof_join(ad.scene(f), ad.gaze(f), ["recording"], "ts_us", ["u", "v"], direction, ad.CHUNK_US)
     return out.select("recording", "frame_idx", "u", "v", F.col("ts_us_right").alias("gaze_us"))
 
@@ -154,8 +154,8 @@ def asof_nearest(s, d):
       FROM f JOIN spans s ON f.recording = s.recording AND s.stop >= f.ts_us) WHERE r = 1) x ON x.recording = f.recording AND x.frame_idx = f.frame_idx"""
 )
 def fixation_interval_join(s, d):
-    f = ad.frames(s, d).select("recording", "frame_idx", "ts_us")
-    out = align.interval_join(f, ad.fixation_spans(ad.frames(s, d)), ["recording"], "ts_us", "fixation_id", "start", "stop", chunk=ad.CHUNK_US)
+    f = ad.stored_frames(s, d)
+    out = align.interval_join(f.select("recording", "frame_idx", "ts_us"), ad.fixation_spans(f), ["recording"], "ts_us", "fixation_id", "start", "stop", chunk=ad.CHUNK_US)
     return out.select("recording", "frame_idx", "fixation_id")
 
 
@@ -164,7 +164,7 @@ def fixation_interval_join(s, d):
        FROM (SELECT recording, fixation_id, min(frame_idx) AS start_frame FROM f WHERE fixation_id IS NOT NULL GROUP BY ALL)"""
 )
 def scanpath_window(s, d):
-    return sequence.scanpath(ad.frames(s, d))
+    return sequence.scanpath(ad.stored_frames(s, d))
 
 
 @query(
@@ -173,14 +173,14 @@ def scanpath_window(s, d):
       FROM f JOIN spans s ON f.recording = s.recording AND ((s.stop <= f.ts_us AND s.stop >= f.ts_us - {4 * ad.DAY_US}) OR (s.start <= f.ts_us AND f.ts_us < s.stop))) WHERE active OR rk <= 7"""
 )
 def recent_fixations(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     out = align.recent_fixations(f.select("recording", "ts_us"), ad.fixation_spans(f).select("recording", "fixation_id", "start", "stop"), ["recording"], "ts_us", 4 * ad.DAY_US)
     return out.select("recording", "ts_us", "fixation_id", F.col("is_active").alias("active"))
 
 
 @query("SELECT f.recording, f.frame_idx, t.task_name FROM f JOIN tasks2 t ON f.recording = t.recording AND f.frame_idx BETWEEN t.start_frame AND t.end_frame")
 def task_range_join(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     return metrics.task_frames(f.select("recording", "frame_idx"), ad.tasks(f, overlap=2)).select("recording", "frame_idx", "task_name")
 
 
@@ -203,7 +203,7 @@ def zone_hit_join(s, d):
 
 @query("SELECT recording, label, n_fixations, round(mean_dur_s, 3) AS mean_dur_s, round(total_dur_s, 3) AS total_dur_s FROM fixgrid", sh.FIXSUM)
 def aoi_grid_fill(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d, durations=True)
     return rounded(metrics.fixation_by_area(metrics.fixation_summary(f), ad.recordings(f), ad.labels(f)), "mean_dur_s", "total_dur_s", digits=3)
 
 
@@ -244,17 +244,17 @@ def transitions(s, d):
     sh.RUNS,
 )
 def cumulative_visits(s, d):
-    return sequence.cumulative_visits(ad.frames(s, d)).select("recording", "frame_idx", "visits")
+    return sequence.cumulative_visits(ad.stored_frames(s, d)).select("recording", "frame_idx", "visits")
 
 
 @query("SELECT recording, frame_idx, round((frame_idx - min(frame_idx) OVER (PARTITION BY recording, run_id)) * 33.3::DOUBLE, 6) AS time_in_current_aoi_ms FROM runs", sh.RUNS)
 def time_in_aoi(s, d):
-    return rounded(sequence.time_in_area(ad.frames(s, d), 33.3).select("recording", "frame_idx", "time_in_current_aoi_ms"), "time_in_current_aoi_ms")
+    return rounded(sequence.time_in_area(ad.stored_frames(s, d), 33.3).select("recording", "frame_idx", "time_in_current_aoi_ms"), "time_in_current_aoi_ms")
 
 
 @query("SELECT recording, run_id::BIGINT AS run_id, label, min(frame_idx) AS start_frame, max(frame_idx) AS end_frame, count(*) AS n_frames FROM runs GROUP BY ALL", sh.RUNS)
 def label_runs(s, d):
-    return sequence.label_runs(ad.frames(s, d))
+    return sequence.label_runs(ad.stored_frames(s, d))
 
 
 _GRID_EDGES = """grid2 AS (SELECT recording, a.label AS src, b.label AS dst FROM recs, (SELECT DISTINCT label FROM f WHERE label <> 'NoAOI') a, (SELECT DISTINCT label FROM f WHERE label <> 'NoAOI') b
@@ -263,7 +263,7 @@ _GRID_EDGES = """grid2 AS (SELECT recording, a.label AS src, b.label AS dst FROM
 
 
 def _dense(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     return f, sequence.dense_matrix(sequence.transition_edges(f), ad.recordings(f), ad.labels(f).where(F.col("label") != lab.NO_AOI))
 
 
@@ -313,17 +313,17 @@ def dwell_pct(s, d):
     sh.TIMES,
 )
 def recording_summary(s, d):
-    out = metrics.recording_summary(ad.frames(s, d)).withColumnRenamed("entropy_bits", "aoi_entropy_bits")
+    out = metrics.recording_summary(ad.stored_frames(s, d)).withColumnRenamed("entropy_bits", "aoi_entropy_bits")
     return rounded(out, "none_ratio", "manual_edit_ratio", "auto_gap_fill_ratio", "duration_s", "estimated_fps", "aoi_entropy_bits").select("recording", "condition", "difficulty", "none_ratio", "manual_edit_ratio", "auto_gap_fill_ratio", "frame_count", "duration_s", "estimated_fps", "n_transitions", "aoi_entropy_bits")
 
 
 @query("SELECT recording, label, round(n_label / fps, 6) AS dwell_s, round(n_label / n_all::DOUBLE, 6) AS dwell_ratio FROM dw JOIN times USING (recording) WHERE label <> 'NoAOI'", sh.DWELL, sh.TIMES)
 def recording_dwell(s, d):
-    return rounded(metrics.recording_dwell(ad.frames(s, d)), "dwell_s", "dwell_ratio")
+    return rounded(metrics.recording_dwell(ad.stored_frames(s, d)), "dwell_s", "dwell_ratio")
 
 
 def _task_metrics(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     return f, metrics.task_metrics(f, ad.tasks(f))
 
 
@@ -353,7 +353,7 @@ def entropy_bits(s, d):
 
 @query("SELECT recording, n_transitions, round(n_transitions / duration_s, 12) AS rate FROM (SELECT recording, sum(CASE WHEN prev <> label THEN 1 ELSE 0 END)::BIGINT AS n_transitions FROM chg GROUP BY 1) JOIN times USING (recording)", sh.RUNS, sh.TIMES)
 def transition_rate(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     out = sequence.transition_count(f).join(metrics.timing(f, ["recording"]), "recording")
     return out.select("recording", "n_transitions", r(lab.safe_div(F.col("n_transitions"), F.col("duration_s")), 12).alias("rate"))
 
@@ -409,7 +409,7 @@ def learning_summary(s, d):
 
 @query("SELECT difficulty, label, round(avg(value / 100), 6) AS mean_ratio, round(median(value / 100), 6) AS median_ratio, count(*) FILTER (seen) AS n FROM dgrid GROUP BY ALL", sh.DWELL, sh.FIXSUM, sh.DGRID)
 def aoi_by_difficulty(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     return rounded(metrics.area_by_difficulty(metrics.recording_dwell(f), ad.recordings(f), ad.labels(f)), "mean_ratio", "median_ratio")
 
 
@@ -438,7 +438,7 @@ def learning_by_condition(s, d):
 
 
 def _dwell_grid(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     return compare.zero_filled(metrics.dwell(f, ["recording"]), ad.recordings(f), ad.labels(f).where(F.col("label") != lab.NO_AOI), "dwell_pct")
 
 
@@ -459,7 +459,7 @@ def agg_dwell(s, d):
 
 @query("SELECT label, round(avg(n_fixations), 6) AS mean_n, round(stddev_samp(n_fixations), 6) AS std_n, round(avg(mean_dur_s), 4) AS mean_dur_s FROM fixgrid GROUP BY 1", sh.FIXSUM)
 def agg_fixation(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d, durations=True)
     grid = metrics.fixation_by_area(metrics.fixation_summary(f), ad.recordings(f), ad.labels(f))
     return grid.groupBy("label").agg(r(F.avg("n_fixations")).alias("mean_n"), r(F.stddev_samp("n_fixations")).alias("std_n"), r(F.avg("mean_dur_s"), 4).alias("mean_dur_s"))
 
@@ -506,7 +506,7 @@ def aoi_stats(s, d):
 
 
 def _cells(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d, durations=True)
     fix = metrics.fixation_by_area(metrics.fixation_summary(f), ad.recordings(f), ad.labels(f)).join(ad.recordings(f).select("recording", "condition"), "recording")
     part = lambda df, m, v: df.select(F.lit(m).alias("metric"), "label", "condition", v.cast("double").alias("value"))
     return part(_dwell_grid(s, d), "dwell", F.col("value")).unionByName(part(fix, "fixations", F.col("n_fixations"))).unionByName(part(fix, "duration", F.round("mean_dur_s", 9)))
@@ -519,7 +519,7 @@ _OVERALL = """ov AS (
 
 @query("SELECT metric, " + _STAT + " FROM mwu", sh.RUNS, sh.DWELL, sh.TIMES, _OVERALL, sh.rank_test_sql("ov", "metric"))
 def overall_stats(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     c = ad.recordings(f).select("recording", "condition")
     rate = sequence.transition_count(f).join(metrics.timing(f, ["recording"]), "recording").select("recording", F.round(lab.safe_div(F.col("n_transitions"), F.col("duration_s")), 15).alias("value"))
     both = metrics.entropy(f, ["recording"]).select(F.lit("entropy").alias("metric"), "recording", F.col("entropy_bits").alias("value")).unionByName(rate.select(F.lit("rate").alias("metric"), "recording", "value"))
@@ -533,7 +533,7 @@ _GRID = """pts AS (
 
 
 def _occupancy(s, d):
-    f = ad.frames(s, d).where(F.col("label") == "Screen")
+    f = ad.stored_frames(s, d).where(F.col("label") == "Screen")
     return spatial.grid_occupancy(f, ["recording", "condition"])
 
 
@@ -593,7 +593,7 @@ _KERNEL = ", ".join(f"({a}, {b}, {w!r}::DOUBLE)" for a, b, w in spatial.smoothin
     JOIN (VALUES {_KERNEL}) kx(s, t, w) ON kx.s = h.xbin JOIN (VALUES {_KERNEL}) ky(s, t, w) ON ky.s = h.ybin GROUP BY ALL)"""
 )
 def heatmap_smooth(s, d):
-    h = spatial.histogram_2d(ad.frames(s, d), ["label"])
+    h = spatial.histogram_2d(ad.stored_frames(s, d), ["label"])
     return spatial.smoothed(h, ["label"]).select("label", "xbin", "ybin", r("level").alias("level"))
 
 
@@ -615,8 +615,8 @@ _H = """hq AS (SELECT q.*, f.x_px, f.y_px, x0 - x1 + x2 - x3 AS sx, y0 - y1 + y2
 
 @query("SELECT recording, frame_idx, surface, round(u, 6) AS u, round(v, 6) AS v FROM hits", _H)
 def homography_uv(s, d):
-    f = ad.frames(s, d).select("recording", "frame_idx", "x_px", "y_px")
-    return rounded(spatial.surface_hits(f, ad.quads(ad.frames(s, d))).select("recording", "frame_idx", "surface", "u", "v"), "u", "v")
+    f = ad.stored_frames(s, d)
+    return rounded(spatial.surface_hits(f.select("recording", "frame_idx", "x_px", "y_px"), ad.quads(f)).select("recording", "frame_idx", "surface", "u", "v"), "u", "v")
 
 
 @query("SELECT recording, frame_idx, surface, valid, round(area, 4) AS area FROM ok", _H)
@@ -643,8 +643,9 @@ def point_in_polygon(s, d):
     _H,
 )
 def primary_by_area(s, d):
-    f = ad.frames(s, d).select("recording", "frame_idx", "x_px", "y_px")
-    q = ad.quads(ad.frames(s, d))
+    f = ad.stored_frames(s, d)
+    q = ad.quads(f)
+    f = f.select("recording", "frame_idx", "x_px", "y_px")
     out = spatial.primary_hits(spatial.surface_hits(f, q), spatial.area_ranks(q))
     return out.select("recording", "frame_idx", "primary_aoi", r("u", 2).alias("u"), "aoi_hit_source", "surfaces_hit")
 
@@ -664,33 +665,34 @@ _EDITED = """ed AS (
   FROM (SELECT *, coalesce(edit_source = 'auto' AND bl = al AND af - bf BETWEEN 2 AND 16, false) AS g FROM anc))"""
 
 
-def _f4(s, d):
-    return ad.frames(s, d).select("recording", "frame_idx", "label")
+def _edited(s, d):
+    f = ad.stored_frames(s, d)
+    return f.select("recording", "frame_idx", "label"), ad.edits(f)
 
 
 @query("SELECT recording, frame_idx, final_label, edit_source FROM app", _EDITED)
 def apply_edits(s, d):
-    return review.apply_edits(_f4(s, d), ad.edits(ad.frames(s, d))).select("recording", "frame_idx", "final_label", "edit_source")
+    return review.apply_edits(*_edited(s, d)).select("recording", "frame_idx", "final_label", "edit_source")
 
 
 @query("SELECT recording, frame_idx, final_primary_aoi FROM filled WHERE edit_source = 'auto_gap_fill'", _EDITED)
 def gap_fill(s, d):
-    return review.reviewed(_f4(s, d), ad.edits(ad.frames(s, d))).where("edit_source = 'auto_gap_fill'").select("recording", "frame_idx", "final_primary_aoi")
+    return review.reviewed(*_edited(s, d)).where("edit_source = 'auto_gap_fill'").select("recording", "frame_idx", "final_primary_aoi")
 
 
 @query("SELECT recording, frame_idx, final_primary_aoi, edit_source FROM filled", _EDITED)
 def reviewed_export(s, d):
-    return review.reviewed(_f4(s, d), ad.edits(ad.frames(s, d))).select("recording", "frame_idx", "final_primary_aoi", "edit_source")
+    return review.reviewed(*_edited(s, d)).select("recording", "frame_idx", "final_primary_aoi", "edit_source")
 
 
 @query("SELECT recording, count(*) FILTER (edit_source = 'manual') AS manual_frames, count(*) FILTER (edit_source = 'auto_gap_fill') AS gap_filled_frames FROM filled GROUP BY 1", _EDITED)
 def edit_counts(s, d):
-    return review.edit_counts(review.reviewed(_f4(s, d), ad.edits(ad.frames(s, d))))
+    return review.edit_counts(review.reviewed(*_edited(s, d)))
 
 
 @query("SELECT recording, frame_idx, final_label IS DISTINCT FROM lag(final_label) OVER (PARTITION BY recording ORDER BY frame_idx) AS is_transition FROM app", _EDITED)
 def post_edit_transitions(s, d):
-    return review.changed_after_edits(review.apply_edits(_f4(s, d), ad.edits(ad.frames(s, d)))).select("recording", "frame_idx", "is_transition")
+    return review.changed_after_edits(review.apply_edits(*_edited(s, d))).select("recording", "frame_idx", "is_transition")
 
 
 @query("SELECT recording, start_frame, seq FROM (SELECT *, max(seq) OVER (PARTITION BY recording) AS m FROM edits) WHERE seq < m")
@@ -700,8 +702,8 @@ def undo_last(s, d):
 
 @query("SELECT f.recording, f.frame_idx, coalesce(el, label) AS label, el IS NOT NULL AS edited FROM f LEFT JOIN (SELECT recording, frame_idx, el FROM ed) USING (recording, frame_idx)", _EDITED)
 def edit_overlay_join(s, d):
-    f = _f4(s, d)
-    out = f.join(review.frame_edits(ad.edits(ad.frames(s, d)), f), ["recording", "frame_idx"], "left")
+    f, edits = _edited(s, d)
+    out = f.join(review.frame_edits(edits, f), ["recording", "frame_idx"], "left")
     return out.select("recording", "frame_idx", F.coalesce("edit_label", "label").alias("label"), F.col("edit_label").isNotNull().alias("edited"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import labels as lab
 from . import adapter as ad
 from . import analysis, reports
-from .queries import ORACLE_SQL, QUERIES, query, r
+from . import shared_sql as sh
+from .queries import _BH, _STAT, ORACLE_SQL, QUERIES, query, r
 
 # Functions over text and numbers
 
@@ -91,7 +92,7 @@ def _same(name: str, of: str, sheet) -> None:
     """A table of a report, with the columns, the rounding and the SQL of the query that shows its operator alone."""
 
     def run(spark, sf_dir) -> DataFrame:
-        f = ad.frames(spark, sf_dir)
+        f = ad.stored_frames(spark, sf_dir, durations=True)
         return sheet(f, ad.tasks(f))
 
     run.__name__ = name
@@ -118,3 +119,35 @@ _same("comparison_learning", "learning_by_condition", lambda f, t: _cut(reports.
 _same("dashboard_dwell_spread", "dwell_stats", lambda f, t: _cut(reports.dashboard(f, t)["all_dwell"], {"label": None, "mean": 6, "median": 6, "std": 6, "min": 6, "max": 6, "n": None}))
 _same("dashboard_timeline", "label_runs", lambda f, t: reports.dashboard(f, t)["timeline"])
 _same("dashboard_quality", "data_quality", lambda f, t: _cut(reports.dashboard(f, t)["quality"].drop("band"), _plain(("recording", "total_frames", "valid_gaze_frames", "fixation_count")) | {"recording_duration_s": 6, "fps": 6, "missing_gaze_pct": 6}))
+
+
+@query("SELECT task_index, round(avg(d), 6) AS mean, round(coalesce(stddev_samp(d), 0), 4) AS std, round(median(d), 6) AS median, count(*) AS n FROM (SELECT CAST(replace(task_name, 'Task ', '') AS INTEGER) AS task_index, (end_frame - start_frame) / fps AS d FROM tasks JOIN times USING (recording)) GROUP BY 1", sh.TIMES)
+def dashboard_learning(s, d):
+    f = ad.stored_frames(s, d, durations=True)
+    return _cut(reports.dashboard(f, ad.tasks(f))["all_learning"], {"task_index": None, "mean": 6, "std": 4, "median": 6, "n": None})
+
+
+_ON_SCREEN = """sp0 AS (
+  SELECT * FROM (SELECT *, count(*) FILTER (is_fixation) OVER (PARTITION BY recording) AS nf FROM f WHERE label = 'Screen') WHERE nf < 10 OR is_fixation
+), sp AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY recording) AS n FROM sp0 WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1) WHERE n >= 10
+), ax AS (
+  SELECT 'Vertical position' AS metric, condition, round(avg(u), 9) AS value FROM sp GROUP BY recording, condition UNION ALL SELECT 'Horizontal position', condition, round(avg(v), 9) FROM sp GROUP BY recording, condition
+), so AS (
+  SELECT r.recording, r.condition, c.cell, coalesce(n, 0) / total::DOUBLE AS value FROM (SELECT recording, condition, count(*) AS total FROM sp GROUP BY ALL) r CROSS JOIN (SELECT unnest(range(0, 16))::INTEGER AS cell) c
+  LEFT JOIN (SELECT recording, least(floor(u * 4), 3)::INTEGER * 4 + least(floor(v * 4), 3)::INTEGER AS cell, count(*) AS n FROM sp GROUP BY ALL) p ON p.recording = r.recording AND p.cell = c.cell)"""
+
+
+def _compared(s, d):
+    f = ad.stored_frames(s, d, durations=True)
+    return reports.compare_conditions(f, ad.tasks(f))
+
+
+@query("SELECT metric, " + _STAT + " FROM mwu", _ON_SCREEN, sh.rank_test_sql("ax", "metric"))
+def comparison_screen_position(s, d):
+    return _compared(s, d).screen_position
+
+
+@query("SELECT cell, p0 AS p_raw, round_even(q, 4) AS p_value, q < 0.05 AS significant FROM bh2", _ON_SCREEN, sh.rank_test_sql("so", "cell"), _BH)
+def comparison_screen_tests(s, d):
+    return _compared(s, d).screen_tests.select("cell", "p_raw", "p_value", "significant")

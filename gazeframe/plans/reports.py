@@ -65,8 +65,9 @@ def compare_conditions(frames: DataFrame, tasks: DataFrame, a: str = "A", b: str
     percent = sequence.transition_percent(sequence.dense_matrix(sequence.transition_edges(frames), recs, names))
     on_screen = frames.where(F.col("label") == screen)
     points = spatial.unit_points(spatial.preferred_points(on_screen, ["recording", "condition"]), ["recording", "condition"])
-    # The vertical axis of the stored frame is x: names follow the stored convention.
-    mean = spatial.mean_position(points, ["recording", "condition"])
+    # The vertical axis of the stored frame is x: names follow the stored convention. Equal means are ties of the rank
+    # test, in whatever order their points were summed.
+    mean = spatial.mean_position(points, ["recording", "condition"]).withColumn("mean_x", F.round("mean_x", 9)).withColumn("mean_y", F.round("mean_y", 9))
     axis = mean.select("condition", F.explode(F.array(F.struct(F.lit("Vertical position").alias("metric"), F.col("mean_x").alias("value")), F.struct(F.lit("Horizontal position").alias("metric"), F.col("mean_y").alias("value")))).alias("m")).select("condition", "m.metric", "m.value")
     occupancy = spatial.grid_occupancy(points, ["recording", "condition"]).withColumnRenamed("share", "value")
     return Comparison(
@@ -105,7 +106,7 @@ def dashboard(frames: DataFrame, tasks: DataFrame, errors: DataFrame | None = No
         "all_fixations": metrics.spread(fix, ["label"], "n_fixations"),
         "all_heatmap": pooled,
         "all_transitions": sequence.mean_transition_percent(percent, []),
-        "all_learning": metrics.spread(tm, ["task_index"], "duration_s"),
+        "all_learning": metrics.learning_by_frames(frames, tasks),
         "all_quality": metrics.data_quality(frames).agg(F.avg("missing_gaze_pct").alias("mean_missing_pct"), F.stddev_samp("missing_gaze_pct").alias("sd_missing_pct")),
         "timeline": sequence.label_runs(frames),
         "fixation_ticks": sequence.every_nth_fixation(frames).select("recording", "frame_idx"),

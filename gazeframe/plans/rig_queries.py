@@ -20,7 +20,7 @@ def _shown():
 
 def _samples(s, d):
     """Of each frame the transform between two surfaces, turned about the vertical axis, and its inverse; some are far off."""
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     k, value = F.col("k"), F.col("value")
     names = F.array(*[F.lit(x) for x in SURFACES])
     a, b = k % 5, F.floor(k / 5).cast("int") % 4
@@ -81,7 +81,7 @@ _CORNER_SIGNS = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
 
 
 def _views(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     k, v = F.col("k"), F.col("v")
     t = (k - 50) / 80.0
     cos, sin = (1 - t * t) / (1 + t * t), 2 * t / (1 + t * t)

@@ -13,7 +13,7 @@ from .queries import _H, query, r
 
 
 def _log(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     return f.select("recording", F.col("event_id").alias("seq"), F.when(F.col("k") % 5 < 2, "undo").otherwise("edit").alias("kind"))
 
 
@@ -54,7 +54,7 @@ _MARKS = """mk AS (
 def _panels(s, d):
     k = F.col("k")
     kind = F.when(k % 11 == 0, "undo").when(k % 7 < 3, "in").when(k % 7 < 6, "out").otherwise("clear")
-    marks = ad.frames(s, d).where("k < 60").select("recording", F.col("event_id").alias("seq"), kind.alias("kind"), (k * 13 % 60).alias("frame"))
+    marks = ad.stored_frames(s, d).where("k < 60").select("recording", F.col("event_id").alias("seq"), kind.alias("kind"), (k * 13 % 60).alias("frame"))
     # A recording whose marks are all taken back has an open range.
     trim = editlog.marked_range(editlog.standing(marks, size=64))
     trim = marks.select("recording").distinct().join(trim, "recording", "left")
@@ -76,7 +76,7 @@ def marked_ranges(s, d):
     recursive=True,
 )
 def crop_frames(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     ranges = _panels(s, d)[0].withColumn("padding_s", F.col("recording") % 4 * F.lit(0.3)).withColumn("fps", F.lit(2.5) + F.col("recording") % 3)
     return editlog.cropped(f, editlog.crop_bounds(ranges, f)).select("recording", "frame_idx")
 
@@ -97,7 +97,7 @@ _SAVED = f"""ed AS (
 
 
 def _saved(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     edits = ad.edits(f).where(F.col("recording") % 3 == 0)
     return corrections.corrected(f.join(edits.select("recording").distinct(), "recording", "left_semi"), edits, ad.quads(f))
 
@@ -165,7 +165,7 @@ def region_order(s, d):
        JOIN (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY ts_us) - 1 AS n FROM gaze) b ON a.recording = b.recording AND a.n = b.n"""
 )
 def zip_frames(s, d):
-    f = ad.frames(s, d)
+    f = ad.stored_frames(s, d)
     out = positions.zipped(ad.scene(f).drop("ts_us"), ad.gaze(f), ["recording"], "frame_idx", "ts_us", 32, ad.CHUNK_US)
     return out.select("recording", "position", "frame_idx", "u", "v")
 
@@ -177,7 +177,7 @@ _GAPPED = """gp AS (
 
 
 def _gapped(s, d):
-    f, k, rec = ad.frames(s, d), F.col("k"), F.col("recording")
+    f, k, rec = ad.stored_frames(s, d), F.col("k"), F.col("recording")
     frames = f.select("recording", "ts_us", F.when((rec % 3 != 0) | (k % 29 != 5), F.col("frame_idx") + 4).alias("frame_idx"), F.when(k % 7 != 1, F.col("time_s")).alias("time_s"))
     start = rec % 5 * 6 - 6
     return frames, ad.recordings(f).select("recording", start.alias("start_frame"), (start + rec % 4 * 30).alias("end_frame"))
