@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import to_unit_square, valid_quad
 from ..functions.labels import NO_AOI
-from ..operators import metrics, review
+from ..operators import editlog, metrics, review
 from ..operators.spatial import QUAD
 
 KEY = "recording"
 #: What is recomputed from the frames of a touched recording.
 SUMMARIES = {"fixation_summary": metrics.fixation_summary, "data_quality": metrics.data_quality, "preprocessing_report": metrics.preprocessing_report}
-STAGED, READY = "_saving-", "_READY"
+STAGED, READY, GONE = "_saving-", "_READY", "_gone"
 
 
 def corrected(frames: DataFrame, edits: DataFrame, quads: DataFrame | None = None) -> DataFrame:
@@ -86,10 +86,44 @@ def staged(spark: SparkSession, root: str, edits: DataFrame, quads: DataFrame |
     return folder
 
 
+def crop(spark: SparkSession, root: str, bounds: DataFrame) -> None:
+    """Cut the stored recordings down to their bounds (recording, from_frame, to_frame), for good.
+
+    Frames outside go, so do fixations that touch no frame inside; those that reach beyond stay as they are. The other
+    summaries are recomputed. A recording that has nothing left in a table has no partition there any more.
+    """
+    recovered(spark, root)
+    folder = f"{root}/{STAGED}{uuid.uuid4().hex}"
+    touched = bounds.select(KEY).distinct()
+    stored = lambda name: spark.read.parquet(f"{root}/{name}").join(touched, KEY, "left_semi")
+    try:
+        before = stored("frames")
+        editlog.cropped(before, bounds).select(before.columns).write.partitionBy(KEY).parquet(f"{folder}/frames")
+        left = spark.read.schema(before.schema).parquet(f"{folder}/frames")
+        for name, summary in SUMMARIES.items():
+            spans = name == "fixation_summary"
+            new = editlog.cropped(stored(name), bounds, "start_frame", "end_frame") if spans else summary(left)
+            new.write.partitionBy(KEY).parquet(f"{folder}/{name}")
+        for name in ["frames", *SUMMARIES]:
+            rest = spark.read.schema(stored(name).schema).parquet(f"{folder}/{name}").select(KEY).distinct()
+            touched.join(rest, KEY, "left_anti").select(F.lit(name).alias("table"), F.col(KEY).cast("string").alias(KEY)).write.mode("append").parquet(f"{folder}/{GONE}")
+        _files(spark, folder)[0].create(_path(spark, f"{folder}/{READY}")).close()
+    except BaseException:
+        _remove(spark, folder)
+        raise
+    publish(spark, root, folder)
+
+
 def publish(spark: SparkSession, root: str, folder: str) -> None:
-    """Replace the store's partitions by the staged ones; may be repeated."""
-    system, listed = _files(spark, folder)
+    """Replace the store's partitions by the staged ones and delete those that are gone; may be repeated."""
+    listed = _files(spark, folder)[1]
+    if GONE in listed:
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for row in spark.read.parquet(f"{folder}/{GONE}").collect():  # recordings that a crop emptied
+            _remove(spark, f"{root}/{row['table']}/{KEY}={escape(row[KEY])}")
     for name in sorted(x for x in listed if not x.startswith("_")):
+        if not any(x.startswith(f"{KEY}=") for x in _files(spark, f"{folder}/{name}")[1]):
+            continue
         spark.read.parquet(f"{folder}/{name}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY).parquet(f"{root}/{name}")
     _remove(spark, folder)
 

@@ -183,3 +183,18 @@ def test_edited_gaze_moves_to_its_new_surface(spark):
     assert out[3] == out[4] == out[8] == (0.25, 0.5)
     assert out[5] == (None, None)  # outside all areas
     assert out[6] == out[7] == out[9] == (0.5, 0.5)  # no quad, no gaze, not edited
+
+
+def test_a_crop_rewrites_frames_fixations_and_summaries(spark, store):
+    before = listing(store)
+    bounds = spark.createDataFrame([(1, 12, 21), (2, 900, 999)], "recording int, from_frame long, to_frame long")
+    corrections.crop(spark, store, bounds)
+    frames = spark.read.parquet(f"{store}/frames")
+    assert sorted(x["frame_idx"] for x in frames.where("recording = 1").collect()) == list(range(12, 22))
+    assert sorted({x["recording"] for x in frames.select("recording").collect()}) == [1, 3]  # nothing of 2 lies inside
+    spans = spark.read.parquet(f"{store}/fixation_summary").where("recording = 1").orderBy("start_frame").collect()
+    assert [(x["start_frame"], x["end_frame"]) for x in spans] == [(10, 14), (15, 19), (20, 24)]  # as they were
+    report = {x["recording"]: x["total_frames"] for x in spark.read.parquet(f"{store}/preprocessing_report").collect()}
+    assert report == {1: 10, 3: 40}
+    kept = lambda files: [f for f in files if "recording=3" in f]
+    assert kept(before) == kept(listing(store)) and not [n for n in os.listdir(store) if n.startswith("_saving")]
