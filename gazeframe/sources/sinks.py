@@ -71,6 +71,18 @@ def task_json(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("recording").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry))), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def trim_json(trims: DataFrame) -> DataFrame:
+    """recording, json: each recording's trim; an open end stays null."""
+    return trims.select("recording", F.to_json(F.struct("start_frame", "end_frame", "padding_s"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def error_json(errors: DataFrame) -> DataFrame:
+    """recording, json: each recording's errors as {task: counts}; of repeated rows of a task the counts add up."""
+    counts = ["comp_number", "comp_type", "comp_orientation", "cable_position", "cable_colour"]
+    of_task = errors.groupBy("recording", "task_name").agg(*[F.sum(c).cast("int").alias(c) for c in counts])
+    return of_task.groupBy("recording").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task_name", F.struct(*counts)))))).alias("json"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """The json column as one file for each recording's folder."""
     df.select("recording", F.col("json").alias("value")).write.mode("overwrite").partitionBy("recording").text(path)

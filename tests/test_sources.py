@@ -113,3 +113,16 @@ def test_writers(spark, tmp_path):
 def test_nan_becomes_null(spark):
     df = no_nans(spark.createDataFrame([(float("nan"), 1)], "x double, i int"))
     assert df.collect()[0]["x"] is None
+
+
+def test_trim_and_error_files_read_back(spark, tmp_path):
+    trims = spark.createDataFrame([("r", 3, None, 0.5)], "recording string, start_frame int, end_frame int, padding_s double")
+    assert json.loads(sinks.trim_json(trims).collect()[0]["json"]) == {"start_frame": 3, "end_frame": None, "padding_s": 0.5}
+    rows = [("r", "Task 1", 1, 2, 3, 5, 4), ("r", "Task 2", 0, 0, 1, 0, 0)]
+    errors = spark.createDataFrame(rows, "recording string, task_name string, comp_number int, comp_type int, comp_orientation int, cable_position int, cable_colour int")
+    (tmp_path / "r" / "aoi_results").mkdir(parents=True)
+    (tmp_path / "r" / "aoi_results" / "errors.json").write_text(sinks.error_json(errors).collect()[0]["json"])
+    (tmp_path / "r" / "aoi_results" / "trim.json").write_text(sinks.trim_json(trims).collect()[0]["json"])
+    names = ["recording", "task_name", "comp_number", "comp_type", "comp_orientation", "cable_position", "cable_colour"]
+    assert sorted(map(tuple, readers.error_table(spark, str(tmp_path)).select(names).collect())) == rows
+    assert [tuple(x) for x in readers.trim_table(spark, str(tmp_path)).collect()] == [("r", 3, None, 0.5)]
