@@ -10,7 +10,12 @@ No value spans two lines and each holds a digit or an at sign, so only such line
 around its matches and joined again, and everything else stays byte for byte. No rows are shuffled. No pattern repeats
 a group without a bound, so a text of any length is searched on a stack of fixed depth.
 
-Defined cases: null stays null and empty stays empty; values that fail their check (a card number with a wrong
+Mail names may hold letters, digits and marks of any script and the signs ``. _ + - ' & % * ~``; signs before the first
+letter or digit (a quote, dots) are no part of the name. Letters are permuted within their own alphabet: ASCII, accented
+Latin, Greek and Cyrillic by case, and the letters of Hebrew, Arabic, Devanagari, Thai, kana, Han and Hangul. Combining
+marks and letters of other scripts stay in place.
+
+Defined cases: null stays null and empty stays empty; an empty table gives an empty result; values that fail their check (a card number with a wrong
 digit, 31 February) are no personal data and stay; dates run from 1900-01-01 for 73,000 days, others stay; of a
 day-month ambiguity the day comes first where that is a date; repeated rows change alike; a mail name of one character
 and other values of one symbol are shifted by a number that depends on key and format alone (still a permutation); a
@@ -29,8 +34,21 @@ KEY_SETTING, DEMO_KEY = "spark.gazeframe.pseudonym.key", "pseudonym-key-1"
 _MARK = "\ue000"
 _DATE_A, _DATE_B = 250, 292  # a x b = 73,000 days
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-EMAIL = r"(?<![\w.+-])[\w+-][\w.+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,}"
+#: Accented Latin letters, lower then upper case, and the private code points that stand in for them in one block each.
+_LATIN = [chr(c) for c in range(0xC0, 0x180)]
+_CASES = [[c for c in _LATIN if c.islower()], [c for c in _LATIN if c.isupper()]]
+_ACCENTED = "".join(c for case in _CASES for c in case)
+_STAND_INS = "".join(chr(0xE100 + i) for i in range(len(_ACCENTED)))
+#: Blocks of mail names that are permuted each within itself, as first and last code point: digits, then letters by script and case.
+_BLOCKS = (
+    (0x30, 0x39), (0x61, 0x7A), (0x41, 0x5A), (0xE100, 0xE100 + len(_CASES[0]) - 1), (0xE100 + len(_CASES[0]), 0xE100 + len(_ACCENTED) - 1),
+    (0x3AC, 0x3CE), (0x391, 0x3A1), (0x430, 0x45F), (0x400, 0x42F), (0x5D0, 0x5EA), (0x621, 0x63A), (0x905, 0x939), (0xE01, 0xE2E),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+)
+
+#: What a mail name may hold. The lookbehind lets a search begin at the first character of a run only.
+_IN_NAME = r"\p{L}\p{M}\p{N}_.+'\u2019&%*~-"
+EMAIL = rf"(?<![{_IN_NAME}])[{_IN_NAME}]++@(?:[\p{{L}}\p{{M}}\p{{N}}-]{{1,63}}\.){{1,126}}\p{{L}}[\p{{L}}\p{{M}}]+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE_YMD = r"(?<![\w.])\d{4}([-/.])\d{1,2}\1\d{1,2}(?!\w|\.\d)"
@@ -39,7 +57,8 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
 PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"
 HEX = r"(?<![A-Za-z0-9])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*\d)[0-9a-f]{32,64}(?![A-Za-z0-9])"
-ANY = "|".join((EMAIL, IBAN, IP, DATE_YMD, DATE_DMY, SSN, CARD, PHONE, HEX))
+NO_MAIL = "|".join((IBAN, IP, DATE_YMD, DATE_DMY, SSN, CARD, PHONE, HEX))
+ANY = f"{EMAIL}|{NO_MAIL}"
 #: Lengths of account numbers by land.
 _IBAN_LANDS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
@@ -50,7 +69,8 @@ _IBAN_LANDS = {
 #: The usual layouts alone, for the second look: a short number or word beside the value is no part of it.
 IBAN_LAID_OUT = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(lands.split())})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, lands in _IBAN_LANDS.items()) + r")(?![A-Za-z0-9])"
 CARD_LAID_OUT = r"(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)"
-AGAIN = "|".join((EMAIL, IBAN_LAID_OUT, IP, DATE_YMD, DATE_DMY, SSN, CARD_LAID_OUT, PHONE, HEX))
+AGAIN_NO_MAIL = "|".join((IBAN_LAID_OUT, IP, DATE_YMD, DATE_DMY, SSN, CARD_LAID_OUT, PHONE, HEX))
+AGAIN = f"{EMAIL}|{AGAIN_NO_MAIL}"
 
 
 def _chars(s: Column) -> Column:
@@ -103,6 +123,24 @@ def permuted(value: Column, alphabets: tuple[str, ...], key: Column) -> Column:
     return _let(_chars(value), of_chars)
 
 
+def permuted_letters(value: Column, key: Column) -> Column:
+    """``value`` with the letters and digits of any of the blocks permuted inside their block; others stay in place."""
+    blocks = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b - a + 1).alias("n")) for a, b in _BLOCKS])
+
+    def of_code(code: Column) -> Column:
+        return F.get(F.filter(blocks, lambda b: (code >= b["lo"]) & (code < b["lo"] + b["n"])), F.lit(0))
+
+    def of_parts(parts: Column) -> Column:
+        symbols = F.transform(parts, lambda p: F.coalesce(F.ascii(p["c"]) - p["b"]["lo"], F.lit(0)))
+        radix = F.transform(parts, lambda p: F.coalesce(p["b"]["n"], F.lit(1)))
+        made = feistel(symbols, radix, F.concat_ws("|", key, F.array_join(F.transform(parts, lambda p: F.coalesce(p["b"]["lo"].cast("string"), p["c"])), " ")))
+        letter = lambda v: F.decode(F.unhex(F.lpad(F.hex(v), 4, "0")), "UTF-16BE")
+        return F.array_join(F.zip_with(parts, made, lambda p, v: F.coalesce(letter(p["b"]["lo"] + v), p["c"])), "")
+
+    chars = _chars(F.translate(value, _ACCENTED, _STAND_INS))
+    return F.translate(_let(F.transform(chars, lambda c: F.struct(c.alias("c"), of_code(F.ascii(c)).alias("b"))), of_parts), _STAND_INS, _ACCENTED)
+
+
 def _choose(cases, otherwise) -> Column:
     out = F.when(*cases[0])
     for c in cases[1:]:
@@ -186,8 +224,11 @@ def _date(value: Column, key: Column, year_first: bool) -> Column:
 
 
 def _email(value: Column, key: Column) -> Column:
-    name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    return F.concat(permuted(name, (_DIGITS, _LOWER, _UPPER), F.concat(key, F.lit("|mail|"), F.lower(host))), F.lit("@"), host)
+    before, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    signs = F.regexp_extract(before, r"^[^\p{L}\p{N}]*", 0)
+    name, secret = F.substring(before, F.length(signs) + 1, F.length(before)), F.concat(key, F.lit("|mail|"), F.lower(host))
+    plain = permuted(name, (_DIGITS, _LOWER, _UPPER), secret)
+    return F.concat(signs, F.when(name.rlike(r"^\p{ASCII}*$"), plain).otherwise(permuted_letters(name, secret)), F.lit("@"), host)
 
 
 def _phone(value: Column, key: Column) -> Column:
@@ -212,9 +253,13 @@ def pseudonym(value: Column, key: Column) -> Column:
     )
 
 
-def pieces_of(text: Column, pattern: str) -> Column:
-    """A text cut around the matches of a pattern that needs a digit or an at sign and stays in one line: gap, value, gap, ..., gap."""
-    marked = F.transform(F.split(text, "\n"), lambda line: F.when(line.rlike("[0-9@]"), F.regexp_replace(line, pattern, f"{_MARK}$0{_MARK}")).otherwise(line))
+def pieces_of(text: Column, pattern: str, without_mail: str) -> Column:
+    """A text cut around the matches of a pattern that needs a digit or an at sign and stays in one line: gap, value, gap, ..., gap.
+
+    ``without_mail`` is the pattern for lines that hold no at sign.
+    """
+    around = lambda line, p: F.regexp_replace(line, p, f"{_MARK}$0{_MARK}")
+    marked = F.transform(F.split(text, "\n"), lambda line: F.when(F.contains(line, F.lit("@")), around(line, pattern)).when(line.rlike("[0-9]"), around(line, without_mail)).otherwise(line))
     twice = F.flatten(F.zip_with(F.split(text, pattern, -1), F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(""))), lambda gap, value: F.array(gap, value)))
     return F.when(F.contains(text, F.lit(_MARK)), F.slice(twice, F.lit(1), F.size(twice) - 1)).otherwise(F.split(F.array_join(marked, "\n"), _MARK))
 
@@ -253,12 +298,12 @@ def pseudonymise_documents(docs: DataFrame, key: str | None = None) -> DataFrame
     secret = F.lit(key or docs.sparkSession.conf.get(KEY_SETTING, DEMO_KEY))
     none, whole = F.array().cast("array<string>"), lambda v: v.rlike(f"^(?:{IBAN}|{CARD})$")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = base.withColumn("pieces", pieces_of(F.col("text"), ANY))
+    out = base.withColumn("pieces", pieces_of(F.col("text"), ANY, NO_MAIL))
     out = out.withColumn("found", F.when(F.size("pieces") > 1, _every_second(F.col("pieces"), 1)).otherwise(none)).withColumn("around", F.when(F.size("pieces") > 1, _every_second(F.col("pieces"), 0)).otherwise(none))
     out = out.withColumn("made", F.transform("found", lambda v: pseudonym(v, secret)))
     failed = F.exists(F.zip_with("found", "made", lambda a, b: (a == b) & whole(a)), lambda x: x)
     out = out.withColumn("gaps", F.when(failed, _unchanged_gaps(F.col("around"), F.col("found"), F.col("made"))).otherwise(none))
-    out = out.withColumn("inner", F.transform("gaps", lambda g: pieces_of(g, AGAIN)))
+    out = out.withColumn("inner", F.transform("gaps", lambda g: pieces_of(g, AGAIN, AGAIN_NO_MAIL)))
     out = out.withColumn("again", F.transform("inner", lambda p: _every_second(p, 1))).withColumn("remade", F.transform("again", lambda f: F.transform(f, lambda v: pseudonym(v, secret))))
     changed = _n_changed(F.col("found"), F.col("made"))
     more = F.aggregate(F.zip_with("again", "remade", _n_changed), F.lit(0), lambda s, n: s + n)

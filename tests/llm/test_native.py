@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -67,6 +68,24 @@ def test_each_kind(spark, docs_of):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_mail_names_outside_ascii(spark, docs_of):
+    names = ["josé", "max.müller", "joão.da-silva", "o'neil", "İvan", "иван.Петров", "γιώργος", "王小明", "김철수", "たろう", "tom&lee", "zoe\u0301"]
+    texts = [f"mail {n}@firma.de now" for n in names] + [f"'{n}@firma.de' ...{n}@firma.de\n<{n}@firma.de>" for n in names] + ["jörg@müller.de", "@ alone a@b", "a @ b.com", "....@x.org"]
+    out, n = changed(spark, docs_of, texts)
+    made = [t[len("mail ") : -len("@firma.de now")] for t in out[: len(names)]]
+    for i, (name, new) in enumerate(zip(names, made, strict=True)):
+        assert n[i] == 1 and len(name) == len(new)
+        assert all(unicodedata.category(a) in ("Mn",) or a.isalpha() == b.isalpha() and a.isupper() == b.isupper() for a, b in zip(name, new, strict=True))
+        assert out[len(names) + i] == f"'{new}@firma.de' ...{new}@firma.de\n<{new}@firma.de>"  # linked, whatever stands around
+    assert len(set(made)) == len(names) and not set(made) & set(names)
+    assert out[-4].endswith("@müller.de") and out[-4] != texts[-4] and out[-3:] == texts[-3:]
+
+
+def test_long_runs_without_a_mail_are_linear(spark, docs_of):
+    out, n = changed(spark, docs_of, ["a." * 200_000 + " @", "é'" * 200_000 + "1 ann@x.org"])
+    assert n == [0, 1] and out[1].startswith("é'" * 200_000 + "1 ")
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
