@@ -13,8 +13,12 @@ at block-level tags, character references are decoded, and white space inside a
 
 Defined cases: null and empty pages give an empty text, and so do pages without words; unclosed elements end with
 the page (an unclosed menu, advert or form ends where an article or main part begins); a page cut off inside a tag
-loses the broken tag only; a quote inside a tag counts only where a value begins; pages of any length are read whole;
-repeated rows are extracted each by itself; other columns, whatever their names, are not read.
+loses the broken tag only; a form that holds most of the page's paragraphs (words outside of links)
+is no form but a holder of the page, any other form's words go;
+a quote inside a tag counts only where a value begins; pages of any length are read whole;
+repeated rows are extracted each by itself; an empty table
+gives an empty result; other columns, whatever their names, are not read. A part whose name no labelled page has and
+whose shape is that of the article (a class such as ``box2`` with paragraphs in it) stays.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from .html_labelled import pages as labelled_pages
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+(?:>|\Z)|<(?:/[A-Za-z]?[^>]*)?\Z|[^<]+|<", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+FORM, END = re.compile(r"<form\b", re.I), re.compile(r"</([A-Za-z][^\s/>]*)")
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|\baria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 #: Elements whose content is no text at all; they end at their own end tag only.
@@ -55,9 +60,43 @@ PLAIN_WORD = 1.0
 ARTICLES, ENDED = frozenset(("article", "main")), frozenset("p li dt dd tr td th option".split())
 
 
-def features(name: str, tag: str, within: bool) -> tuple[str, ...]:
-    """What an element says about the words in it. ``within``: it stands in an article or main part."""
-    out = [] if name in PLAIN else [f"tag {name}" + (" within" if within and name == "header" else "")]
+def page_forms(page: str) -> set[int]:
+    """Where the forms begin that hold the article: most of the page's words outside of links stand in their paragraphs."""
+    forms: list[list[int]] = []  # start, words in paragraphs at its start, at its end
+    words = prose = links = paragraphs = 0
+    raw, is_open = "", False
+    for m in TOKEN.finditer(page):
+        token = m[0]
+        if token[0] != "<" or token == "<":
+            if not raw and not links:
+                n = len(token.split())
+                words += n
+                prose += n if paragraphs else 0
+            continue
+        named = NAME.match(token)
+        if not named:
+            continue
+        name, closing = named[1].lower(), token[1] == "/"
+        if raw:
+            raw = "" if closing and name == raw else raw
+        elif name in RAW:
+            raw = "" if closing or token.endswith("/>") else name
+        elif name == "a":
+            links = int(not closing)
+        elif name in ("p", "article", "main"):
+            paragraphs = max(0, paragraphs - 1) if closing else paragraphs + 1 if name != "p" else max(1, paragraphs)
+        elif name == "form":
+            if is_open:
+                forms[-1][2] = prose
+            if not closing:
+                forms.append([m.start(), prose, -1])
+            is_open = not closing
+    return {at for at, first, last in forms if 2 * ((prose if last < 0 else last) - first) > words}
+
+
+def features(name: str, tag: str, within: bool, around: bool = False) -> tuple[str, ...]:
+    """What an element says about the words in it. ``within``: it stands in an article or main part; ``around``: it holds the page."""
+    out = [] if name in PLAIN else [f"tag {name}" + (" within" if within and name == "header" else " around" if around else "")]
     if "=" in tag:
         kind = "line " if name in LINES else "mark "
         for value in MARKS.findall(tag):
@@ -86,15 +125,22 @@ def walk(page: str, evidence, nothing):
     from); ``nothing`` is its zero.
     """
     out: list = []
-    stack: list[tuple] = []  # name, evidence of this element and all around it, whether its own is negative, its features
+    stack: list[tuple] = []  # name, evidence of this element and all around it, whether its own is negative, its features, the nearest block's name
     links, within, raw, block = 0, 0, "", 0
+    forms = page_forms(page) if FORM.search(page) else ()
+    last_end = {m[1].lower(): m.start() for m in END.finditer(page)}
+    opened: Counter = Counter()  # names of the stack
+    negative: list[int] = []  # places in the stack of elements that speak against their words
     around = lambda: stack[-1][1] if stack else nothing
     sizes: dict[int, list] = {}
     said: Counter = Counter()  # a feature counts once, however many elements around a word have it
 
     def pop() -> str:
         nonlocal links, within
-        name, _, _, found = stack.pop()
+        name, _, against, found, _ = stack.pop()
+        if against:
+            negative.pop()
+        opened[name] -= 1
         said.subtract(found)
         links -= name == "a"
         within -= name in ARTICLES
@@ -105,7 +151,7 @@ def walk(page: str, evidence, nothing):
         if token[0] != "<" or token == "<":
             if not raw:
                 n = len(token.split())
-                size = sizes.setdefault(block, [0, 0, next((s[0] for s in reversed(stack) if s[0] in BLOCKS), "")])
+                size = sizes.setdefault(block, [0, 0, stack[-1][4] if stack else ""])
                 size[0] += n
                 size[1] += n if links else 0
                 out.append((block, token, around(), m.start()))
@@ -121,7 +167,7 @@ def walk(page: str, evidence, nothing):
         out.append(("<" + name, "", nothing, m.start()))
         block += name in BLOCKS
         if closing:
-            if any(s[0] == name for s in stack):
+            if opened[name] > 0:
                 while pop() != name:
                     pass
             continue
@@ -135,14 +181,19 @@ def walk(page: str, evidence, nothing):
                 pop()
         if name in ARTICLES:
             # An article ends whatever unclosed part stood before it, but for a part that is closed behind it.
-            while (part := next((i for i, s in enumerate(stack) if s[2]), None)) is not None and not re.compile(f"</{re.escape(stack[part][0])}", re.I).search(page, m.end()):
+            while negative and last_end.get(stack[negative[0]][0], -1) < m.end():
+                part = negative[0]
                 while len(stack) > part:
                     pop()
         if name in ENDED and stack and stack[-1][0] == name:
             pop()
-        found = features(name, token, within > 0)
+        found = features(name, token, within > 0, m.start() in forms)
         own = evidence(found)
-        stack.append((name, around() + evidence(tuple(f for f in found if said[f] <= 0)), isinstance(own, float) and own < 0, found))
+        against = isinstance(own, float) and own < 0
+        if against:
+            negative.append(len(stack))
+        stack.append((name, around() + evidence(tuple(f for f in found if said[f] <= 0)), against, found, name if name in BLOCKS else stack[-1][4] if stack else ""))
+        opened[name] += 1
         said.update(found)
         links += name == "a"
         within += name in ARTICLES

@@ -11,6 +11,10 @@ PART_MARKS = (
     "ad ads advert advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar side nav navbar "
     "navigation menu breadcrumb breadcrumbs footer header masthead topbar toolbar search share sharing social related recommended comment comments respond disqus replies reply pagination pager widget copyright disclaimer complementary contentinfo"
 ).split()
+#: The same in other languages. Fixed values.
+PART_MARKS += "werbung anzeige teaser kommentar kommentare fusszeile kopfzeile seitenleiste navigationsleiste hinweis suche verwandte publicite annonce commentaire commentaires pied recherche publicidad anuncio comentario comentarios pie busqueda relacionados pubblicita commento commenti".split()
+#: How pages mark what readers say and what else there is to read. Fixed values.
+READER_MARKS = "comment comments commentlist discussion respond replies reply reactions reviews kommentare commentaires comentarios related sidebar newsletter teaser".split()
 #: How pages mark the article and what holds it. Fixed values.
 ARTICLE_MARKS = "article content post entry story main body text page prose markdown hentry single wrapper container column layout row site".split()
 #: Words that turn a mark of a part into a property of what holds the article. Fixed values.
@@ -81,8 +85,8 @@ def _page(r: random.Random) -> list[tuple[str, bool]]:
     for tag in [*(() if bare else ("body",)), *r.choices(["div", "div", "section", "table><tr><td"], k=r.randrange(0, 3)), r.choice(["article", "main", "div", "div", "section"])]:
         words = [] if r.random() < 0.3 else [r.choice(ARTICLE_MARKS)]
         if r.random() < 0.35:
-            turned = [r.choice(TURNS), r.choice(PART_MARKS)]
-            words += turned if r.random() < 0.6 else [r.choice(PART_MARKS), r.choice(TURNS[4:])]
+            turned = [r.choice(TURNS), r.choice(PART_MARKS)] if r.random() < 0.6 else [r.choice(PART_MARKS), r.choice(TURNS[4:])]
+            words = [r.choice("-_").join([*words, *turned])]
         holders.append(f"<{tag}{_attribute(r, words)}>")
     for i, holder in enumerate(holders):
         out.append((holder, False))
@@ -93,11 +97,20 @@ def _page(r: random.Random) -> list[tuple[str, bool]]:
         out.append((_prose(r, r.randrange(20, 80)) + "<br><br>" if plain else _block(r), True))
         if r.random() < 0.15:
             out.append((_part(r, True), False))
+    if r.random() < 0.4:  # what readers say, and what else there is to read, stands in the article's own holder
+        kinds = READER_MARKS if r.random() < 0.6 else PART_MARKS
+        tag, inner = r.choice(["div", "div", "section"]), "".join(f"<p>{_prose(r, r.randrange(4, 60))}</p>" for _ in range(r.randrange(1, 5)))
+        mark = r.choice([[r.choice(kinds)], [r.choice(["post", "reader", "user", "site"]), r.choice(kinds)], [r.choice(kinds), r.choice(["list", "box", "wrap", "section", "area"])]])
+        inner = r.choice([inner, inner, f"<h3>{_prose(r, 2)}</h3>{inner}", f"<ul><li>{inner}</li></ul>"])
+        out.append((f"<{tag}{_attribute(r, mark)}>{inner}</{tag}>", False))
     for i, holder in enumerate(reversed(holders)):
         tag = holder[1:].split(" ")[0].rstrip(">")
         out.append(("</td></tr></table>" if tag.startswith("table") else f"</{tag}>", False))
         if i + 1 < len(holders):
             out += [(_part(r, False), False) for _ in range(r.randrange(0, 4))]
+    if r.random() < 0.08:  # some sites put the whole page into one form
+        first = 0 if bare else 1
+        out = [*out[:first], (f"<form{_attribute(r, r.choice([[], ['page'], ['main']]))} method=post action='/'>", False), *out[first:], ("</form>", False)]
     return out
 
 
