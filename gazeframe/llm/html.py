@@ -3,8 +3,8 @@
 A page is one sequence of words and tags. Each word scores by where it stands: a sum of learned weights of the tags and
 the marks (words of class, id and role) of the elements around it, of the size of its block and of its being a link.
 Tags score negative. The weights come from labelled pages of many shapes: logistic regression for words, log odds for
-tags. One linear scan finds the contiguous run with the largest sum. Words that the elements around them speak against
-score negative; those in the run (an advert between two paragraphs, say) are no content, as the tags are none, and are
+tags. One linear scan finds the contiguous run with the largest sum. Words that the elements around them speak against,
+and whose block doesn't outweigh that, score negative; those in the run (an advert between two paragraphs, say) are no content, as the tags are none, and are
 not given out. All other words score positive, a short block or a link only less.
 
 No mark takes anything out by itself: ``class='content has-sidebar'`` around an article adds weights of both signs.
@@ -267,16 +267,16 @@ def main_text(page: str | None, weights: dict[str, float] | None = None) -> str:
     each = []
     for kind, text, around, own, _ in run:
         if kind.__class__ is int:
-            stands, all_in_all = around + bias, around + own + bias
+            stands, all_in_all = around + max(own, 0.0) + bias, around + own + bias
             # Bounded on both sides: neither a few words in a very plain place nor a long advert outweigh a page.
             each.append(len(text.split()) * (max(0.5, min(4.0, all_in_all)) if stands > 0 else -0.1))
         else:
             each.append(of(kind, other))
     first, last = best_run(each)
     blocks, now = [], []
-    for (kind, text, around, _, _) in run[first:last]:
+    for kind, text, around, own, _ in run[first:last]:
         if kind.__class__ is int:
-            if around + bias > 0:
+            if around + max(own, 0.0) + bias > 0:
                 now.append(text)
         elif kind[1:] in BLOCKS:
             blocks.append("".join(now))

@@ -56,10 +56,10 @@ def _block(r: random.Random) -> str:
     kind, own = r.random(), ""
     if r.random() < 0.15:
         own = _attribute(r, [r.choice(["entry", "post", "article", "page"]), r.choice(PART_MARKS)] if r.random() < 0.6 else [r.choice(PART_MARKS)])
-    if kind < 0.12:
+    if kind < 0.09:
         return f"<h{r.randrange(1, 5)}{own}>{_prose(r, r.randrange(2, 10))}</h{1}>"
     if kind < 0.2:
-        return "<ul>" + "".join(f"<li>{_prose(r, r.randrange(4, 25))}</li>" for _ in range(3)) + "</ul>"
+        return (list_tag := r.choice(["ul", "ul", "ol"])) and f"<{list_tag}>" + "".join(f"<li>{_prose(r, r.randrange(4, 25))}</li>" for _ in range(r.randrange(2, 7))) + f"</{list_tag}>"
     if kind < 0.25:
         return f"<blockquote>{_prose(r, r.randrange(8, 40))}</blockquote>"
     if kind < 0.33:
@@ -101,7 +101,7 @@ def _page(r: random.Random) -> list[tuple[str, bool]]:
         kinds = READER_MARKS if r.random() < 0.6 else PART_MARKS
         tag, inner = r.choice(["div", "div", "section"]), "".join(f"<p>{_prose(r, r.randrange(4, 60))}</p>" for _ in range(r.randrange(1, 5)))
         mark = r.choice([[r.choice(kinds)], [r.choice(["post", "reader", "user", "site"]), r.choice(kinds)], [r.choice(kinds), r.choice(["list", "box", "wrap", "section", "area"])]])
-        inner = r.choice([inner, inner, f"<h3>{_prose(r, 2)}</h3>{inner}", f"<ul><li>{inner}</li></ul>"])
+        inner = r.choice([inner] * 6 + [f"<h3>{_prose(r, 2)}</h3>{inner}", f"<ul><li>{inner}</li></ul>"])
         out.append((f"<{tag}{_attribute(r, mark)}>{inner}</{tag}>", False))
     for i, holder in enumerate(reversed(holders)):
         tag = holder[1:].split(" ")[0].rstrip(">")

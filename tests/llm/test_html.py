@@ -75,14 +75,21 @@ def test_a_form_around_the_page_is_no_form(page):
     assert main_text("<form><label>Your name</label><input><label>Your password here</label></form>") == ""
 
 
+@pytest.mark.parametrize("holder", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='content'>{}</div>", "<section class=page>{}</section>", "<table><tr><td>{}</table>"])
+@pytest.mark.parametrize("tag", ["ul", "ol"])
+def test_lists_of_the_article_stay(holder, tag):
+    page = TWO + f"<{tag}><li>The first point of the meeting was long.</li><li>Second</li></{tag}>" + TWO
+    assert main_text(holder.format(page)) == f"{TWO_WANT}\nThe first point of the meeting was long.\nSecond\n{TWO_WANT}"
+
+
 def test_words_of_unseen_pages_are_told_apart():
     """Precision and recall of words over labelled pages that the fit has not seen."""
     hits = given = wanted = 0
     for page in labelled_pages(150, seed=99):
-        want = Counter(w for m, is_in in page if is_in for w in re.sub(r"<[^>]*>", " ", m).split())
-        got = Counter(main_text("".join(m for m, _ in page)).split())
+        want = Counter(w for m, is_in in page if is_in for w in re.findall(r"\w+", re.sub(r"<[^>]*>", " ", m)))
+        got = Counter(re.findall(r"\w+", main_text("".join(m for m, _ in page))))
         hits, given, wanted = hits + sum((want & got).values()), given + sum(got.values()), wanted + sum(want.values())
-    assert hits > 0.95 * given and hits > 0.95 * wanted
+    assert hits > 0.97 * given and hits > 0.97 * wanted
 
 
 @pytest.mark.parametrize(
