@@ -2,7 +2,8 @@
 
 A document's words (lower case, without punctuation) give five-word k-mers; each k-mer with its number of occurrence
 so far is distinct. Each of ``SKETCHES`` sketches takes the ``TUPLE`` k-mers with the smallest keyed hashes and keeps
-their text order, so two documents meet in a sketch the more likely, the more similar they are in edit distance. A
+their text order, so two documents meet in a sketch the more likely, the more similar they are in edit distance. Texts
+of at most ``SHORT_TEXT`` words have a second family of sketches, of two-word k-mers, in which few edits spoil little. A
 pair that meets is verified by a bit-parallel alignment in a band: documents are near copies if the word edit
 distance is at most ``1 - SIMILARITY`` of the longer one. Groups are the connected components of the links.
 
@@ -19,7 +20,8 @@ There is no bound on a bucket's classes. Buckets that a sample shows to be very
 the first round; Spark splits them in the later joins.
 
 Defined cases: null texts and texts without words share one class; texts of fewer than five words have one k-mer, the
-whole text; repeated rows get the same class; class_id is the smallest known doc_id of the group, null only if none of
+whole text; very long texts are aligned in memory that grows with their length; an empty table gives an empty result;
+other columns, whatever their names, are not read; repeated rows get the same class; class_id is the smallest known doc_id of the group, null only if none of
 its ids is known. Rows are told apart by hashes of id and text, so ``docs`` must give the same rows whenever it is read.
 """
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -40,6 +43,9 @@ WORDS_PER_SHINGLE = 5
 #: So many that two texts at SIMILARITY with their edits spread by chance meet in 99 of 100 cases.
 SKETCHES = 128
 TUPLE = 2
+#: Texts of at most this many words have as many sketches again of pairs of words: few of their five-word k-mers, or none,
+#: outlast the edits that the rule allows.
+SHORT_TEXT, SHORT_MER = 128, 2
 SIMILARITY = 0.8
 #: Hashed subsets of a bucket whose first classes are tried, round by round.
 SUBSETS = (4, 8)
@@ -105,11 +111,38 @@ def order_minhash(words: list[str], sketches: int = SKETCHES, size: int = TUPLE,
     return value.view(np.int64)
 
 
-def banded_distance(a, b, budget: int) -> int | None:
+def sketches_of(words: list[str]) -> np.ndarray:
+    """All sketches of a text: of five-word k-mers, for short texts of pairs of words as well; none without words."""
+    if not words:
+        return np.empty(0, np.int64)
+    sk = order_minhash(words)
+    return sk if len(words) > SHORT_TEXT else np.concatenate([sk, order_minhash(words, k=SHORT_MER)])
+
+
+def places_of(a, width: int, small: int = 4096) -> dict:
+    """Where each value of a sequence stands: one integer of bits, or for the rarer values of a long sequence a list.
+
+    A value is rare up to 64 or width / 512 places. So there are at most 512 m / width integers of m bits beside m
+    places in lists: memory grows with the length m, not with its square.
+    """
+    lists: dict = {}
+    for i, x in enumerate(a):
+        lists.setdefault(x, []).append(i)
+    rare = 0 if len(a) <= small else max(64, width // 512)
+    for x, at in lists.items():
+        if len(at) > rare:
+            bits = bytearray((at[-1] >> 3) + 1)
+            for i in at:
+                bits[i >> 3] |= 1 << (i & 7)
+            lists[x] = int.from_bytes(bits, "little")
+    return lists
+
+
+def banded_distance(a, b, budget: int, small: int = 4096) -> int | None:
     """Edit distance of two sequences if it is at most ``budget``, else None.
 
     Bit-parallel columns over a band of 2 budget + 1 rows that moves down with the diagonal; once its lower rim has
-    reached the last row, the score follows that row.
+    reached the last row, the score follows that row. Memory grows with the longer sequence (``places_of``).
     """
     if len(a) < len(b):
         a, b = b, a
@@ -128,14 +161,17 @@ def banded_distance(a, b, budget: int) -> int | None:
     t = min(budget, m)
     width = 2 * t + 1
     full, top = (1 << width) - 1, 1 << 2 * t
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
+    where = places_of(a, width, small)
     up, down, score = full ^ ((1 << t) - 1), 0, t
     for j in range(1, n + 1):
         at = where.get(b[j - 1], 0)
         shift = j - t - 1
-        eq = (at >> shift if shift >= 0 else at << -shift) & full
+        if at.__class__ is int:
+            eq = (at >> shift if shift >= 0 else at << -shift) & full
+        else:
+            eq = 0
+            for i in at[bisect_left(at, shift) : bisect_left(at, shift + width)]:
+                eq |= 1 << (i - shift)
         diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
         right, left = (down | ~(diagonal | up)) & full, diagonal & up
         last = m - j + t  # the bit of the last row
@@ -173,7 +209,7 @@ def sketched(rows: DataFrame) -> DataFrame:
                 k1.append(int.from_bytes(digest[:8], "big", signed=True))
                 k2.append(int.from_bytes(digest[8:], "big", signed=True))
                 nw.append(len(words))
-                sk.append(order_minhash(words) if words else np.empty(0, np.int64))
+                sk.append(sketches_of(words))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sk]))).astype(np.int32)
             sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sk) if sk else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(nw, pa.int32()), sketches], names=["doc_id", "t1", "t2", "k1", "k2", "nw", "sk"])

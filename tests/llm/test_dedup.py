@@ -1,6 +1,7 @@
 """Near copies, similar lines, leaks and the pipeline, against brute force."""
 
 import random
+import tracemalloc
 import re
 from collections import defaultdict
 
@@ -39,6 +40,40 @@ def test_banded_distance_is_the_edit_distance():
         b = list(edit(" ".join(a), r.randrange(0, 6), r.random()).split()) if a and r.random() < 0.7 else [r.choice("abc") for _ in range(r.randrange(0, 30))]
         t, d = r.randrange(0, 25), distance(a, b)
         assert neardup.banded_distance(a, b, t) == (d if d <= t else None)
+        assert neardup.banded_distance(a, b, t, small=-1) == (d if d <= t else None)
+
+
+def test_alignment_of_long_texts_takes_linear_memory():
+    peaks = []
+    for n in (20_000, 40_000):
+        a = ["first", *map(str, range(n)), "last"]
+        b = ["other", *map(str, range(n)), "word"]
+        tracemalloc.start()
+        assert neardup.banded_distance(a, b, neardup.budget_of(n, n)) == 2
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2.5 * peaks[0] and peaks[1] < 40e6
+
+
+@pytest.mark.parametrize("n", [5, 8, 12, 20, 30, 60, 100])
+@pytest.mark.parametrize("kind", ["replaced", "inserted", "deleted", "every fifth", "every sixth"])
+def test_short_texts_at_the_rim_of_the_rule_meet(n, kind):
+    """Pairs that the link rule just allows meet in a sketch in 9 of 10 cases at least."""
+    r, met = random.Random(n), 0
+    for _ in range(200):
+        a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        if kind.startswith("every"):
+            step = 5 if kind == "every fifth" else 6
+            b = [f"x{i}" if i % step == step - 1 else w for i, w in enumerate(a)]
+        else:
+            edits = neardup.budget_of(n, n) if kind != "inserted" else int(n / 4 + 1e-9)
+            b, at = list(a), sorted(r.sample(range(n), edits), reverse=True)
+            for i in at:
+                b[i : i + (kind != "inserted")] = [] if kind == "deleted" else [f"x{i}"]
+        assert neardup.banded_distance(a, b, neardup.budget_of(len(a), len(b))) is not None
+        x, y = neardup.sketches_of(a), neardup.sketches_of(b)
+        met += bool((x[: len(y)] == y[: len(x)]).any())
+    assert met >= 180
 
 
 def test_sketches_see_order():
