@@ -74,3 +74,17 @@ def test_slices_and_durations_by_place_where_an_index_is_missing(spark):
     assert slices(spark, frames, 2, 9) == ([2, 3, 4, 5, 6, 7, 8, 9], 4.0)  # no time there
     assert slices(spark, frames, 19, 30)[0] == []
     assert slices(spark, frames, 9, 2)[1] == 0.0
+
+
+def test_points_meet_no_region_behind_a_box_around_the_whole_cell(spark):
+    r = random.Random(5)
+    box = lambda: (x := r.uniform(-0.1, 0.9), y := r.uniform(-0.1, 0.9), x + r.uniform(0.1, 0.3), y + r.uniform(0.1, 0.3))
+    listed = [region(0, "bbox", 9, (-0.1, -0.1, 1.1, 1.1)), region(1, "polygon", 99, points=[(0, 0), (0.2, 0), (0, 0.2)])] + [region(i, "bbox", r.randrange(9), box()) for i in range(2, 400)]
+    each = regions.covering(spark.createDataFrame(listed, REGION))
+    inside = each.where(F.col("cu").between(0, regions.CELLS - 1) & F.col("cv").between(0, regions.CELLS - 1))
+    assert {x["idx"]: x["count"] for x in inside.groupBy("idx").count().collect()} == {0: regions.CELLS**2, 1: 49}
+    # However small the table looks, its cells are not broadcast from the driver.
+    points = spark.createDataFrame([(0, "Screen", 1.0, 1.0), (1, "Screen", 0.05, 0.05), (2, "Screen", 1.1, 1.1)], "i int, surface string, u double, v double")
+    got = regions.resolved(points, spark.createDataFrame(listed, REGION), ["i"])
+    assert {x["i"]: x["region"] for x in got.collect()} == {0: "n0", 1: "n1", 2: "n0"}
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
