@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed limits of hit tests: margin around the unit square, least quad area, greatest reprojection error in pixels.
@@ -26,23 +26,32 @@ def valid_quad(q: list[Column], least_area: float = LEAST_AREA) -> Column:
     return F.coalesce(finite & convex & (quad_area(q) > least_area), F.lit(False))
 
 
-def to_unit_square(q: list[Column], x: Column, y: Column) -> Column:
-    """struct(u, v) of an image point under the homography that takes the quad's corners to (0,0), (1,0), (1,1), (0,1).
+def on_unit_square(df: DataFrame, q: list[Column], x: Column, y: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: struct(u, v) of the point under the homography that takes the quad's corners to (0,0), (1,0), (1,1), (0,1).
 
     The square-to-quad map has a closed form; its adjugate is the inverse up to scale. Null where the scale vanishes.
-    Plain arithmetic: Spark compiles it and works out each repeated part once.
+    As one expression, with each part written out wherever it is used, this is more than the JVM compiles. So it is
+    worked out in steps; exploding the one value of a step keeps Spark from putting them together again.
     """
+
+    def step(df: DataFrame, at: str, **parts: Column) -> DataFrame:
+        return df.withColumn(at, F.explode(F.array(F.struct(*[c.alias(n) for n, c in parts.items()]))))
+
     x0, y0, x1, y1, x2, y2, x3, y3 = q
     sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
     dx1, dy1, dx2, dy2 = x1 - x2, y1 - y2, x3 - x2, y3 - y2
     det = dx1 * dy2 - dx2 * dy1
-    g, h = F.try_divide(sx * dy2 - dx2 * sy, det), F.try_divide(dx1 * sy - sx * dy1, det)
-    a, b, c = x1 - x0 + g * x1, x3 - x0 + h * x3, x0
-    d, e, f = y1 - y0 + g * y1, y3 - y0 + h * y3, y0
+    df = step(df, "__p", g=F.try_divide(sx * dy2 - dx2 * sy, det), h=F.try_divide(dx1 * sy - sx * dy1, det))
+    g, h = F.col("__p.g"), F.col("__p.h")
+    df = step(df, "__m", a=x1 - x0 + g * x1, b=x3 - x0 + h * x3, d=y1 - y0 + g * y1, e=y3 - y0 + h * y3)
+    a, b, c, d, e, f = F.col("__m.a"), F.col("__m.b"), x0, F.col("__m.d"), F.col("__m.e"), y0
     u = (e - f * h) * x + (c * h - b) * y + (b * f - c * e)
     v = (f * g - d) * x + (a - c * g) * y + (c * d - a * f)
     w = (d * h - e * g) * x + (b * g - a * h) * y + (a * e - b * d)
-    return F.when(F.abs(w) >= 1e-9, F.struct((u / w).alias("u"), (v / w).alias("v")))
+    df = step(df, "__w", u=u, v=v, w=w)
+    w = F.col("__w.w")
+    uv = F.when(F.abs(w) >= 1e-9, F.struct((F.col("__w.u") / w).alias("u"), (F.col("__w.v") / w).alias("v")))
+    return df.withColumn(name, uv).drop("__p", "__m", "__w")
 
 
 def inside_unit(u: Column, v: Column, margin: float = HIT_MARGIN) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import HIT_MARGIN, in_box, inside_unit, quad_area, to_unit_square, valid_quad
+from ..functions.geometry import HIT_MARGIN, in_box, inside_unit, on_unit_square, quad_area, valid_quad
 
 LEAST_POINTS = 10
 BINS, SIGMA, RADIUS = 25, 1.5, 6
@@ -97,8 +97,7 @@ def surface_hits(frames: DataFrame, quads: DataFrame, margin: float = HIT_MARGIN
     """
     q = [F.col(c) for c in QUAD]
     met = frames.join(quads.where(valid_quad(q)), ["recording", "frame_idx"])
-    # Exploding the one value keeps the filter from working the whole map out again.
-    out = met.withColumn("__uv", F.explode(F.array(to_unit_square(q, F.col("x_px"), F.col("y_px"))))).where(inside_unit(F.col("__uv.u"), F.col("__uv.v"), margin))
+    out = on_unit_square(met, q, F.col("x_px"), F.col("y_px"), "__uv").where(inside_unit(F.col("__uv.u"), F.col("__uv.v"), margin))
     out = out.withColumn("u", F.col("__uv.u")).withColumn("v", F.col("__uv.v")).drop("__uv")
     return out.withColumn("aoi_hit_source", F.when(F.col("own_tags") >= 2, "direct").otherwise("projected"))
 

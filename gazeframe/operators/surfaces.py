@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import finite, to_unit_square, valid_quad
+from ..functions.geometry import finite, on_unit_square, valid_quad
 from ..functions.labels import NO_AOI
 from .spatial import QUAD
 
@@ -48,9 +48,8 @@ def reprojected(frames: DataFrame, corrected: DataFrame, quads: DataFrame) -> Da
     of_label = quads.select("recording", "frame_idx", F.col("surface").alias("__label"), *[F.col(c).alias(f"__{c}") for c in QUAD])
     put = corrected.withColumnRenamed("label", "__label").join(of_label.where(valid_quad(q)), ["recording", "frame_idx", "__label"], "left")
     out = frames.join(put, ["recording", "frame_idx"], "left")
-    # Exploding the one value keeps the map from being worked out for each of its uses.
-    uv = F.when(finite(F.col("x_px")) & finite(F.col("y_px")), to_unit_square(q, F.col("x_px"), F.col("y_px")))
-    out = out.withColumn("__uv", F.explode(F.array(uv)))
+    known = finite(F.col("x_px")) & finite(F.col("y_px"))
+    out = on_unit_square(out, q, F.when(known, F.col("x_px")), F.when(known, F.col("y_px")), "__uv")
     blank, new = F.coalesce(F.col("__label") == NO_AOI, F.lit(False)), F.col("__uv").isNotNull()
 
     def moved(name: str) -> Column:

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import to_unit_square, valid_quad
+from ..functions.geometry import on_unit_square, valid_quad
 from ..functions.labels import NO_AOI
 from ..operators import editlog, metrics, review
 from ..operators.spatial import QUAD
@@ -42,7 +42,7 @@ def corrected(frames: DataFrame, edits: DataFrame, quads: DataFrame | None = Non
     places = quads.where(valid_quad(corners)).select("recording", "frame_idx", F.col("surface").alias("label"), *QUAD)
     # Only edited frames meet their quad.
     met = out.where(manual & F.col("x_px").isNotNull() & F.col("y_px").isNotNull()).join(places, ["recording", "frame_idx", "label"])
-    placed = met.select("recording", "frame_idx", to_unit_square(corners, F.col("x_px"), F.col("y_px")).alias("__uv"))
+    placed = on_unit_square(met, corners, F.col("x_px"), F.col("y_px"), "__uv").select("recording", "frame_idx", "__uv")
     both = out.join(placed, ["recording", "frame_idx"], "left")
     for c in ("u", "v"):
         inside = F.bround(F.least(F.greatest(F.col(f"__uv.{c}"), F.lit(0.0)), F.lit(1.0)), 5)

@@ -156,6 +156,15 @@ def test_homography_takes_corners_to_the_unit_square(spark):
     assert got == [pytest.approx(x, abs=1e-9) for x in ((0, 0), (1, 0), (1, 1), (0, 1))]
 
 
+def test_the_homography_is_worked_out_in_steps(spark):
+    f = spark.createDataFrame([("r", 0, 200.0, 200.0), ("r", 1, None, 200.0)], "recording string, frame_idx int, x_px double, y_px double")
+    q = spark.createDataFrame([("r", i, "Board", 2, 100.0, 120.0, 410.0, 90.0, 450.0, 380.0, 80.0, 350.0) for i in range(2)], "recording string, frame_idx int, surface string, own_tags int, " + ", ".join(f"{c} double" for c in spatial.QUAD))
+    hits = spatial.surface_hits(f, q)
+    assert [x["frame_idx"] for x in hits.collect()] == [0]
+    # Written out in one expression, the plan has each corner hundreds of times.
+    assert max(map(len, hits._jdf.queryExecution().optimizedPlan().toString().split("\n"))) < 6_000
+
+
 def edits(spark, rows):
     return spark.createDataFrame([("r", a, b, label, i) for i, (a, b, label) in enumerate(rows)], "recording string, start_frame int, end_frame int, label string, seq long")
 
