@@ -107,8 +107,9 @@ def identified(docs: DataFrame) -> DataFrame:
 SAMPLE, COMMON, SALTS = 64, 20, 64
 
 
-def beside(rows: DataFrame, sampled: DataFrame, key: str, name: str, order: str) -> DataFrame:
+def beside(rows: DataFrame, sampled: DataFrame, key: str, name: str, order: str, many: int | None = None) -> DataFrame:
     """``rows`` with those next to each in the ``order`` of its key: below, above (their order), near (the name of the one below), common, only (just one other row has the key).
+    With ``many`` also whether as many rows stand on one side of a row, or its key is common.
 
     ``sampled`` are the rows of one in SAMPLE names. Keys that it shows to be very common are dealt to several tasks,
     and their rows see the neighbours in their task only; the sample decides nothing else.
@@ -122,7 +123,8 @@ def beside(rows: DataFrame, sampled: DataFrame, key: str, name: str, order: str)
     by = Window.partitionBy(key, "salt").orderBy(order)
     below, above = F.lag(order).over(by), F.lead(order).over(by)
     alone = F.lag(order, 2).over(by).isNull() & F.lead(order, 2).over(by).isNull() & (below.isNull() | above.isNull())
-    return dealt.select(*rows.columns, "common", below.alias("below"), above.alias("above"), F.lag(name).over(by).alias("near"), (alone & ~F.col("common")).alias("only"))
+    large = [] if many is None else [(F.col("common") | F.lag(name, many).over(by).isNotNull() | F.lead(name, many).over(by).isNotNull()).alias("many")]
+    return dealt.select(*rows.columns, "common", *large, below.alias("below"), above.alias("above"), F.lag(name).over(by).alias("near"), (alone & ~F.col("common")).alias("only"))
 
 
 def one_in_sample(df: DataFrame, name: str) -> DataFrame:

@@ -10,16 +10,18 @@ earlier line that stands first for its set has a Jaccard similarity of at least
   ``SHARED`` pairs in common among the first ``2 (n - a) + (m - a) + SHARED`` of each. Pairs of words are rare where
   single words are not: the lines that meet on one grow with the text that is alike, not with the corpus;
 * lines that meet must leave room for the overlap by their sizes (length filter) and by the places of the pair
-  (positional filter), and by 256 bits that their words set;
+  (positional filter), and by 64 or 128 bits, each the parity of the words in one of as many slots: a word that only one of
+  two lines has turns one bit, so similar lines differ in no more bits than words. The bits stand beside the pairs of
+  words, so lines that meet by chance are told apart inside the joins, before any word is read;
 * what is left is verified on the words of the lines themselves.
 
-All texts are split into words once for the counts and once for the prefixes; after that only the lines that meet
-another one are read again.
+All texts are split into words once for the counts and once for the prefixes; after that only the lines that the bits
+leave are read again.
 
 A group of near copies would pair all its lines. A line needs one earlier match only, so each line is compared with one
-line that it meets; those without an earlier match with four and then with eight further ones, the earliest of hashed
-subsets of each pair's lines (sums that Spark combines before it shuffles); what still has no match meets all lines
-before it, so no pair of undecided lines is left out. Pairs that a sample shows to be very common are dealt to several
+line that it meets; those without an earlier match with the earliest of hashed subsets of the lines of each pair that
+many lines have (sums that Spark combines before it shuffles), first with one and then with up to eight; what still has
+no match meets all lines before it, so no pair of undecided lines is left out. Pairs that a sample shows to be very common are dealt to several
 tasks; the sample only decides that.
 
 Rows are told apart by two 64-bit hashes of id and text, so nothing depends on how the input is split into tasks, and
@@ -46,10 +48,13 @@ KINDS = 1 << 16
 SHARED = 2
 #: Lines of fewer different words are similar to equal sets only.
 LEAST_UNEQUAL = 4
-#: Hashed subsets of a pair's lines whose earliest lines are tried, round by round.
-SUBSETS = (4, 8)
-#: 64-bit numbers whose bits a line's words set.
-MARKS = 4
+#: Hashed subsets of a pair's lines whose earliest lines are tried, round by round, and whether a line tries only one of them.
+SUBSETS = ((4, True), (8, False))
+#: Lines with more words than this have parities in 128 slots, compared where both lines have them; the others in 64.
+MORE_MARKS = 64
+_MARKS = ["m0", "m1"]
+#: Lines on one side of a line in the order of a pair's lines from which on the pair counts as one of many lines.
+MANY = 16
 #: Rows of numbers that a table may have to be broadcast (32 bytes each at most); larger ones are joined by shuffle.
 BROADCAST_ROWS = 600_000
 PLACE = ("doc_id", "t1", "t2", "pos")
@@ -100,13 +105,21 @@ def _prefix_words(n: Column) -> Column:
     return F.floor((2 * n - _least_size(n)) / 3).cast("int") + SHARED + 1
 
 
+def _parities(w: Column) -> list[Column]:
+    """m0: in each of 64 bits whether an odd number of words falls into its slot; m1: of every other word alone."""
+    turned = lambda what: lambda b, h: b.bitwiseXOR(F.call_function("shiftleft", what(h), h.bitwiseAND(F.lit(63)).cast("int")))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    m1 = F.aggregate(w, none, turned(lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(one)))
+    return [F.aggregate(w, none, turned(lambda h: one)).alias("m0"), F.when(F.size(w) > MORE_MARKS, m1).otherwise(none).alias("m1")]
+
+
 def line_keys(base: DataFrame, classes: list[int]) -> DataFrame:
-    """id, the line's place, n (different words), key and key2 (of the set) and prefix (32-bit hashes of words) of every line."""
+    """id, the line's place, n (different words), key and key2 (of the set), prefix (32-bit hashes of words) and marks (parities) of every line."""
     lines = base.select("doc_id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = lines.select(*PLACE, _ordered(_hashes(F.col("line")), classes).alias("w"))
     n = F.size("w")
     prefix = F.transform(F.slice("w", F.lit(1), _prefix_words(n)), lambda h: F.hash(h))  # lines only meet on it; sets are verified
-    return words.select(F.monotonically_increasing_id().alias("id"), *PLACE, n.alias("n"), F.xxhash64("w").alias("key"), F.xxhash64(F.lit(1), F.col("w")).alias("key2"), prefix.alias("prefix"))
+    return words.select(F.monotonically_increasing_id().alias("id"), *PLACE, n.alias("n"), F.xxhash64("w").alias("key"), F.xxhash64(F.lit(1), F.col("w")).alias("key2"), prefix.alias("prefix"), *_parities(F.col("w")))
 
 
 def _repeated_sets(lines: DataFrame) -> DataFrame:
@@ -136,35 +149,35 @@ def _place(np: Column) -> Column:
 
 
 def _meeting(lines: DataFrame) -> DataFrame:
-    """key, id, np, near: the pairs of words that another line of fitting size has as well, with such a line where the order by size shows one."""
+    """key, id, np, near, many: the pairs of words that another line of fitting size has as well, with such a line where the order by size shows one."""
     # Of the lines with a pair, those next by size fit if any does.
     fits = lambda small, large: F.coalesce(5 * _size(F.col(small)) >= 4 * _size(F.col(large)), F.lit(False))
-    rows = beside(_pairs_of_words(lines), _pairs_of_words(one_in_sample(lines, "id")), "key", "id", "np")
+    rows = beside(_pairs_of_words(lines), _pairs_of_words(one_in_sample(lines, "id")), "key", "id", "np", MANY)
     # If just one other line has the pair, the positional filter decides at once.
     alone = ~F.col("only") | _may_match(F.col("np"), F.coalesce("below", "above"))
     met = rows.where((F.col("common") | fits("below", "np") | fits("np", "above")) & alone)
-    return stored(met.select("key", "id", "np", F.when(fits("below", "np"), F.col("near")).alias("near")))
+    return stored(met.select("key", "id", "np", F.when(fits("below", "np"), F.col("near")).alias("near"), "many"))
 
 
-def _candidates(base: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, place, n, w (64-bit hashes of the words) and marks of the given lines, read again from their texts."""
-    at = lines.select("id", "t1", "t2", "pos").join(broadcast_up_to(ids, BROADCAST_ROWS), "id", "left_semi")
-    wanted = stored(at.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "id")).alias("wanted")))  # lines of one text
-    # A row repeated with its id is read once.
+def _read_once(base: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``base`` with one of the rows that repeat id and text; their hashes, a stored table."""
     copies = stored(lines.where(F.col("pos") == 0).groupBy("t1", "t2").count().where(F.col("count") > 1).select("t1", "t2"))
     if not copies.isEmpty():
         few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
         once = base.join(few, ["t1", "t2"], "left_semi").groupBy("doc_id", "t1", "t2").agg(F.any_value("text").alias("text"))
         base = base.join(few, ["t1", "t2"], "left_anti").unionByName(once)
+    return base, copies
+
+
+def _words_of(base: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, place and w (64-bit hashes of the words) of the given lines, read again from their texts."""
+    at = lines.select("id", "t1", "t2", "pos").join(broadcast_up_to(ids, BROADCAST_ROWS), "id", "left_semi")
+    wanted = stored(at.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "id")).alias("wanted")))  # lines of one text
     small = wanted.agg(F.coalesce(F.sum(F.size("wanted") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
     texts = base.join(F.broadcast(wanted) if small else wanted, ["t1", "t2"]).select("doc_id", "t1", "t2", "wanted", F.split("text", "\n").alias("all"))
     picked = texts.select("doc_id", "t1", "t2", "all", F.explode("wanted").alias("e"))
     words = picked.select(F.col("e.id").alias("id"), "doc_id", "t1", "t2", F.col("e.pos").alias("pos"), _hashes(F.get("all", F.col("e.pos"))).alias("w"))
-    one = F.lit(1).cast("bigint")
-    bit = lambda b, h: b.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")))
-    part = lambda k: F.filter("w", lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(MARKS - 1)) == k)
-    marks = [F.aggregate(part(k), F.lit(0).cast("bigint"), bit).alias(f"m{k}") for k in range(MARKS)]
-    out = stored(words.select("id", *PLACE, F.size("w").alias("n"), "w", *marks))
+    out = stored(words.select("id", *PLACE, "w"))
     dropped(wanted)
     return out
 
@@ -176,27 +189,19 @@ def _may_match(np: Column, np_a: Column) -> Column:
 
 
 def _marks_allow(n: Column, m: Column) -> Column:
-    """A line's bits (m0, ...) that the other (a0, ...) lacks stand for words that the other lacks; there are no more than its size less the needed overlap."""
-    need = _overlap_needed(n, m)
-    lacks = lambda one, other: sum((F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}{k}")))) for k in range(MARKS)), F.lit(0))
-    return (lacks("m", "a") <= n - need) & (lacks("a", "m") <= m - need)
-
+    """Parities (m0, ...) differ from the other line's (a0, ...) in no more bits than there are words that only one of the two has."""
+    first, second = F.col("m0").bitwiseXOR(F.col("a0")), F.col("m1").bitwiseXOR(F.col("a1"))
+    both = F.bit_count(first.bitwiseXOR(second)) + F.bit_count(second)
+    differ = F.when((n > MORE_MARKS) & (m > MORE_MARKS), both).otherwise(F.bit_count(first))
+    return differ <= n + m - 2 * _overlap_needed(n, m)
 
-def _as_other(cand: DataFrame, *columns: Column) -> DataFrame:
-    """A table's marks under the names of the other line."""
-    return cand.select(F.col("id").alias("a"), *columns, *(F.col(f"m{k}").alias(f"a{k}") for k in range(MARKS)))
 
-
-def _verified(pairs: DataFrame, cand: DataFrame, marked: bool = False) -> DataFrame:
-    """later_id, at, kept (places) of the pairs (a, b) whose lines are similar; unless ``marked``, the marks rule out most others before words are read."""
-    if not marked:
-        narrow = cand.select(F.col("id").alias("b"), "n", *(f"m{k}" for k in range(MARKS)))
-        met = stored(pairs).join(narrow, "b").join(_as_other(cand, F.col("n").alias("n_a")), "a")
-        pairs = met.where(_marks_allow(F.col("n"), F.col("n_a"))).select("a", "b")
-    pairs = stored(pairs, long_condition=marked)
+def _verified(pairs: DataFrame, base: DataFrame, lines: DataFrame, long_condition: bool = False) -> DataFrame:
+    """later_id, at, kept (places) of the pairs (a, b) whose lines are similar."""
+    pairs = stored(pairs, long_condition)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    words = stored(cand.select("id", F.struct(*PLACE).alias("at"), "w").join(broadcast_up_to(ids, BROADCAST_ROWS), "id"))
-    of = lambda e: words.select(F.col("id").alias(e), F.col("at").alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))
+    words = _words_of(base, lines, ids)
+    of = lambda e: words.select(F.col("id").alias(e), F.struct(*PLACE).alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))
     both = broadcast_up_to(pairs, BROADCAST_ROWS).join(of("b"), "b").join(of("a"), "a")
     similar = both.where((F.col("at_a") != F.col("at_b")) & (F.size(F.array_intersect("w_a", "w_b")) >= _overlap_needed(F.size("w_a"), F.size("w_b"))))
     x, y = F.col("at_a"), F.col("at_b")
@@ -208,39 +213,45 @@ def _verified(pairs: DataFrame, cand: DataFrame, marked: bool = False) -> DataFr
 def similar_lines(base: DataFrame) -> DataFrame:
     """at, kept (doc_id, t1, t2, pos): the places of each line to remove and of an earlier line that it matches."""
     lines = stored(line_keys(base, word_classes(base)))
+    base, copies = _read_once(base, lines)
     repeated = _repeated_sets(lines)
     firsts = lines.join(broadcast_up_to(repeated.select("id"), BROADCAST_ROWS), "id", "left_anti")
-    met = _meeting(firsts)
-    tried = stored(met.groupBy("id").agg(F.count("*").alias("n_pairs"), F.min("near").alias("near")).where(F.col("n_pairs") >= SHARED))
-    cand = _candidates(base, lines, tried.select("id"))
-    dropped(lines)
-
-    found = [_verified(tried.where(F.col("near").isNotNull()).select(F.col("near").alias("a"), F.col("id").alias("b")), cand)]
+    meeting = _meeting(firsts)
+    tried = stored(meeting.groupBy("id").agg(F.count("*").alias("n_pairs"), F.min("near").alias("near")).where(F.col("n_pairs") >= SHARED).select("id", "near"))
+    # Lines without ids come first.
+    marked = lines.select("id", "n", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), *_MARKS).join(broadcast_up_to(tried, BROADCAST_ROWS), "id")
+    marked = stored(marked)
+    met = stored(meeting.select("key", "id", "np", "many").join(marked.drop("n", "near"), "id"))
+    dropped(meeting, tried)
+
+    others = [F.col("m0").alias("a0"), F.col("m1").alias("a1")]
+    near = marked.where(F.col("near").isNotNull()).withColumnRenamed("near", "a").join(marked.select(F.col("id").alias("a"), F.col("n").alias("n_a"), *others), "a")
+    found = [_verified(near.where(_marks_allow(F.col("n"), F.col("n_a"))).select("a", F.col("id").alias("b")), base, lines)]
     undecided = lambda ids: stored(ids.select("id").join(broadcast_up_to(found[-1].select(F.col("later_id").alias("id")).distinct(), BROADCAST_ROWS), "id", "left_anti"))
-    rest = undecided(tried)
-    for n in SUBSETS:
-        earliest = met.groupBy("key", F.pmod(F.xxhash64(F.lit(n), F.col("id")), F.lit(n)).alias("subset")).agg(F.min("id").alias("a"), F.min_by("np", "id").alias("np_a"))
-        of_rest = met.select("key", "id", "np").join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
-        meet = of_rest.join(earliest, "key").where((F.col("a") != F.col("id")) & _may_match(F.col("np"), F.col("np_a")))
-        pairs = meet.groupBy(F.col("id").alias("b"), "subset").agg(F.min("a").alias("a")).select("a", "b").distinct()
-        found.append(_verified(pairs, cand))
-        rest = undecided(rest)
+    rest = undecided(marked)
+    may = _may_match(F.col("np"), F.col("np_a")) & _marks_allow(_size(F.col("np")), _size(F.col("np_a")))
+    # Pairs of few lines are cheaper compared in full at once.
+    large = met.where("many")
+    for n, one in SUBSETS:
+        subset = F.pmod(F.xxhash64(F.lit(n), F.col("id")), F.lit(n)).alias("subset")
+        earliest = large.groupBy("key", subset).agg(F.min("id").alias("a"), *(F.min_by(c, "id").alias(to) for c, to in (("np", "np_a"), ("m0", "a0"), ("m1", "a1"))))
+        of_rest = large.join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
+        meet = of_rest.join(earliest, "key").where((F.col("a") < F.col("id")) & may)
+        pairs = meet.groupBy(F.col("id").alias("b"), *([] if one else ["subset"])).agg(F.min("a").alias("a")).select("a", "b").distinct()
+        found.append(_verified(pairs, base, lines))
+        before, rest = rest, undecided(rest)
+        dropped(before)
     # What is left meets all earlier lines of its pairs of words.
-    of_rest = stored(met.select("key", "id", "np").join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi"))
-    keys = stored(of_rest.select("key").distinct())
-    of_keys = stored(met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a")).join(broadcast_up_to(keys, BROADCAST_ROWS), "key", "left_semi"))
-    at = F.struct(*PLACE)
-    b = of_rest.join(cand.select("id", at.alias("at"), *(f"m{k}" for k in range(MARKS))), "id")
-    a = of_keys.join(_as_other(cand, at.alias("at_a")), "a")
-    n, m = _size(F.col("np")), _size(F.col("np_a"))
-    meet = b.join(a, "key").where((F.col("at_a") < F.col("at")) & _may_match(F.col("np"), F.col("np_a")) & _marks_allow(n, m))
-    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), cand, marked=True))
+    of_rest = met.join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
+    of_keys = met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a"), F.col("doc").alias("doc_a"), *others)
+    meet = of_rest.join(of_keys, "key").where((F.col("doc_a") <= F.col("doc")) & (F.col("a") != F.col("id")) & may)
+    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), base, lines, long_condition=True))
 
     every = repeated.select("at", "kept").where(F.col("at") != F.col("kept"))
     for f in found:
         every = every.unionByName(f.select("at", "kept"))
     out = stored(every.groupBy("at").agg(F.min("kept").alias("kept")))
-    dropped(met, tried, cand, of_rest, keys, of_keys, repeated, *found)
+    dropped(lines, copies, marked, met, rest, repeated, *found)
     return out
 
 

@@ -321,3 +321,21 @@ def test_leaks(spark, docs_of, words, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 4)  # several passes
     assert {tuple(x) for x in decontaminate.leaks(docs_of(texts), bench).collect()} == want
     assert decontaminate.leaks(docs_of([]), bench).count() == 0 and decontaminate.leaks(docs_of(texts), bench.limit(0)).count() == 0
+
+
+def test_parities_leave_similar_lines_and_rule_out_others(spark, words):
+    """Bits beside the pairs of words: no similar pair of lines is lost, lines alike by chance alone go before words are read."""
+    from pyspark.sql import functions as F
+
+    r, rows = random.Random(12), []
+    for n in (5, 20, 63, 64, 65, 70, 100, 200):
+        for i in range(20):
+            a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            k = n // 10
+            rows += [(True, a, a[k:] + [f"x{j}" for j in range(k // 2)]), (False, a, [f"y{r.randrange(10**6)}" for _ in range(n)])]
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    table = spark.createDataFrame(rows, "near boolean, a array<string>, b array<string>")
+    m, o = linededup._parities(hashed("b")), linededup._parities(hashed("a"))
+    table = table.select("near", F.size("b").alias("n"), F.size("a").alias("m"), m[0].alias("m0"), m[1].alias("m1"), o[0].alias("a0"), o[1].alias("a1"))
+    out = table.select("near", linededup._marks_allow(F.col("n"), F.col("m")).alias("may")).collect()
+    assert all(x["may"] for x in out if x["near"]) and sum(x["may"] for x in out if not x["near"]) <= 8
