@@ -95,8 +95,13 @@ def surface_hits(frames: DataFrame, quads: DataFrame, margin: float = HIT_MARGIN
 
     ``quads``: recording, frame_idx, surface, own_tags and the eight corner numbers. Invalid quads hit nothing.
     """
+    return hits_beside(frames.join(quads.where(valid_quad([F.col(c) for c in QUAD])), ["recording", "frame_idx"]), margin)
+
+
+def hits_beside(quads: DataFrame, margin: float = HIT_MARGIN) -> DataFrame:
+    """``surface_hits`` of quads beside which their frame's gaze (x_px, y_px) stands already; nothing is shuffled."""
     q = [F.col(c) for c in QUAD]
-    met = frames.join(quads.where(valid_quad(q)), ["recording", "frame_idx"])
+    met = quads.where(valid_quad(q))
     out = on_unit_square(met, q, F.col("x_px"), F.col("y_px"), "__uv").where(inside_unit(F.col("__uv.u"), F.col("__uv.v"), margin))
     out = out.withColumn("u", F.col("__uv.u")).withColumn("v", F.col("__uv.v")).drop("__uv")
     return out.withColumn("aoi_hit_source", F.when(F.col("own_tags") >= 2, "direct").otherwise("projected"))

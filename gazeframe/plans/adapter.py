@@ -92,14 +92,14 @@ def edits(f: DataFrame) -> DataFrame:
     return f.where(F.col("k") % 17 == 0).select("recording", F.col("frame_idx").alias("start_frame"), other.cast("int").alias("end_frame"), label.alias("label"), F.col("event_id").alias("seq"))
 
 
-def quads(f: DataFrame) -> DataFrame:
-    """Three surfaces for each frame, as quads around the gaze; some are degenerate."""
+def quads(f: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Three surfaces for each frame, as quads around the gaze; some are degenerate. ``keep``: columns of the frame that stand beside them."""
     surface = F.explode(F.array(*[F.struct(F.lit(n).alias("surface"), F.lit(i).alias("i")) for i, n in enumerate(("Board", "Screen", "Left_Box"))]))
-    q = f.select("recording", "frame_idx", "k", "value", surface.alias("s")).select("recording", "frame_idx", "k", F.col("s.surface").alias("surface"), F.col("s.i").alias("i"))
+    q = f.select("recording", "frame_idx", "k", *keep, surface.alias("s")).select("recording", "frame_idx", "k", *keep, F.col("s.surface").alias("surface"), F.col("s.i").alias("i"))
     x = lambda a, b: (F.lit(float(a)) + F.col("i") * 150.0 + F.col("k") * float(b)).cast("double")
     corner = [x(100, 1), x(120, 2), x(900, 1), x(90, 1), x(1000, 1), x(800, 2), x(80, 2), x(900, 1)]
     corner[4] = F.when(F.col("k") % 11 == 0, F.lit(120.0)).otherwise(corner[4])
-    return q.select("recording", "frame_idx", "surface", ((F.col("k") + F.col("i")) % 4).alias("own_tags"), *[c.alias(n) for c, n in zip(corner, ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3"), strict=True)])
+    return q.select("recording", "frame_idx", *keep, "surface", ((F.col("k") + F.col("i")) % 4).alias("own_tags"), *[c.alias(n) for c, n in zip(corner, ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3"), strict=True)])
 
 
 def errors(f: DataFrame) -> DataFrame:

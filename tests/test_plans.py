@@ -105,3 +105,20 @@ def test_queries_agree_with_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.ORACLE_SQL) and len(queries.QUERIES) >= 60
+
+
+def test_gaze_stands_beside_its_quads(spark, tmp_path):
+    """Quads made of a frame meet its gaze without a join; frames of no recording hit nothing."""
+    from datetime import datetime
+
+    from gazeframe.operators import spatial
+    from gazeframe.plans import adapter as ad
+    from gazeframe.plans import queries as plans
+
+    rows = [(i, None if i % 5 == 0 else i % 3, datetime(2024, 1, 1 + i % 28, i // 28), "click", 5.0 + i * 0.37, f'{{"k": {i * 7 % 100}}}') for i in range(120)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    f = ad.stored_frames(spark, str(tmp_path))
+    joined = spatial.surface_hits(f.select("recording", "frame_idx", "x_px", "y_px"), ad.quads(f))
+    beside = spatial.hits_beside(plans._quads_and_gaze(f)).select(*joined.columns)
+    assert sorted(map(tuple, beside.collect())) == sorted(map(tuple, joined.collect())) and beside.count() > 0
+    assert "Join" not in plans.QUERIES["homography_uv"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
