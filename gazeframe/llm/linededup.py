@@ -36,7 +36,7 @@ must give the same rows whenever it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import beside, broadcast_up_to, dropped, identified, identity, numbered, one_in_sample, stored
@@ -218,34 +218,40 @@ def similar_lines(base: DataFrame) -> DataFrame:
     firsts = lines.join(broadcast_up_to(repeated.select("id"), BROADCAST_ROWS), "id", "left_anti")
     meeting = _meeting(firsts)
     tried = stored(meeting.groupBy("id").agg(F.count("*").alias("n_pairs"), F.min("near").alias("near")).where(F.col("n_pairs") >= SHARED).select("id", "near"))
-    # Lines without ids come first.
-    marked = lines.select("id", "n", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), *_MARKS).join(broadcast_up_to(tried, BROADCAST_ROWS), "id")
-    marked = stored(marked)
-    met = stored(meeting.select("key", "id", "np", "many").join(marked.drop("n", "near"), "id"))
+    # From here on ids ascend by place, so the smallest id of a set of lines is that of the earliest one.
+    kept = lines.select(F.col("id").alias("line"), *PLACE, "n", *_MARKS).join(broadcast_up_to(tried.withColumnRenamed("id", "line"), BROADCAST_ROWS), "line")
+    marked = numbered(kept.orderBy(*PLACE), "id")
+    # prev is the line's pair of words at the place before, if it is here too: where two lines have it in common, they meet there as well.
+    before = Window.partitionBy("id").orderBy("np")
+    prev = F.when(F.lag("np").over(before) == F.col("np") - 1, F.lag("key").over(before)).alias("prev")
+    met = meeting.withColumnRenamed("id", "line").select("key", "line", "np", "many").join(marked.select("line", "id", *_MARKS), "line")
+    met = stored(met.select("key", "id", "np", "many", *_MARKS, prev))
     dropped(meeting, tried)
 
     others = [F.col("m0").alias("a0"), F.col("m1").alias("a1")]
-    near = marked.where(F.col("near").isNotNull()).withColumnRenamed("near", "a").join(marked.select(F.col("id").alias("a"), F.col("n").alias("n_a"), *others), "a")
-    found = [_verified(near.where(_marks_allow(F.col("n"), F.col("n_a"))).select("a", F.col("id").alias("b")), base, lines)]
+    near = marked.where(F.col("near").isNotNull()).join(marked.select(F.col("id").alias("a"), F.col("line").alias("near"), F.col("n").alias("n_a"), *others), "near")
+    found = [_verified(near.where(_marks_allow(F.col("n"), F.col("n_a"))).select("a", F.col("id").alias("b")), base, marked)]
     undecided = lambda ids: stored(ids.select("id").join(broadcast_up_to(found[-1].select(F.col("later_id").alias("id")).distinct(), BROADCAST_ROWS), "id", "left_anti"))
     rest = undecided(marked)
-    may = _may_match(F.col("np"), F.col("np_a")) & _marks_allow(_size(F.col("np")), _size(F.col("np_a")))
+    # Neighbours in common have the same filters; of a run of them the first one makes the pair of lines.
+    begins = F.coalesce(F.col("prev") != F.col("prev_a"), F.lit(True))
+    may = begins & _may_match(F.col("np"), F.col("np_a")) & _marks_allow(_size(F.col("np")), _size(F.col("np_a")))
     # Pairs of few lines are cheaper compared in full at once.
     large = met.where("many")
     for n, one in SUBSETS:
         subset = F.pmod(F.xxhash64(F.lit(n), F.col("id")), F.lit(n)).alias("subset")
-        earliest = large.groupBy("key", subset).agg(F.min("id").alias("a"), *(F.min_by(c, "id").alias(to) for c, to in (("np", "np_a"), ("m0", "a0"), ("m1", "a1"))))
+        earliest = large.groupBy("key", subset).agg(F.min("id").alias("a"), *(F.min_by(c, "id").alias(to) for c, to in (("np", "np_a"), ("prev", "prev_a"), ("m0", "a0"), ("m1", "a1"))))
         of_rest = large.join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
         meet = of_rest.join(earliest, "key").where((F.col("a") < F.col("id")) & may)
         pairs = meet.groupBy(F.col("id").alias("b"), *([] if one else ["subset"])).agg(F.min("a").alias("a")).select("a", "b").distinct()
-        found.append(_verified(pairs, base, lines))
+        found.append(_verified(pairs, base, marked))
         before, rest = rest, undecided(rest)
         dropped(before)
     # What is left meets all earlier lines of its pairs of words.
     of_rest = met.join(broadcast_up_to(rest, BROADCAST_ROWS), "id", "left_semi")
-    of_keys = met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a"), F.col("doc").alias("doc_a"), *others)
-    meet = of_rest.join(of_keys, "key").where((F.col("doc_a") <= F.col("doc")) & (F.col("a") != F.col("id")) & may)
-    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), base, lines, long_condition=True))
+    of_keys = met.select("key", F.col("id").alias("a"), F.col("np").alias("np_a"), F.col("prev").alias("prev_a"), *others)
+    meet = of_rest.join(of_keys, "key").where((F.col("a") < F.col("id")) & may)
+    found.append(_verified(meet.select("a", F.col("id").alias("b")).distinct(), base, marked, long_condition=True))
 
     every = repeated.select("at", "kept").where(F.col("at") != F.col("kept"))
     for f in found:

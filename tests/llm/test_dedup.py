@@ -339,3 +339,21 @@ def test_parities_leave_similar_lines_and_rule_out_others(spark, words):
     table = table.select("near", F.size("b").alias("n"), F.size("a").alias("m"), m[0].alias("m0"), m[1].alias("m1"), o[0].alias("a0"), o[1].alias("a1"))
     out = table.select("near", linededup._marks_allow(F.col("n"), F.col("m")).alias("may")).collect()
     assert all(x["may"] for x in out if x["near"]) and sum(x["may"] for x in out if not x["near"]) <= 8
+
+
+def test_lines_of_a_large_group_are_decided_before_the_full_comparison(spark, docs_of, words, monkeypatch):
+    """Rows that don't stand in the order of their ids: the lines tried first are earlier by place, not by row."""
+    base, tried = words(60, 21), []
+    texts = [edit(base, 2, i) for i in range(200)]
+    ids = random.Random(22).sample(range(1000), len(texts))
+    verified = linededup._verified
+
+    def counted(pairs, *args, **how):
+        tried.append(pairs.count())
+        return verified(pairs, *args, **how)
+
+    monkeypatch.setattr(linededup, "_verified", counted)
+    out = {x["doc_id"]: x["z_n_removed"] for x in linededup.remove_similar_lines(docs_of(texts, ids), prefix="z_").collect()}
+    want = removed_lines([t for _, t in sorted(zip(ids, texts, strict=True))])
+    assert [out[i] for i in sorted(ids)] == [len(want[n]) for n in range(len(texts))]
+    assert sum(tried) < 8 * len(texts) and tried[-1] < len(texts)
