@@ -49,8 +49,9 @@ SHORT_TEXT, SHORT_MER = 128, 2
 SIMILARITY = 0.8
 #: Hashed subsets of a bucket whose first classes are tried, round by round.
 SUBSETS = (4, 8)
-#: 64-bit numbers whose bits are set by a text's words, and as many by its pairs of neighbouring words, each with its
-#: number of occurrence; by them unlike classes are told before they are aligned.
+#: 64-bit numbers whose bits are turned by a text's words, and as many by its pairs of neighbouring words, each with its
+#: number of occurrence; by them unlike classes are told before they are aligned. Only what two texts don't share
+#: turns a bit between them, so the rest of a text, however long, hides nothing.
 MARKS = 16
 _WORD_MARKS, _PAIR_MARKS = [f"w{i}" for i in range(MARKS)], [f"p{i}" for i in range(MARKS)]
 _MARKS = _WORD_MARKS + _PAIR_MARKS
@@ -217,19 +218,24 @@ def sketched(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, nw int, sk array<long>")
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """For each slot whether an odd number of values falls into it."""
+    return (np.bincount((values % np.uint64(64 * MARKS)).astype(np.intp), minlength=64 * MARKS) & 1).astype(np.uint8)
+
+
 def class_words(texts: DataFrame) -> DataFrame:
     """c, words (joined by spaces), nw (their number) and marks of c, text."""
 
     def run(batches):
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            bits = np.zeros((len(words), 2, 64 * MARKS), bool)
+            bits = np.zeros((len(words), 2, 64 * MARKS), np.uint8)
             for i, w in enumerate(words):
                 h = hashed_words(w)
                 with np.errstate(over="ignore"):
-                    bits[i, 0, (with_occurrence(h) % np.uint64(64 * MARKS)).astype(np.intp)] = True
+                    bits[i, 0] = parities(with_occurrence(h))
                     if len(h) > 1:
-                        bits[i, 1, (with_occurrence(mixed(h[:-1]) + h[1:]) % np.uint64(64 * MARKS)).astype(np.intp)] = True
+                        bits[i, 1] = parities(with_occurrence(mixed(h[:-1]) + h[1:]))
             marks = np.packbits(bits.reshape(len(words), -1), axis=1).view(np.int64).reshape(len(words), len(_MARKS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], names=["c", "words", "nw", *_MARKS])
 
@@ -241,12 +247,15 @@ def _as_other(table: DataFrame, *columns) -> DataFrame:
     return table.select(*columns, *(F.col(m).alias(f"o{m}") for m in _MARKS))
 
 
-def _may_link(n, m, similarity: float):
-    """Whether lengths and marks leave room: an edit changes the length by one, takes one word and breaks two pairs of neighbours, at most."""
-    lacks = lambda names, one, other: sum((F.bit_count(F.col(one + k).bitwiseAND(F.bitwise_not(F.col(other + k)))) for k in names), F.lit(0))
-    room = _room(n, m, similarity)
-    words = (lacks(_WORD_MARKS, "", "o") <= room) & (lacks(_WORD_MARKS, "o", "") <= room)
-    return (F.abs(n - m) <= room) & words & (lacks(_PAIR_MARKS, "", "o") <= 2 * room) & (lacks(_PAIR_MARKS, "o", "") <= 2 * room)
+def _may_link(n, m, similarity: float, one: str = "", other: str = "o"):
+    """Whether lengths and marks leave room.
+
+    A replaced word turns two bits of words and four of pairs of neighbours at most, an added or deleted one turns one
+    and three and changes the length.
+    """
+    turned = lambda names: sum((F.bit_count(F.col(one + k).bitwiseXOR(F.col(other + k))) for k in names), F.lit(0))
+    room, longer = _room(n, m, similarity), F.abs(n - m)
+    return (longer <= room) & (turned(_WORD_MARKS) <= 2 * room - longer) & (turned(_PAIR_MARKS) <= 4 * room - longer)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, marked: bool = False) -> DataFrame:
@@ -295,9 +304,11 @@ def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
 def _apart_in_full(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """a, b: each two classes of a bucket in different groups that may be near copies."""
     marked = met.join(texts.select("c", *_MARKS), "c")
-    b = _as_other(marked, "bucket", F.col("c").alias("b"), F.col("root").alias("root_b"), F.col("nw").alias("nb"))
-    may = (F.col("c") < F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("nw"), F.col("nb"), similarity)
-    return stored(marked.join(b, "bucket").where(may).select(F.col("c").alias("a"), "b").distinct(), long_condition=True)
+    # Both sides are the same table under two names, so Spark joins the marks and shuffles them once.
+    x, y = marked.alias("x"), marked.alias("y")
+    may = (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & _may_link(F.col("x.nw"), F.col("y.nw"), similarity, "x.", "y.")
+    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(may).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    return stored(pairs.distinct(), long_condition=True)
 
 
 def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:

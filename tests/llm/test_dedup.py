@@ -357,3 +357,26 @@ def test_lines_of_a_large_group_are_decided_before_the_full_comparison(spark, do
     want = removed_lines([t for _, t in sorted(zip(ids, texts, strict=True))])
     assert [out[i] for i in sorted(ids)] == [len(want[n]) for n in range(len(texts))]
     assert sum(tried) < 8 * len(texts) and tried[-1] < len(texts)
+
+
+def test_marks_leave_near_copies_and_rule_out_long_texts_edited_too_much(spark):
+    """Bits turned by words and by pairs of words: no pair within the budget is lost, others go though their texts fill many slots."""
+    from pyspark.sql import functions as F
+
+    r, texts = random.Random(13), []
+    for k in range(40):
+        n = (10, 60, 300, 800)[k % 4]
+        a = [f"w{r.randrange(200 if k % 3 else 10**6)}" for _ in range(n)]
+        texts += [a, edit(" ".join(a), neardup.budget_of(n, n), k).split()]
+    near = len(texts) // 2
+    for _ in range(20):
+        a = [f"w{r.randrange(10**6)}" for _ in range(800)]
+        texts += [a, [f"x{r.randrange(10**6)}" if i % 5 < 2 else w for i, w in enumerate(a)]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "c long, text string")
+    marked = neardup.class_words(table)
+    one, other = marked.where("c % 2 = 0").withColumn("pair", F.col("c") / 2), neardup._as_other(marked.where("c % 2 = 1"), F.col("nw").alias("m"), ((F.col("c") - 1) / 2).alias("pair"))
+    out = {x["pair"]: x["may"] for x in one.join(other, "pair").select("pair", neardup._may_link(F.col("nw"), F.col("m"), neardup.SIMILARITY).alias("may")).collect()}
+    assert len(out) == len(texts) // 2
+    for i, may in out.items():
+        a, b = texts[2 * int(i)], texts[2 * int(i) + 1]
+        assert may if i < near and neardup.banded_distance(a, b, neardup.budget_of(len(a), len(b))) is not None else i < near or not may
