@@ -10,11 +10,13 @@ distance is at most ``1 - SIMILARITY`` of the longer one. Groups are the connect
 Documents with the same words form one class at once. The classes of a bucket (sketch and value) are candidates of each
 other; a link between two that are in one group already changes nothing, so
 
-* each class is first aligned with one class that it meets, then with the first ones of four and of eight hashed
-  subsets of each bucket, and after each of these rounds the buckets whose classes are all in one group are done;
-* what is left is compared in full: each two classes of a bucket that are in different groups and whose lengths and
-  pairs of neighbouring words leave room for the budget (a test on bits inside the join) are aligned. Only copies
-  at the rim of a group and texts that merely share a passage come this far.
+* each class is first aligned with one class that it meets; then, twice, with one of the classes that stand first in a
+  quarter of the buckets, the one that it meets most often; after that the buckets whose classes are all in one group
+  are done;
+* what is left is compared in full: each two classes of a bucket that are in different groups and whose lengths, words
+  and pairs of neighbouring words leave room for the budget (a test on bits inside the join) are aligned. Two classes
+  that meet in many buckets are joined in the first of them, as far as the ``BEFORE`` sketches before a bucket tell. Only
+  copies at the rim of a group and texts that merely share a passage come this far.
 
 There is no bound on a bucket's classes. Buckets that a sample shows to be very common are dealt to several tasks for
 the first round; Spark splits them in the later joins.
@@ -47,13 +49,16 @@ TUPLE = 2
 #: outlast the edits that the rule allows.
 SHORT_TEXT, SHORT_MER = 128, 2
 SIMILARITY = 0.8
-#: Hashed subsets of a bucket whose first classes are tried, round by round.
-SUBSETS = (4, 8)
-#: 64-bit numbers whose bits are turned by a text's words, and as many by its pairs of neighbouring words, each with its
+#: Rounds in which a class is tried with one class that it meets, each in one of PARTS parts of the buckets.
+ROUNDS, PARTS = 2, 4
+#: Sketches before a bucket's that tell whether two classes have met already.
+BEFORE = 16
+#: 64-bit numbers whose bits are turned by a text's words, and others by its pairs of neighbouring words, each with its
 #: number of occurrence; by them unlike classes are told before they are aligned. Only what two texts don't share
-#: turns a bit between them, so the rest of a text, however long, hides nothing.
-MARKS = 16
-_WORD_MARKS, _PAIR_MARKS = [f"w{i}" for i in range(MARKS)], [f"p{i}" for i in range(MARKS)]
+#: turns a bit between them, so the rest of a text, however long, hides nothing; where two of these share a bit, they hide
+#: each other, so a text of hundreds of words needs thousands of bits.
+WORD_MARKS, PAIR_MARKS = 64, 16
+_WORD_MARKS, _PAIR_MARKS = [f"w{i}" for i in range(WORD_MARKS)], [f"p{i}" for i in range(PAIR_MARKS)]
 _MARKS = _WORD_MARKS + _PAIR_MARKS
 #: k-mers that are keyed at a time, so that a text of any length takes bounded memory.
 KEYED = 1 << 14
@@ -218,9 +223,9 @@ def sketched(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, k1 long, k2 long, nw int, sk array<long>")
 
 
-def parities(values: np.ndarray) -> np.ndarray:
+def parities(values: np.ndarray, slots: int) -> np.ndarray:
     """For each slot whether an odd number of values falls into it."""
-    return (np.bincount((values % np.uint64(64 * MARKS)).astype(np.intp), minlength=64 * MARKS) & 1).astype(np.uint8)
+    return (np.bincount((values % np.uint64(slots)).astype(np.intp), minlength=slots) & 1).astype(np.uint8)
 
 
 def class_words(texts: DataFrame) -> DataFrame:
@@ -229,14 +234,14 @@ def class_words(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            bits = np.zeros((len(words), 2, 64 * MARKS), np.uint8)
+            bits = np.zeros((len(words), 64 * len(_MARKS)), np.uint8)
             for i, w in enumerate(words):
                 h = hashed_words(w)
                 with np.errstate(over="ignore"):
-                    bits[i, 0] = parities(with_occurrence(h))
+                    bits[i, : 64 * WORD_MARKS] = parities(with_occurrence(h), 64 * WORD_MARKS)
                     if len(h) > 1:
-                        bits[i, 1] = parities(with_occurrence(mixed(h[:-1]) + h[1:]))
-            marks = np.packbits(bits.reshape(len(words), -1), axis=1).view(np.int64).reshape(len(words), len(_MARKS))
+                        bits[i, 64 * WORD_MARKS :] = parities(with_occurrence(mixed(h[:-1]) + h[1:]), 64 * PAIR_MARKS)
+            marks = np.packbits(bits, axis=1).view(np.int64).reshape(len(words), len(_MARKS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], names=["c", "words", "nw", *_MARKS])
 
     return texts.select("c", "text").mapInArrow(run, f"c long, words string, nw int, {', '.join(f'{m} long' for m in _MARKS)}")
@@ -263,7 +268,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, marked: bool
     if not marked:
         met = stored(pairs).join(texts.select(F.col("c").alias("b"), F.col("nw").alias("nb"), *_MARKS), "b").join(_as_other(texts, F.col("c").alias("a"), F.col("nw").alias("na")), "a")
         pairs = met.where(_may_link(F.col("na"), F.col("nb"), similarity)).select("a", "b")
-    pairs = stored(pairs)
+    pairs = stored(pairs, long_condition=not marked)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     words = stored(texts.select("c", "words").join(broadcast_up_to(ids, BROADCAST_ROWS), "c", "left_semi"))
     a = words.select(F.col("c").alias("a"), F.col("words").alias("wa"))
@@ -292,21 +297,35 @@ def _meeting(classes: DataFrame, similarity: float) -> DataFrame:
     return stored(met.select("bucket", "c", "nw", F.when(fits("below", "nw"), F.col("near")).alias("near")))
 
 
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, c, nw, root."""
+    return met.select("bucket", "c", "nw").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+
 def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
     """bucket, c, nw, root in the buckets whose classes aren't all in one group."""
-    rooted = met.select("bucket", "c", "nw").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    rooted = _rooted(met, roots)
     several = stored(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
     out = stored(rooted.join(broadcast_up_to(several, BROADCAST_ROWS), "bucket", "left_semi"))
     dropped(several)
     return out
 
 
-def _apart_in_full(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _apart_in_full(met: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """a, b: each two classes of a bucket in different groups that may be near copies."""
-    marked = met.join(texts.select("c", *_MARKS), "c")
+    # A class and its open buckets (no more than sketches) are one row until its marks are there.
+    of = met.groupBy("c").agg(F.any_value("nw").alias("nw"), F.any_value("root").alias("root"), F.collect_list("bucket").alias("open"))
+    every = F.transform("sk", lambda v, j: F.xxhash64(j, v))
+    of = of.join(classes.select("c", every.alias("every")), "c").join(texts.select("c", *_MARKS), "c")
+    before = lambda j: F.slice("every", F.greatest(j - BEFORE + 1, F.lit(1)), F.least(j, F.lit(BEFORE)))
+    spots = F.filter(F.transform("every", lambda b, j: F.struct(b.alias("bucket"), j.alias("j"))), lambda s: F.array_contains("open", s["bucket"]))
+    rows = of.select("c", "nw", "root", *_MARKS, F.explode(F.transform(spots, lambda s: F.struct(s["bucket"].alias("bucket"), before(s["j"]).alias("before")))).alias("s"))
+    rows = rows.select("c", "nw", "root", *_MARKS, "s.bucket", "s.before")
     # Both sides are the same table under two names, so Spark joins the marks and shuffles them once.
-    x, y = marked.alias("x"), marked.alias("y")
-    may = (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & _may_link(F.col("x.nw"), F.col("y.nw"), similarity, "x.", "y.")
+    x, y = rows.alias("x"), rows.alias("y")
+    # Classes that may link and have an earlier bucket in common are in that one's rows as well.
+    met_before = F.arrays_overlap("x.before", "y.before")
+    may = (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & ~met_before & _may_link(F.col("x.nw"), F.col("y.nw"), similarity, "x.", "y.")
     pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(may).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     return stored(pairs.distinct(), long_condition=True)
 
@@ -321,16 +340,14 @@ def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     texts = stored(class_words(texts_of(first.select("c"))))
     links = _linked(first.where(F.col("a").isNotNull()).select("a", F.col("c").alias("b")), texts, similarity)
     roots = components(links)
-    for n in SUBSETS:
-        left = _open(met, roots)
-        dropped(met)
-        met = left
-        firsts = met.groupBy("bucket", F.pmod(F.xxhash64(F.lit(n), "c"), F.lit(n)).alias("subset")).agg(F.min("c").alias("a"), F.min_by("root", "c").alias("root_a"), F.min_by("nw", "c").alias("na"))
-        meet = met.join(firsts, "bucket").where((F.col("root") != F.col("root_a")) & (F.abs(F.col("nw") - F.col("na")) <= _room(F.col("nw"), F.col("na"), similarity)))
-        pairs = meet.groupBy(F.col("c").alias("b"), "subset").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        roots = merged(roots, _linked(pairs, texts, similarity))
+    for n in range(ROUNDS):
+        part = _rooted(met.where(F.pmod("bucket", F.lit(PARTS)) == n), roots)
+        one = part.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(n), "c"), F.col("c").alias("a"), F.col("root").alias("root_a"), F.col("nw").alias("na"))).alias("one")).select("bucket", "one.a", "one.root_a", "one.na")
+        meet = part.join(one, "bucket").where((F.col("root") != F.col("root_a")) & (F.abs(F.col("nw") - F.col("na")) <= _room(F.col("nw"), F.col("na"), similarity)))
+        often = meet.groupBy(F.col("c").alias("b")).agg(F.mode("a").alias("a"))
+        roots = merged(roots, _linked(often.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity))
     left = _open(met, roots)
-    roots = merged(roots, _linked(_apart_in_full(left, texts, similarity), texts, similarity, marked=True))
+    roots = merged(roots, _linked(_apart_in_full(left, classes, texts, similarity), texts, similarity, marked=True))
     dropped(met, first, texts, left)
     return roots
 

@@ -380,3 +380,32 @@ def test_marks_leave_near_copies_and_rule_out_long_texts_edited_too_much(spark):
     for i, may in out.items():
         a, b = texts[2 * int(i)], texts[2 * int(i) + 1]
         assert may if i < near and neardup.banded_distance(a, b, neardup.budget_of(len(a), len(b))) is not None else i < near or not may
+
+
+def test_marks_rule_out_long_texts_around_one_passage(spark):
+    """610 words in common and 190 of their own: beyond the budget of 160, though one block of edits turns few pairs of words."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    passage = [f"w{r.randrange(10**6)}" for _ in range(610)]
+    texts = [passage + [f"w{r.randrange(10**6)}" for _ in range(k)] for k in [190] * 12 + [150] * 12]
+    marked = neardup.class_words(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "c long, text string"))
+    other = neardup._as_other(marked, F.col("nw").alias("m"), F.col("c").alias("a"))
+    may = neardup._may_link(F.col("nw"), F.col("m"), neardup.SIMILARITY)
+    out = {(x["c"], x["a"]) for x in marked.crossJoin(other).where((F.col("c") < F.col("a")) & may).select("c", "a").collect()}
+    assert not any(b < 12 for a, b in out) and all((a, b) in out for a in range(12, 24) for b in range(a + 1, 24))
+
+
+def test_classes_that_meet_in_many_sketches_are_joined(spark, words, monkeypatch):
+    """Pairs are made in their first common bucket only; none is lost, wherever that bucket is."""
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    r, texts, sketches = random.Random(15), [], []
+    for k in range(12):
+        base = words(60, 700 + k)
+        common = [None] * 60
+        for at in r.sample(range(60), (1, 2, 20, 60)[k % 4]):
+            common[at] = k
+        for i in range(4):
+            texts.append(edit(base, 3, 10 * k + i))
+            sketches.append([1000 + 100 * k + i if v is None else v for v in common])
+    assert grouped(spark, texts, sketches) == groups(texts)
