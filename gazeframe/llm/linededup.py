@@ -198,7 +198,7 @@ def _marks_allow(n: Column, m: Column) -> Column:
 
 def _verified(pairs: DataFrame, base: DataFrame, lines: DataFrame, long_condition: bool = False) -> DataFrame:
     """later_id, at, kept (places) of the pairs (a, b) whose lines are similar."""
-    pairs = stored(pairs, long_condition)
+    pairs = stored(pairs, long_condition=long_condition)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     words = _words_of(base, lines, ids)
     of = lambda e: words.select(F.col("id").alias(e), F.struct(*PLACE).alias(f"at_{e}"), F.col("w").alias(f"w_{e}"))
