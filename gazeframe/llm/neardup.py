@@ -14,12 +14,15 @@ other; a link between two that are in one group already changes nothing, so
   quarter of the buckets, the one that it meets most often; after that the buckets whose classes are all in one group
   are done;
 * what is left is compared in full: each two classes of a bucket that are in different groups and whose lengths, words
-  and pairs of neighbouring words leave room for the budget (a test on bits inside the join) are aligned. Two classes
-  that meet in many buckets are joined in the first of them, as far as the ``BEFORE`` sketches before a bucket tell. Only
-  copies at the rim of a group and texts that merely share a passage come this far.
+  and pairs of neighbouring words leave room for the budget are aligned. Texts that merely share a passage or a few common
+  words meet here, the more of them the larger the corpus, so their pairs are not rows of a join: the classes of a bucket
+  come in the order of length, and numpy tests each with the longer ones that fit, on bits of their words. Only pairs
+  that these leave become rows, those of classes that meet in many buckets in the first of them, as far as the
+  ``BEFORE`` earlier ones tell.
 
 There is no bound on a bucket's classes. Buckets that a sample shows to be very common are dealt to several tasks for
-the first round; Spark splits them in the later joins.
+the first round; those of more than ``BLOCK_ROWS`` classes are dealt out in blocks, each two of which meet in one task, for the
+full comparison.
 
 Defined cases: null texts and texts without words share one class; texts of fewer than five words have one k-mer, the
 whole text; very long texts are aligned in memory that grows with their length; an empty table gives an empty result;
@@ -36,7 +39,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import beside, bounded_batches, broadcast_up_to, dropped, hashed_words, identified, mixed, one_in_sample, stored
@@ -51,8 +55,10 @@ SHORT_TEXT, SHORT_MER = 128, 2
 SIMILARITY = 0.8
 #: Rounds in which a class is tried with one class that it meets, each in one of PARTS parts of the buckets.
 ROUNDS, PARTS = 2, 4
-#: Sketches before a bucket's that tell whether two classes have met already.
-BEFORE = 16
+#: Earlier open buckets of a class that tell whether two classes have met already.
+BEFORE = 32
+#: Classes of a bucket that are compared in one task, and rows that a task gathers before it compares their buckets.
+BLOCK_ROWS, CHUNK_ROWS = 8192, 8192
 #: 64-bit numbers whose bits are turned by a text's words, and others by its pairs of neighbouring words, each with its
 #: number of occurrence; by them unlike classes are told before they are aligned. Only what two texts don't share
 #: turns a bit between them, so the rest of a text, however long, hides nothing; where two of these share a bit, they hide
@@ -228,8 +234,18 @@ def parities(values: np.ndarray, slots: int) -> np.ndarray:
     return (np.bincount((values % np.uint64(slots)).astype(np.intp), minlength=slots) & 1).astype(np.uint8)
 
 
+def _fold_size(n: int) -> int:
+    """64-bit numbers to which the marks of n words are folded: four bits or more a word, as far as there are marks."""
+    return next((s for s in (4, 8, 16, 32) if n <= 16 * s), WORD_MARKS)
+
+
+def folded(marks: np.ndarray, size: int) -> np.ndarray:
+    """The parities in fewer slots, of rows of marks: slots that are the same modulo the new number are one."""
+    return np.bitwise_xor.reduce(marks.reshape(len(marks), -1, size), axis=1)
+
+
 def class_words(texts: DataFrame) -> DataFrame:
-    """c, words (joined by spaces), nw (their number) and marks of c, text."""
+    """c, words (joined by spaces), nw (their number), marks and folded marks of the words of c, text."""
 
     def run(batches):
         for batch in batches:
@@ -242,9 +258,10 @@ def class_words(texts: DataFrame) -> DataFrame:
                     if len(h) > 1:
                         bits[i, 64 * WORD_MARKS :] = parities(with_occurrence(mixed(h[:-1]) + h[1:]), 64 * PAIR_MARKS)
             marks = np.packbits(bits, axis=1).view(np.int64).reshape(len(words), len(_MARKS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T)], names=["c", "words", "nw", *_MARKS])
+            fold = pa.array([folded(marks[i : i + 1, :WORD_MARKS], _fold_size(len(w)))[0] for i, w in enumerate(words)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T), fold], names=["c", "words", "nw", *_MARKS, "fold"])
 
-    return texts.select("c", "text").mapInArrow(run, f"c long, words string, nw int, {', '.join(f'{m} long' for m in _MARKS)}")
+    return texts.select("c", "text").mapInArrow(run, f"c long, words string, nw int, {', '.join(f'{m} long' for m in _MARKS)}, fold array<long>")
 
 
 def _as_other(table: DataFrame, *columns) -> DataFrame:
@@ -252,23 +269,21 @@ def _as_other(table: DataFrame, *columns) -> DataFrame:
     return table.select(*columns, *(F.col(m).alias(f"o{m}") for m in _MARKS))
 
 
-def _may_link(n, m, similarity: float, one: str = "", other: str = "o"):
+def _may_link(n, m, similarity: float):
     """Whether lengths and marks leave room.
 
     A replaced word turns two bits of words and four of pairs of neighbours at most, an added or deleted one turns one
     and three and changes the length.
     """
-    turned = lambda names: sum((F.bit_count(F.col(one + k).bitwiseXOR(F.col(other + k))) for k in names), F.lit(0))
+    turned = lambda names: sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"o{k}"))) for k in names), F.lit(0))
     room, longer = _room(n, m, similarity), F.abs(n - m)
     return (longer <= room) & (turned(_WORD_MARKS) <= 2 * room - longer) & (turned(_PAIR_MARKS) <= 4 * room - longer)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, marked: bool = False) -> DataFrame:
-    """The pairs (a, b) of classes that are near copies; unless ``marked``, the marks rule out most others before words are read."""
-    if not marked:
-        met = stored(pairs).join(texts.select(F.col("c").alias("b"), F.col("nw").alias("nb"), *_MARKS), "b").join(_as_other(texts, F.col("c").alias("a"), F.col("nw").alias("na")), "a")
-        pairs = met.where(_may_link(F.col("na"), F.col("nb"), similarity)).select("a", "b")
-    pairs = stored(pairs, long_condition=not marked)
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes that are near copies; the marks rule out most others before words are read."""
+    met = stored(pairs).join(texts.select(F.col("c").alias("b"), F.col("nw").alias("nb"), *_MARKS), "b").join(_as_other(texts, F.col("c").alias("a"), F.col("nw").alias("na")), "a")
+    pairs = stored(met.where(_may_link(F.col("na"), F.col("nb"), similarity)).select("a", "b"), long_condition=True)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     words = stored(texts.select("c", "words").join(broadcast_up_to(ids, BROADCAST_ROWS), "c", "left_semi"))
     a = words.select(F.col("c").alias("a"), F.col("words").alias("wa"))
@@ -302,32 +317,96 @@ def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select("bucket", "c", "nw").join(broadcast_up_to(roots, BROADCAST_ROWS), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
-def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """bucket, c, nw, root in the buckets whose classes aren't all in one group."""
+def _open(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """bucket, c, nw, root of the classes that meet one of another group and of fitting length."""
+    by = Window.partitionBy("bucket").orderBy("nw", "root", "c")
+    back = Window.partitionBy("bucket").orderBy(F.desc("nw"), F.desc("root"), F.desc("c"))
     rooted = _rooted(met, roots)
-    several = stored(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
-    out = stored(rooted.join(broadcast_up_to(several, BROADCAST_ROWS), "bucket", "left_semi"))
-    dropped(several)
-    return out
-
-
-def _apart_in_full(met: DataFrame, classes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b: each two classes of a bucket in different groups that may be near copies."""
+    other = lambda at: F.when(at("root").over(by) != F.col("root"), at("nw").over(by))
+    turns = rooted.select("*", other(F.lag).alias("below"), other(F.lead).alias("above"))
+    # The nearest class of another group stands beside the run of a class's own group in the order of length.
+    so_far = lambda c, of: F.last(c, ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(c)
+    near = turns.select("bucket", "c", "nw", "root", so_far("below", by), so_far("above", back))
+    fits = lambda n, m: F.coalesce(m - n <= _room(n, m, similarity), F.lit(False))
+    return stored(near.where(fits(F.col("below"), F.col("nw")) | fits(F.col("nw"), F.col("above"))).select("bucket", "c", "nw", "root"))
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an Arrow column of lists, and where each row's begin."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
+def _pairs_of_rows(rows: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """a, b of the rows of whole blocks, ordered by block and nw: classes of one block that fit by their lengths and folded marks."""
+    bucket, lo, hi, side, c, nw, root = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+    (fold, begins), (before, earlier) = _lists(rows.column(7)), _lists(rows.column(8))
+    n, room = len(c), np.floor((1 - similarity) * nw + 1e-9).astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))))
+    ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    sizes, marks = np.diff(begins), {}
+    for size in np.unique(sizes):
+        marks[size] = np.zeros((size, n), np.uint64)
+        for larger in np.unique(sizes[sizes >= size]):
+            at = np.flatnonzero(sizes == larger)
+            marks[size][:, at] = folded(fold[begins[at][:, None] + np.arange(larger)].view(np.uint64), size).T
+    found, x, step = [], np.arange(n), 0
+    while len(x):
+        # Each row with the one so many places further; beyond the first that is too long, all are.
+        step += 1
+        x = x[x + step < ends[x]]
+        x = x[nw[x + step] - nw[x] <= room[x + step]]
+        apart = x[(root[x] != root[x + step]) & ((lo[x] == hi[x]) | (side[x] != side[x + step]))]
+        for size in marks:
+            i = apart[sizes[apart] == size]
+            most, turned = 2 * room[i + step] - (nw[i + step] - nw[i]), np.zeros(len(i), np.int64)
+            for k in range(size):
+                if not len(i):
+                    break
+                turned += np.bitwise_count(marks[size][k, i] ^ marks[size][k, i + step])
+                if k % 4 == 3:
+                    may = turned <= most
+                    i, most, turned = i[may], most[may], turned[may]
+            met = lambda r: before[earlier[r] : earlier[r + 1]].tolist()
+            found += [(r, r + step) for r in i.tolist() if set(met(r)).isdisjoint(met(r + step))]
+    at = np.array(found, np.int64).reshape(-1, 2)
+    return np.minimum(c[at[:, 0]], c[at[:, 1]]), np.maximum(c[at[:, 0]], c[at[:, 1]])
+
+
+def _apart_in_full(met: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each two classes of a bucket in different groups that may be near copies by their lengths and folded marks."""
     # A class and its open buckets (no more than sketches) are one row until its marks are there.
-    of = met.groupBy("c").agg(F.any_value("nw").alias("nw"), F.any_value("root").alias("root"), F.collect_list("bucket").alias("open"))
-    every = F.transform("sk", lambda v, j: F.xxhash64(j, v))
-    of = of.join(classes.select("c", every.alias("every")), "c").join(texts.select("c", *_MARKS), "c")
-    before = lambda j: F.slice("every", F.greatest(j - BEFORE + 1, F.lit(1)), F.least(j, F.lit(BEFORE)))
-    spots = F.filter(F.transform("every", lambda b, j: F.struct(b.alias("bucket"), j.alias("j"))), lambda s: F.array_contains("open", s["bucket"]))
-    rows = of.select("c", "nw", "root", *_MARKS, F.explode(F.transform(spots, lambda s: F.struct(s["bucket"].alias("bucket"), before(s["j"]).alias("before")))).alias("s"))
-    rows = rows.select("c", "nw", "root", *_MARKS, "s.bucket", "s.before")
-    # Both sides are the same table under two names, so Spark joins the marks and shuffles them once.
-    x, y = rows.alias("x"), rows.alias("y")
-    # Classes that may link and have an earlier bucket in common are in that one's rows as well.
-    met_before = F.arrays_overlap("x.before", "y.before")
-    may = (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root")) & ~met_before & _may_link(F.col("x.nw"), F.col("y.nw"), similarity, "x.", "y.")
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(may).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
-    return stored(pairs.distinct(), long_condition=True)
+    of = met.groupBy("c").agg(F.any_value("nw").alias("nw"), F.any_value("root").alias("root"), F.sort_array(F.collect_list("bucket")).alias("open"))
+    # Classes of different groups that fit and have an earlier bucket in common both have it here, and are in its rows as well.
+    before = lambda i: F.slice("open", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE)))
+    spots = F.transform("open", lambda b, i: F.struct(b.alias("bucket"), before(i).alias("before")))
+    rows = of.join(texts.select("c", "fold"), "c").select("c", "nw", "root", "fold", F.explode(spots).alias("s")).select("c", "nw", "root", "fold", "s.*")
+    # No more than one in BLOCK_ROWS rows are such buckets.
+    large = stored(met.groupBy("bucket").count().where(F.col("count") > BLOCK_ROWS).select("bucket", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("parts")))
+    dealt = rows.join(F.broadcast(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("side", k).alias("lo"), F.greatest("side", k).alias("hi")))
+    blocks = dealt.select("*", F.explode(others).alias("block")).select("bucket", "block.lo", "block.hi", "side", "c", "nw", "root", "fold", "before")
+
+    def run(batches):
+        held, limit = [], CHUNK_ROWS
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < limit:
+                continue
+            rows = pa.concat_batches(held)
+            keys = [rows.column(k).to_numpy() for k in range(3)]
+            last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held, limit = [rows.slice(cut)], max(CHUNK_ROWS, 2 * (len(rows) - cut))
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs_of_rows(rows.slice(0, cut), similarity)], names=["a", "b"])
+        if held and len(rows := pa.concat_batches(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs_of_rows(rows, similarity)], names=["a", "b"])
+
+    ordered = blocks.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "nw", "c")
+    pairs = stored(ordered.mapInArrow(run, "a long, b long").distinct())
+    dropped(large)
+    return pairs
 
 
 def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
@@ -346,9 +425,10 @@ def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         meet = part.join(one, "bucket").where((F.col("root") != F.col("root_a")) & (F.abs(F.col("nw") - F.col("na")) <= _room(F.col("nw"), F.col("na"), similarity)))
         often = meet.groupBy(F.col("c").alias("b")).agg(F.mode("a").alias("a"))
         roots = merged(roots, _linked(often.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity))
-    left = _open(met, roots)
-    roots = merged(roots, _linked(_apart_in_full(left, classes, texts, similarity), texts, similarity, marked=True))
-    dropped(met, first, texts, left)
+    left = _open(met, roots, similarity)
+    pairs = _apart_in_full(left, texts, similarity)
+    roots = merged(roots, _linked(pairs, texts, similarity))
+    dropped(met, first, texts, left, pairs)
     return roots
 
 

@@ -409,3 +409,50 @@ def test_classes_that_meet_in_many_sketches_are_joined(spark, words, monkeypatch
             texts.append(edit(base, 3, 10 * k + i))
             sketches.append([1000 + 100 * k + i if v is None else v for v in common])
     assert grouped(spark, texts, sketches) == groups(texts)
+
+
+@pytest.mark.parametrize("rows", [8192, 5])
+def test_unlike_texts_of_one_bucket_make_no_rows_of_pairs(spark, words, monkeypatch, rows):
+    """Texts around one passage meet in a bucket: their pairs are no rows of a join, whose number grew with the square of theirs."""
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(neardup, "CHUNK_ROWS", rows)
+    monkeypatch.setattr(neardup, "BEFORE", 1)
+    plans, store = [], neardup.stored
+
+    def seen(df, **how):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, **how)
+
+    monkeypatch.setattr(neardup, "stored", seen)
+    passage, r = words(40, 1), random.Random(16)
+    texts = [" ".join([passage, words(r.randrange(30, 50), 100 + i)]) for i in range(30)]
+    texts += [edit(texts[i % 30], r.randrange(0, 20), i) for i in range(30)]
+    sketches = [[1, 2 + i % 3, 10 + i % 2, *range(20, 20 + i % 7)] for i in range(60)]
+    assert grouped(spark, texts, sketches) == groups(texts)
+    assert not [p for p in plans if re.search(r"Join Inner, .*\(c#\d+L < c#\d+L\)", p)]
+
+
+def test_pairs_that_fit_by_length_and_folded_marks(spark):
+    """No near copies are lost by the folded marks, at lengths on both sides of a size of theirs; unlike texts go."""
+    r, texts = random.Random(17), []
+    for n in (3, 16, 62, 64, 66, 125, 130, 255, 260, 520, 1100):
+        a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts += [a, *(edit(" ".join(a), neardup.budget_of(n, n) // 2, 10 * n + i).split() for i in range(3)), [f"x{r.randrange(10**6)}" for _ in range(n)]]
+    classes = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "c long, text string")
+    marked = neardup.class_words(classes)
+    met = marked.selectExpr("1L bucket", "c", "nw", "c root")
+    pairs = {(x["a"], x["b"]) for x in neardup._apart_in_full(met, marked, neardup.SIMILARITY).collect()}
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            near = neardup.banded_distance(a, texts[j], neardup.budget_of(len(a), len(texts[j]))) is not None
+            assert (i, j) in pairs if near else (i, j) not in pairs or i // 5 == j // 5 != (j - 4) / 5
+
+
+def test_classes_are_open_where_another_group_fits(spark):
+    """A class stays in a bucket for the classes of other groups that its length fits, not for any other group in the bucket."""
+    rows = [(1, 1, 100), (1, 2, 100), (1, 3, 124), (1, 4, 200), (1, 5, 210), (1, 6, 300), (2, 1, 100), (2, 4, 200), (3, 4, 200), (3, 5, 210)]
+    met = neardup.stored(spark.createDataFrame(rows, "bucket long, c long, nw int"))
+    roots = neardup.stored(spark.createDataFrame([(1, 1), (2, 1), (4, 4), (5, 4)], "c long, root long"))
+    out = {(x["bucket"], x["c"]) for x in neardup._open(met, roots, neardup.SIMILARITY).collect()}
+    assert out == {(1, 1), (1, 2), (1, 3)}
