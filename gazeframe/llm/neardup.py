@@ -280,10 +280,12 @@ def _may_link(n, m, similarity: float):
     return (longer <= room) & (turned(_WORD_MARKS) <= 2 * room - longer) & (turned(_PAIR_MARKS) <= 4 * room - longer)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes that are near copies; the marks rule out most others before words are read."""
-    met = stored(pairs).join(texts.select(F.col("c").alias("b"), F.col("nw").alias("nb"), *_MARKS), "b").join(_as_other(texts, F.col("c").alias("a"), F.col("nw").alias("na")), "a")
-    pairs = stored(met.where(_may_link(F.col("na"), F.col("nb"), similarity)).select("a", "b"), long_condition=True)
+def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, tested: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes that are near copies; unless they are ``tested`` on folded marks, the marks rule out most others before words are read."""
+    pairs = stored(pairs)
+    if not tested:
+        met = pairs.join(texts.select(F.col("c").alias("b"), F.col("nw").alias("nb"), *_MARKS), "b").join(_as_other(texts, F.col("c").alias("a"), F.col("nw").alias("na")), "a")
+        pairs = stored(met.where(_may_link(F.col("na"), F.col("nb"), similarity)).select("a", "b"), long_condition=True)
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct())
     words = stored(texts.select("c", "words").join(broadcast_up_to(ids, BROADCAST_ROWS), "c", "left_semi"))
     a = words.select(F.col("c").alias("a"), F.col("words").alias("wa"))
@@ -427,7 +429,7 @@ def class_groups(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         roots = merged(roots, _linked(often.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, similarity))
     left = _open(met, roots, similarity)
     pairs = _apart_in_full(left, texts, similarity)
-    roots = merged(roots, _linked(pairs, texts, similarity))
+    roots = merged(roots, _linked(pairs, texts, similarity, tested=True))
     dropped(met, first, texts, left, pairs)
     return roots
 
